@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import language, line_dedup, packing, pii, simhash
+from foliant.llm import decontaminate, language, line_dedup, packing, pii, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's URL ends in the id of the document it was made of; that document's labels are the URL's."""
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    of = pages.select("url", F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT)").alias("doc_id"))
+    labelled = of.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filters.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict", "confidence", F.array_join("tokens", " ").alias("mined_rule"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     changed = F.col("keep_bitmap").isNotNull()
@@ -49,6 +57,47 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Every item-sized window laid on the first place in the item of a shingle they share, compared shingle by shingle.
+OP5_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, w, len(w) AS n FROM (
+    SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-]+'), x -> x <> '') AS w FROM documents)
+), iw AS (
+  SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM (
+    SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-]+'), x -> x <> '') AS w FROM benchmark)
+  WHERE len(w) > 0
+), ds AS (
+  SELECT doc_id, n, k, p - 1 AS p, array_to_string(w[p : p + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, k, unnest(range(1, n - k + 2)) AS p FROM dw, (SELECT DISTINCT k FROM iw) WHERE n >= k)
+), its AS (
+  SELECT item_id, n, k, q - 1 AS q, array_to_string(w[q : q + k - 1], ' ') AS s
+  FROM (SELECT item_id, w, n, k, unnest(range(1, n - k + 2)) AS q FROM iw)
+), firsts AS (SELECT item_id, n, k, s, min(q) AS q FROM its GROUP BY ALL),
+item_counts AS (SELECT item_id, n, k, s, count(*) AS c FROM its GROUP BY ALL),
+laid AS (
+  SELECT DISTINCT ds.doc_id, f.item_id, f.n, f.k, greatest(0, least(ds.p - f.q, ds.n - f.n)) AS start, ds.n AS len
+  FROM ds JOIN firsts f ON ds.s = f.s AND ds.k = f.k
+), own AS (
+  SELECT l.doc_id, l.item_id, l.start, l.n, l.k, least(l.n, l.len) - l.k + 1 AS n_own, ds.s, count(*) AS c
+  FROM laid l JOIN ds ON ds.doc_id = l.doc_id AND ds.k = l.k AND ds.p >= l.start AND ds.p <= l.start + l.n - l.k
+  GROUP BY ALL
+), both_ AS (
+  SELECT o.doc_id, o.item_id, o.start, o.n_own, o.n - o.k + 1 AS n_item, sum(least(o.c, i.c)) AS b
+  FROM own o JOIN item_counts i ON i.item_id = o.item_id AND i.s = o.s
+  GROUP BY ALL
+), sims AS (
+  SELECT doc_id, item_id, start, CAST(b AS DOUBLE) / CAST(n_own + n_item - b AS DOUBLE) AS similarity FROM both_
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM sims WHERE similarity >= 0.8
+)
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, similarity FROM ranked WHERE r = 1
+"""
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents")).withColumn("base", pii.of_base_kinds(F.col("spans")))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
@@ -64,11 +113,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
+    "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL}
