@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, language, line_dedup, packing, pii, simhash, url_filters
+from foliant.llm import decontaminate, language, line_dedup, packing, pii, simhash, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +65,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH dw AS (
   SELECT doc_id, w, len(w) AS n FROM (
-    SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-]+'), x -> x <> '') AS w FROM documents)
+    SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents)
 ), iw AS (
   SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM (
-    SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-]+'), x -> x <> '') AS w FROM benchmark)
+    SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-
+]+'), lambda x: x <> '') AS w FROM benchmark)
   WHERE len(w) > 0
 ), ds AS (
   SELECT doc_id, n, k, p - 1 AS p, array_to_string(w[p : p + k - 1], ' ') AS s
@@ -112,6 +114,23 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    files = warc.archive(spark, pages)
+    return warc.read_records(warc.lookup(pages, files)).drop("url", "payload")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM p GROUP BY ALL)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM p JOIN g USING (payload_digest, payload_bytes)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
@@ -120,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op10_warc": OP10_SQL}
