@@ -138,6 +138,10 @@ def of_base_kinds(found: Column) -> Column:
     return F.filter(found, lambda s: s["kind"].isin(*BASE_KINDS))
 
 
+def count_of(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind))
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span of personal data in the text replaced by <kind>; of overlapping spans the first counts."""
 

@@ -102,7 +102,7 @@ SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, similarity FROM ranked W
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents")).withColumn("base", pii.of_base_kinds(F.col("spans")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    counts = [pii.count_of(F.col("base"), k).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from hypothesis import given, settings
@@ -58,3 +59,14 @@ def test_rows(spark):
     assert got == sorted([(1, [("email", 0, 7)]), (1, [("email", 0, 7)]), (None, [("ip", 2, 9)]), (2, []), (3, [])], key=str)
     assert pii.personal_data(docs.limit(0)).count() == 0
     assert {r.text for r in pii.redact(docs).collect()} == {"<email>", "x <ip>", None, ""}
+
+
+def test_query(spark, tmp_path):
+    from foliant.llm import queries
+
+    text = "me@a.bc 1.2.3.4 é +1 (415) 555-0100 token = abcdefghijklmnop"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op6_pii(spark, str(tmp_path)).collect()}
+    base = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(text))
+    assert got[1].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 0, 1) and got[1].spans.split(",")[-1] == "secret:44:60" and got[2].spans == ""
