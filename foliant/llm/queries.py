@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, language, line_dedup, packing, pii, simhash, url_filters, warc
+from foliant.llm import chat, decontaminate, language, line_dedup, packing, pii, simhash, syncmers, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,28 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+#: Marker words of user and assistant in the raw transcripts that op4 reads; the last style has no markers.
+STYLES = (("User: ", "Assistant: ", "System: "), ("Human: ", "AI: ", "System: "), ("### User\n", "### Assistant\n", "### System\n"), ("[user] ", "[assistant] ", "[system] "), ("", "", ""))
+
+
+def _raw_transcripts(turns: DataFrame) -> DataFrame:
+    """Conversations as raw text, their roles gone: a style by conversation, and a quarter of the markers left out."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
+    mark = F.lit("")
+    for i, words in enumerate(STYLES):
+        for role, word in zip(("user", "assistant", "system"), words):
+            mark = F.when((style == i) & (F.col("role") == role), word).otherwise(mark)
+    mark = F.when(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(4)) == 0, "").otherwise(mark)
+    return turns.select("conv_id", "turn", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"), "role")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roles and turns of the raw transcripts, by a model of three quarters of the conversations."""
+    raw = _raw_transcripts(_table(spark, sf_dir, "conversations"))
+    learned = raw.where(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 4 != 2)
+    return chat.parse(raw.drop("role"), chat.fit(learned)).drop("content")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -110,6 +132,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -135,9 +161,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
+    "op4_chat_format": op4_chat_format,
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
+    "op8_syncmers": op8_syncmers,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_warc": op10_warc,
 }
