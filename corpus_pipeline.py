@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import line_dedup, simhash
+from foliant.llm import decontaminate, language, line_dedup, packing, simhash
+from foliant.llm.common import written
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is told by a model fitted on them; those without a letter go."""
+    model = language.fit(docs.where(~language.held_out("doc_id")))
+    if model is None:  # no row has a language to learn from
+        return docs.where(docs.text.rlike(r"\p{L}"))
+    found = language.predict(docs, model)
+    return found.where(found.lang_pred != language.UND).select(*docs.columns)
 
 
 def keep_first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document without the lines that a document of smaller id holds."""
-    return line_dedup.without_dropped_lines(docs)
+    """Each document without the lines that a document of smaller id holds; n_chars follows the text."""
+    kept = line_dedup.without_dropped_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +29,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.one_of_each(docs)
 
 
-STAGES = [("line_dedup", keep_first_lines), ("near_dedup", keep_one_of_each)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no passage of the benchmark."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences, a row for each piece."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", known_language), ("line_dedup", keep_first_lines), ("near_dedup", keep_one_of_each), ("decontamination", without_benchmark), ("packing", packed)]
 
 #: SQL can't express language ID's model; tests/llm compares the stages with brute force instead.
 ORACLE_SQL = None
@@ -25,8 +47,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, each stage's rows written to the shared folder and read again."""
-    from foliant.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
