@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import structure, text
+from foliant.plans import cast, reports, resolve, structure, text
 
-MODULES: list = [text, structure]
+MODULES: list = [text, structure, cast, resolve, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.t04_minutes(spark, sf_dir)
+    return cast.c04_frequency(spark, sf_dir)
