@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import cast, reports, resolve, structure, text
+from foliant.plans import cast, reports, resolve, sources, structure, text
 
-MODULES: list = [text, structure, cast, resolve, reports]
+MODULES: list = [text, structure, cast, resolve, reports, sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
