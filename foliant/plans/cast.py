@@ -113,7 +113,7 @@ def _units(spark, sf):
     """Sentences as translation units: short ones have a machine text, each seventh is stale."""
     s = spans.sentences(table(spark, sf, "documents"))
     n = F.length("text")
-    return s.select("doc_id", F.floor(F.col("start") / 2000).alias("chapter"), "start", "text", F.when(n < 60, F.upper("text")).alias("machine"), (n % 7 == 0).alias("stale"))
+    return s.select("doc_id", F.floor(F.col("start") / 2000).alias("chapter"), "start", "text", F.when(n < 60, F.lower("text")).alias("machine"), (n % 7 == 0).alias("stale"))
 
 
 def c23_pending(spark, sf):
@@ -175,7 +175,7 @@ _PAIRS = """prs AS (SELECT x.doc_id, x.name AS a, y.name AS b, count(*) AS share
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY last - first DESC, a, b) AS rank FROM prs)"""
 _EDGES = """ed AS (SELECT a, b FROM (SELECT o_custkey AS a, lead(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL AND a % 40 = b % 40 AND a <> b),
 both_ AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach AS (SELECT a AS s, b AS n FROM both_ UNION SELECT r.s, e.b FROM reach r JOIN both_ e ON r.n = e.a)"""
-_U = "SELECT doc_id, start // 2000 AS chapter, start, t AS text, CASE WHEN length(t) < 60 THEN upper(t) END AS machine, length(t) % 7 = 0 AS stale FROM sents"
+_U = "SELECT doc_id, start // 2000 AS chapter, start, t AS text, CASE WHEN length(t) < 60 THEN lower(t) END AS machine, length(t) % 7 = 0 AS stale FROM sents"
 
 
 def _sents() -> str:

@@ -167,8 +167,8 @@ ORACLE_SQL = {
       round((tokens_in * CAST(3 AS DOUBLE) + ceil(tokens_in * CAST(0.5 AS DOUBLE)) * CAST(15 AS DOUBLE)) / 1000000, 6) AS usd
       FROM (SELECT lang, CAST(sum({_TOKENS}) + 200 * count(*) AS BIGINT) AS tokens_in FROM documents GROUP BY lang)""",
     "t23_days": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(try_strptime(strftime(o_orderdate, '%Y-%m') || '-31', '%Y-%m-%d'), '%Y-%m-%d') AS last FROM orders",
-    "t33_file_names": rf"""SELECT doc_id, CASE WHEN n = '' THEN 'untitled' ELSE rtrim(n) END AS name
-      FROM (SELECT doc_id, substr({sql_squeeze("regexp_replace(substr(text, 1, 200), '[\\/:*?" + '"' + "<>|]+', ' ', 'g')")}, 1, 80) AS n FROM documents)""",
+    "t33_file_names": f"""SELECT doc_id, CASE WHEN n = '' THEN 'book' ELSE n END AS name
+      FROM (SELECT doc_id, substr({sql_trim("regexp_replace(substr(text, 1, 200), '[/" + chr(92) * 2 + "?%*:|" + chr(34) + "<>]', '-', 'g')")}, 1, 80) AS n FROM documents)""",
     "t34_cells": """SELECT doc_id, sha256(CASE WHEN regexp_matches(t, '[",\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END) AS sha
       FROM (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM documents)""",
     "t40_openings": f"SELECT doc_id, CASE WHEN length(b) > 48 THEN rtrim(substr(b, 1, 48)) || '…' ELSE b END AS opening FROM (SELECT doc_id, {sql_squeeze('text')} AS b FROM documents)",

@@ -123,3 +123,18 @@ def test_reanchoring(spark):
     df = spark.createDataFrame(rows, "t string, s long, q string, p string, x string")
     got = [r[0] and (r[0].start, r[0].end) for r in df.select(align.reanchored("t", "s", "q", "p", "x")).collect()]
     assert got == [(4, 7), (6, 9), (23, 26), (None, None), (None, None), (4, 7)] or got[5] in ((4, 7), (14, 17))
+
+
+def test_ties_pins_links(spark):
+    tie = lambda x: one(spark, X.tie, x)
+    assert [tie(x) for x in ("Parent", "his elder brother", "丈夫", "old friend", "xkingx", "")] == ["parent", "sibling", "spouse", None, None, None]
+    assert one(spark, lambda c: X.opposite_tie(X.tie(c)), "teacher") == "student" and one(spark, lambda c: X.tie_group(X.tie(c)), "queen") == "power"
+    pin = lambda a, b: one(spark, X.pin, a, b)
+    assert tuple(pin(" Rome ", "CERTAIN")) == ("Rome", "certain") and tuple(pin("Ur", None)) == ("Ur", "probable") and pin("n/a", "certain") is None and pin("one two three four five six seven", "") is None
+    wiki = lambda x: one(spark, X.wiki_link, x)
+    assert wiki("https://en.wikipedia.org/wiki/Ur") == "https://en.wikipedia.org/wiki/Ur" and wiki("http://x.org") is None and wiki("Ashfall  keep") == "https://en.wikipedia.org/wiki/Ashfall_keep" and wiki("None") is None
+    assert one(spark, X.is_link, " https://a.b/c ") and not one(spark, X.is_link, "a b")
+    assert tuple(one(spark, X.title_and_series, "Dune (Dune Chronicles #1)")) == ("Dune (Dune Chronicles #1)".split(" (")[0], "Dune Chronicles #1")
+    df = spark.createDataFrame([(["blue hair, tall", "hair", None, "long blue hair."],), ([None],)], "v array<string>")
+    assert [r[0] for r in df.select(X.merged_clauses(F.col("v"))).collect()] == ["tall · long blue hair", None]
+    assert one(spark, X.safe_file_name, ' a/b: "c" ') == 'a-b- -c-' and one(spark, X.safe_file_name, " ") == "book"
