@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import written
 
-#: Share of the labelled URLs that a combination must be in, and of those the share that must be bad.
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.5
+#: Share of the labelled URLs that a bad combination must be in, the least number of them, and the share that must be bad.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 25, 0.5
 BAD = "=bad"
 ALLOW, BLOCK = "allow", "block"
 #: (action, host and path): a written-down list.
@@ -53,24 +53,25 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.array_distinct(F.concat(*parts))).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """(rule, tokens, confidence, support, key): from rows (url, bad); rows without a url or a label teach nothing.
 
     Only tokens that are themselves frequent in bad URLs can be in such a combination; the others are left out before
     the search, and so are those that nearly every URL has, as they tell nothing apart. Of tokens that lie in exactly
-    the same URLs the first stands for all: one URL that fills a third of the rows doesn't multiply combinations. key is
+    the same URLs one stands for all, the widest site or else the shortest: one URL that fills a third of the rows doesn't multiply combinations. key is
     the rule's rarest token.
     """
     rows = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), F.col("bad").cast("boolean").alias("bad"))
     rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "labelled-urls")
     n = rows.count()
     empty = rows.sparkSession.createDataFrame([], "rule array<string>, tokens array<string>, confidence double, support double, key string")
-    if not n:
+    min_support = max(min_support, min_count / max(n, 1))
+    if min_support > 1:  # too few to tell anything from chance
         return empty.select(F.lit(0).cast("long").alias("rule"), "tokens", "confidence", "support", "key")
     marks = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"mark{k}") for k in (1, 2)]
     tokens = rows.select("id", "bad", F.explode("tokens").alias("t")).groupBy("t").agg((F.count(F.lit(1)) / n).alias("share"), (F.sum(F.col("bad").cast("int")) / n).alias("bad_share"), *marks)
     tokens = written(tokens, "url-tokens")
-    useful = tokens.where((F.col("bad_share") >= min_support) & (F.col("share") <= 0.95)).groupBy("share", "mark1", "mark2").agg(F.min("t").alias("t"))
+    useful = tokens.where((F.col("bad_share") >= min_support) & (F.col("share") <= 0.95)).groupBy("share", "mark1", "mark2").agg(F.min(F.struct(~F.startswith("t", F.lit("site:")), F.length("t"), "t")).alias("x")).select("x.t")
     kept = rows.select("id", "bad", F.explode("tokens").alias("t")).join(useful.select("t"), "t").groupBy("id", "bad").agg(F.collect_list("t").alias("items"))
     items = kept.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(written(items, "url-token-sets"))
@@ -107,14 +108,14 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, url_col: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict, confidence and tokens (of the mined rule), in place of columns of such names.
 
     labelled has (url, bad). verdict is that of the written-down rule or else block where a mined rule matches, allow
     where none does. A null url, or one without ://, has an empty host and path and matches no mined rule. Every row of
     pages is kept, repeated ones too; each distinct url is matched once.
     """
-    mined = mine_rules(labelled, min_support, min_confidence)
+    mined = mine_rules(labelled, min_support, min_confidence, min_count)
     own = ["host", "path", "rule", "verdict", "confidence", "tokens"]
     base = pages.drop(*own)
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
