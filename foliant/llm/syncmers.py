@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a k-mer and of its inner s-mers; one position in (K - S + 1) / 2 is an anchor on average.
 K, S = 31, 8
+#: Texts of fewer code points have anchors of SHORT_K and SHORT_S, else they would have hardly any.
+SHORT, SHORT_K, SHORT_S = 400, 11, 5
 #: Bytes of an anchor's hash in the fingerprint.
 HASH_BYTES = 3
 #: Bytes of a text that are hashed at once.
@@ -69,7 +71,8 @@ def anchors(text: bytes, k: int = K, s: int = S) -> np.ndarray:
 
 
 def fingerprint(text: str, k: int = K, s: int = S) -> str:
-    """The anchors' hashes, HASH_BYTES each, in base64; empty for an empty text."""
+    """The anchors' hashes, HASH_BYTES each, in base64; empty for an empty text. A short text's anchors are shorter."""
+    k, s = (min(k, SHORT_K), min(s, SHORT_S)) if len(text) < SHORT else (k, s)
     x = anchors(text.encode(), k, s).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
     return base64.b64encode(x.tobytes()).decode()
 
