@@ -1,61 +1,22 @@
-"""What the training-data operators share: the cluster's scratch folder, cut lineage, connected components."""
+"""What the training-data operators share: tables in the cluster's scratch folder, cut lineage, connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="foliant-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+from foliant.operators import graph
+from foliant.operators.graph import shared_dir, written
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it is computed once, its lineage ends there, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for each node of the edges (a, b) of longs; root is the smallest node of its component.
-
-    Large-star and small-star rounds in turn, until the edges no longer change. Minima are pre-aggregated before the
-    shuffle and neighbours are never collected, so that a node with very many edges is only a skewed join key, which
-    adaptive execution splits. Each round's edges go to a table in the shared folder.
-    """
-    def table(e: DataFrame):
-        e = written(e.where("a <> b").distinct(), name)
-        n, x = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return e, (n, x)
-
-    e, mark = table(edges.select("a", "b"))
-    while mark[0]:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        down = written(down.distinct(), name)
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-        e, now = table(small)
-        if now == mark:
-            break
-        mark = now
-    roots = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return roots.union(roots.select("root", "root").distinct())
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of the edges (a, b); root is the smallest node of its component."""
+    return graph.components(edges)
+
+
+__all__ = ["connected_components", "scratch_path", "shared_dir", "written"]
