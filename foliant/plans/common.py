@@ -7,8 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.functions.text import WS
 
 
+#: Tables whose rows are whole texts: work on a row costs far more than moving it.
+TEXTS = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer splits than there are cores, as in one small file, are first dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def sql_trim(x: str) -> str:
