@@ -111,3 +111,14 @@ def shortest_over(points: DataFrame, marks: DataFrame, at: str, key: Column, on:
     hit = points_in(points, marks, at, "m_start", "m_end", on)
     cols = points.columns
     return hit.groupBy(*cols).agg(F.min(F.struct((F.col("m_end") - F.col("m_start")).alias("n"), key.alias("k"))).alias("x")).select(*cols, F.col("x.k").alias("mark"))
+
+
+def placed_units(units: DataFrame, paragraphs: DataFrame, on: str = "doc_id", unit: str = "unit") -> DataFrame:
+    """(on, unit, u_start, u_end, pos, shared): each unit in the paragraph it shares most with, the first of equals.
+
+    units has (on, unit, u_start, u_end), paragraphs (on, pos, start, end).
+    """
+    pairs = overlapping(units, paragraphs, "u_start", "u_end", "start", "end", on)
+    shared = F.least("u_end", "end") - F.greatest("u_start", "start")
+    best = pairs.groupBy(on, unit, "u_start", "u_end").agg(F.max(F.struct(shared.alias("n"), (-F.col("pos")).alias("p"))).alias("x"))
+    return best.select(on, unit, "u_start", "u_end", (-F.col("x.p")).cast("long").alias("pos"), F.col("x.n").alias("shared"))

@@ -159,6 +159,15 @@ def j07_quotes(spark, sf):
     return records.listed(hit, ["doc_id", "idx"], F.col("pos"), part, "\n", "quote").select("doc_id", "idx", F.sha2("quote", 256).alias("sha"))
 
 
+def j14_layout(spark, sf):
+    """Translated units, sentences that have slipped by nine characters, laid out over lines: how many, and how many of them whole."""
+    s = spans.sentences(table(spark, sf, "documents"))
+    units = s.select("doc_id", F.col("pos").cast("long").alias("unit"), (F.col("start") + 9).alias("u_start"), (F.col("end") + 9).alias("u_end"))
+    lines = _lines(spark, sf).select("doc_id", "pos", "start", "end").where("end > start")
+    laid = spans.placed_units(units, lines)
+    return laid.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("shared") == F.col("u_end") - F.col("u_start")).alias("whole"), F.min("u_start").alias("first"))
+
+
 def j16_ranges(spark, sf):
     """Pairs of nations whose orders fall within the years 1995 and 1996."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -435,6 +444,8 @@ ORACLE_SQL = {
     "j04_refile": f"""WITH {_P}, {_C} SELECT l.doc_id, pos, coalesce(c.idx, pos // 4) AS idx, c.idx IS NOT NULL AND c.idx <> pos // 4 AS moved FROM lines l LEFT JOIN chapters c ON c.doc_id = l.doc_id AND l.start + 1 >= c.start AND l.start + 1 < c."end\"""",
     "j07_quotes": f"""WITH {_P}, {_C}, q AS (SELECT doc_id, idx, start + ("end" - start) // 3 AS a, "end" - ("end" - start) // 3 AS b FROM chapters)
       SELECT q.doc_id, idx, sha256(string_agg((pos + 1) || ' ' || substr(text, greatest(start, a) - start + 1, least(start + length(text), b) - greatest(start, a)), chr(10) ORDER BY pos)) AS sha FROM q JOIN lines l ON l.doc_id = q.doc_id AND b > l.start AND a < l.start + length(text) WHERE length(text) > 0 AND b > a GROUP BY q.doc_id, idx""",
+    "j14_layout": f"""WITH {_P}, {_S}, o AS (SELECT s.doc_id, s.start + 9 AS a, s."end" + 9 AS b, pos, least(s."end" + 9, l.start + length(l.text)) - greatest(s.start + 9, l.start) AS n FROM sents s JOIN lines l ON l.doc_id = s.doc_id AND s."end" + 9 > l.start AND s.start + 9 < l.start + length(l.text)),
+      k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, a ORDER BY n DESC, pos) = 1) SELECT doc_id, pos, count(*) AS n, count(*) FILTER (WHERE n = b - a) AS whole, min(a) AS first FROM k GROUP BY doc_id, pos""",
     "j16_ranges": "SELECT c_nationkey, o_orderpriority, CAST(min(year(o_orderdate)) AS INTEGER) AS first, CAST(max(year(o_orderdate)) AS INTEGER) AS last FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING max(year(o_orderdate)) >= 1995 AND min(year(o_orderdate)) <= 1996",
     "c01_needles": "SELECT p_partkey, needle FROM (SELECT p_partkey, unnest(list_concat([p_brand], string_split(p_name, ' '))) AS needle FROM part) WHERE length(needle) > 1",
     "c11_upsert": """WITH k AS (SELECT k, min(id) AS id FROM (SELECT p_partkey AS id, lower(trim(p_name)) AS k FROM part UNION ALL SELECT p_partkey, lower(p_brand || ' ' || p_size) FROM part) GROUP BY k),
