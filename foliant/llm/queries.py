@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import chat, decontaminate, language, line_dedup, packing, pii, simhash, syncmers, url_filters, warc
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from foliant.plans.common import table as _table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
