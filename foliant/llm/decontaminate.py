@@ -1,14 +1,16 @@
 """Operator 5: benchmark decontamination by SimHash windows and multi-index Hamming blocks, with built-in functions only.
 
-A window of an item's size that reaches the similarity shares a shingle with the item, so windows are laid where a
-document holds one, aligned with the item; all others are passed by without loss. Equal windows are judged once. A
-window's SimHash is looked up in an index over the items' SimHashes: these are cut into blocks, and two fingerprints
+A window that starts with a shingle foreign to the item loses nothing when it slides on to the next shared one or to the
+text's end, so windows are laid at every shared shingle, and at the end, from where enough shared shingles lie in reach;
+all others are passed by without loss. Windows aligned with the item by a shared shingle are laid, too, as starts to name
+first. Equal windows are judged once. A window's SimHash is looked up in an index over the items' SimHashes: these are cut into blocks, and two fingerprints
 within the radius differ in at most radius / blocks bits of some block, so an index with all values that near for each
 block misses none. Candidates are verified by the exact weighted similarity of their shingles.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -64,6 +66,28 @@ def _index(items: DataFrame, radius: int, m: int) -> DataFrame:
     return rows.select("item", "k", "ifp", "b.block", "b.own", F.explode("b.flips").alias("flip")).withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip")
 
 
+def _counted(hashes: Column) -> Column:
+    """The hashes as a set, later ones of equal hashes told apart by their number: what two of them share is counted by occurrence."""
+    told = F.transform(F.array(F.array_sort(hashes)), lambda s: F.transform(s, lambda x, i: F.when(F.get(s, i - 1) == x, F.xxhash64(x, i - F.array_position(s, x))).otherwise(x)))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(F.get(told, 0))
+
+
+def _starts(similarity: float) -> Column:
+    """The places from which a window can reach the similarity, of rows (k, n, len, ps): ps are the places of shared shingles in order.
+
+    A window starts at a shared shingle or is the text's last. Of its shingles and the item's, s(a + b) / (1 + s) at least
+    are shared where the similarity is s.
+    """
+    most = Fraction(similarity).limit_denominator(10**6)
+    share = most / (1 + most)
+    own = F.least("n", "len") - F.col("k") + 1
+    need = F.expr(f"CAST((({share.numerator}L * (least(n, len) + n - 2 * k + 2)) + {share.denominator - 1}L) div {share.denominator}L AS INT)")
+    last = F.greatest(F.lit(0), F.col("len") - F.col("n"))
+    inner = F.filter("ps", lambda p, i: (p <= last) & (F.get("ps", i + need - 1) < p + own))
+    end = F.when(F.get("ps", F.size("ps") - need) >= last, F.array(last)).otherwise(F.array().cast("array<int>"))
+    return F.array_union(inner, end)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col), F.lit(LEAST)).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
 
@@ -76,7 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc, row, item, start, similarity): of each document and item the best window that reaches the similarity.
 
     row is xxhash64 of the text and tells apart rows that share an id; a null id is the least long here. start counts
-    words from 0; of equal windows the first. A window has as many words as the item, or all where the document has
+    words from 0; of equally similar windows the first of those aligned with the item by a shingle, or else the first. A window has as many words as the item, or all where the document has
     fewer. The similarity of window and item is the sum over shingles of the smaller of their counts by that of the
     larger. Items of fewer words than a shingle are one shingle; items and texts that are null or blank match nothing.
     Items that share an id are taken one by one, and the best counts.
@@ -98,13 +122,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in ks:
         own = keyed.select("doc", "row", F.size("w").alias("len"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("p", "h"))
         hit = own.join(_small(first_places.where(F.col("k") == k), n_shingles), "h")
-        hit = hit.select("doc", "row", "k", "n", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n"))).alias("start"))
+        hit = hit.select("doc", "row", "k", "n", "len", "p", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n"))).alias("start"))
         found = hit if found is None else found.union(hit)
-    per_doc = found.groupBy("doc", "row").agg(F.collect_set(F.struct("k", "n", "start")).alias("laid"))
+    per_size = found.groupBy("doc", "row", "k", "n", "len").agg(F.collect_set("start").alias("aligned"), F.array_sort(F.collect_set("p")).alias("ps"))
+    of_size = F.transform(F.array_union("aligned", _starts(similarity)), lambda x: F.struct("k", "n", x.alias("start"), F.array_contains("aligned", x).alias("aligned")))
+    per_doc = per_size.select("doc", "row", of_size.alias("laid")).groupBy("doc", "row").agg(F.flatten(F.collect_list("laid")).alias("laid"))
     laid = _keyed(docs, id_col, text_col).join(written(per_doc, "laid-windows"), ["doc", "row"])
     laid = laid.withColumn("w", words_of(F.col("text"))).select("doc", "row", "laid", *(shingle_hashes(F.col("w"), k).alias(f"hs{k}") for k in ks))
     slices = F.coalesce(*(F.when(F.col("x.k") == k, F.expr(f"slice(hs{k}, x.start + 1, x.n - x.k + 1)")) for k in ks))
-    laid = laid.select("doc", "row", *(f"hs{k}" for k in ks), F.explode("laid").alias("x")).select("doc", "row", "x.k", "x.start", slices.alias("ws"))
+    laid = laid.select("doc", "row", *(f"hs{k}" for k in ks), F.explode("laid").alias("x")).select("doc", "row", "x.k", "x.start", "x.aligned", slices.alias("ws"))
     laid = laid.withColumns({"a": F.xxhash64("ws"), "b": F.xxhash64(F.lit("b"), "ws")}).distinct()
     laid = written(laid, "windows")
 
@@ -116,16 +142,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = probes.join(_small(index, n_items * per_item), ["k", "block", "value"]).where(F.expr(f"bit_count(fp ^ ifp) <= {radius}"))
     pairs = written(pairs.select("k", "a", "b", "item").distinct(), "window-candidates")
 
-    item_counts = items.select("item", F.explode("hs").alias("h")).groupBy("item", "h").agg(F.count(F.lit(1)).alias("c_item"))
-    sizes = items.select("item", F.size("hs").alias("n_item")).distinct()
-    own_counts = content.select("k", "a", "b", F.size("ws").alias("n_own"), F.explode("ws").alias("h")).groupBy("k", "a", "b", "n_own", "h").agg(F.count(F.lit(1)).alias("c_own"))
-    same = pairs.join(item_counts, "item").join(own_counts, ["k", "a", "b", "h"])
-    same = same.groupBy("k", "a", "b", "item", "n_own").agg(F.sum(F.least("c_item", "c_own")).alias("both")).join(sizes, "item")
+    sets = items.select("item", _counted(F.col("hs")).alias("s_item")).dropDuplicates(["item"])
+    same = pairs.join(content.select("k", "a", "b", _counted(F.col("ws")).alias("s_own")), ["k", "a", "b"]).join(_small(sets, n_shingles), "item")
+    same = same.select("k", "a", "b", "item", F.size("s_own").alias("n_own"), F.size("s_item").alias("n_item"), F.size(F.array_intersect("s_own", "s_item")).cast("long").alias("both"))
     same = same.withColumn("similarity", F.col("both") / (F.col("n_own") + F.col("n_item") - F.col("both"))).where(F.col("similarity") >= similarity)
     names = items.select("item", "item_id").distinct()
-    same = written(same.select("k", "a", "b", "item", "similarity"), "window-matches").join(names, "item")
-    hits = laid.select("doc", "row", "k", "a", "b", "start").join(same, ["k", "a", "b"])
-    best = hits.groupBy("doc", "row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("x"))
+    same = written(same.select("k", "a", "b", "item", "similarity"), "window-matches").join(_small(names, n_items), "item")
+    hits = laid.select("doc", "row", "k", "a", "b", "start", "aligned").join(same, ["k", "a", "b"])
+    best = hits.groupBy("doc", "row", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"))).alias("x"))
     return best.select("doc", "row", F.col("item_id").alias("item"), (-F.col("x.s")).cast("long").alias("start"), "x.similarity")
 
 

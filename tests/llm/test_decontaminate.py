@@ -72,3 +72,20 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     assert decontaminate.overlaps(d, b).count() == want
     plan = decontaminate.overlaps(d, b)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_worn_and_stretched_passages(spark):
+    """The best window lies between those aligned with the item by a shingle."""
+    items, docs = [], []
+    for i, (n, off, more) in enumerate([(100, 3, 5), (200, 8, 16)]):
+        v = [f"w{i}x{j}" for j in range(n)]
+        items.append((i, " ".join(v)))
+        passage = v[off : n // 2] + [f"new{j}" for j in range(more)] + v[n // 2 : n - off]
+        docs += [(10 * i + j, " ".join([f"a{x}" for x in range(before)] + passage + [f"z{x}" for x in range(after)])) for j, (before, after) in enumerate([(40, 40), (0, 40), (40, 0), (0, 0)])]
+    docs.append((50, " ".join(docs[0][1].split() * 2)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert {(0, 0), (10, 1)} <= set(want)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.overlaps(d, b).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k][0]) < 1e-12 for k in want)
