@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of a k-mer and of its inner s-mers; one position in (K - S + 1) / 2 is an anchor on average.
 K, S = 31, 8
-#: Texts of fewer code points have anchors of SHORT_K and SHORT_S, else they would have hardly any.
+#: Texts of fewer code points have anchors of SHORT_K and SHORT_S, too, as they have few of the others.
 SHORT, SHORT_K, SHORT_S = 400, 11, 5
+#: Stands between the two sets of anchors of a short text; no sign of base64.
+BETWEEN = "."
 #: Bytes of an anchor's hash in the fingerprint.
 HASH_BYTES = 3
 #: Bytes of a text that are hashed at once.
@@ -71,16 +73,23 @@ def anchors(text: bytes, k: int = K, s: int = S) -> np.ndarray:
 
 
 def fingerprint(text: str, k: int = K, s: int = S) -> str:
-    """The anchors' hashes, HASH_BYTES each, in base64; empty for an empty text. A short text's anchors are shorter."""
-    k, s = (min(k, SHORT_K), min(s, SHORT_S)) if len(text) < SHORT else (k, s)
-    x = anchors(text.encode(), k, s).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-    return base64.b64encode(x.tobytes()).decode()
+    """The anchors' hashes, HASH_BYTES each, in base64; empty for an empty text.
+
+    A short text has its shorter anchors, BETWEEN, and those that any other text has.
+    """
+    data, sizes = text.encode(), [(min(k, SHORT_K), min(s, SHORT_S)), (k, s)] if 0 < len(text) < SHORT else [(k, s)]
+    found = (anchors(data, *x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES] for x in sizes)
+    return BETWEEN.join(base64.b64encode(x.tobytes()).decode() for x in found)
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the anchors of both that are matched by position, 0 to 1; 1 for equal fingerprints, also empty ones."""
+    """Share of the anchors of both that are matched by position, 0 to 1; 1 for equal fingerprints, also empty ones.
+
+    Two short texts are compared by their shorter anchors, a short one and another by those of the size that both have.
+    """
     if a == b:
         return 1.0
+    a, b = (f.split(BETWEEN)[0 if BETWEEN in a and BETWEEN in b else -1] for f in (a, b))
     step = 4 * HASH_BYTES // 3
     x, y = ([f[i : i + step] for i in range(0, len(f), step)] for f in (a, b))
     if not x or not y:

@@ -84,3 +84,13 @@ def test_rows(spark):
     assert syncmers.compare_with_next(docs.limit(0)).count() == 0
     assert syncmers.compare_with_next(docs.where("doc_id = 5002")).count() == 1
     assert syncmers.fingerprints(docs).columns == docs.columns
+
+
+def test_likeness_across_the_short_size():
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefghij klmnop", k=1200))
+    of = lambda a, b: syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b))
+    assert of(text[:399], text[:401]) > 0.9 and of(text[:401], text[:399]) > 0.9 and of(text[:398], text[:399]) > 0.9
+    assert of(text[:419], syncmers.edited(text[:419], "short")) > 0.6  # 320 code points of 419 are left
+    assert 0.3 < of(text[:390], text[:1000]) < 0.8  # 780 of 1,390
+    assert of(text[:399], text[600:1100]) == of("", text[:399]) == of("", text[:401]) == 0 and of("", "") == 1
