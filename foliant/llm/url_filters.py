@@ -54,24 +54,26 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
-    """(rule, tokens, confidence, support, key): from rows (url, bad); rows without a url or a label teach nothing.
+    """(rule, tokens, confidence, support, key, equal): from rows (url, bad); rows without a url or a label teach nothing.
 
     Only tokens that are themselves frequent in bad URLs can be in such a combination; the others are left out before
     the search, and so are those that nearly every URL has, as they tell nothing apart. Of tokens that lie in exactly
-    the same URLs one stands for all, the widest site or else the shortest: one URL that fills a third of the rows doesn't multiply combinations. key is
-    the rule's rarest token.
+    the same URLs one stands for all in the search, the widest site or else the shortest: one URL that fills a third of the
+    rows doesn't multiply combinations. equal has, for each token of the rule, all that it stands for, itself first; with
+    any one of each the combination has the same confidence and support. key is the rule's rarest token.
     """
     rows = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), F.col("bad").cast("boolean").alias("bad"))
     rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "labelled-urls")
     n = rows.count()
-    empty = rows.sparkSession.createDataFrame([], "rule array<string>, tokens array<string>, confidence double, support double, key string")
+    empty = rows.sparkSession.createDataFrame([], "rule array<string>, tokens array<string>, confidence double, support double, key string, equal array<array<string>>")
     min_support = max(min_support, min_count / max(n, 1))
     if min_support > 1:  # too few to tell anything from chance
-        return empty.select(F.lit(0).cast("long").alias("rule"), "tokens", "confidence", "support", "key")
+        return empty.select(F.lit(0).cast("long").alias("rule"), "tokens", "confidence", "support", "key", "equal")
     marks = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"mark{k}") for k in (1, 2)]
     tokens = rows.select("id", "bad", F.explode("tokens").alias("t")).groupBy("t").agg((F.count(F.lit(1)) / n).alias("share"), (F.sum(F.col("bad").cast("int")) / n).alias("bad_share"), *marks)
     tokens = written(tokens, "url-tokens")
-    useful = tokens.where((F.col("bad_share") >= min_support) & (F.col("share") <= 0.95)).groupBy("share", "mark1", "mark2").agg(F.min(F.struct(~F.startswith("t", F.lit("site:")), F.length("t"), "t")).alias("x")).select("x.t")
+    useful = tokens.where((F.col("bad_share") >= min_support) & (F.col("share") <= 0.95)).groupBy("share", "mark1", "mark2").agg(F.array_sort(F.collect_list(F.struct((~F.startswith("t", F.lit("site:"))).alias("inner"), F.length("t").alias("n"), "t"))).alias("x"))
+    useful = written(useful.select(F.col("x.t")[0].alias("t"), F.col("x.t").alias("same")), "url-token-classes")
     kept = rows.select("id", "bad", F.explode("tokens").alias("t")).join(useful.select("t"), "t").groupBy("id", "bad").agg(F.collect_list("t").alias("items"))
     items = kept.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(written(items, "url-token-sets"))
@@ -84,13 +86,21 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     whole = parts.groupBy(F.col("a.rule").alias("part"), F.col("b.rule").alias("rule"), F.col("a.n").alias("n")).count().where(F.col("count") == F.col("n"))
     rules = rules.join(whole.select("rule").distinct(), "rule", "left_anti")
     keys = rules.select("rule", F.explode("tokens").alias("t")).join(tokens, "t").groupBy("rule").agg(F.min(F.struct("share", "t")).alias("k"))
-    return written(rules.join(keys, "rule").select("rule", "tokens", "confidence", "support", F.col("k.t").alias("key")), "url-rule-index")
+    equal = rules.select("rule", F.posexplode("tokens").alias("i", "t")).join(useful, "t").groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("i", "same"))).alias("e"))
+    rules = rules.join(keys, "rule").join(equal, "rule")
+    return written(rules.select("rule", "tokens", "confidence", "support", F.col("k.t").alias("key"), F.col("e.same").alias("equal")), "url-rule-index")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence, tokens) of each distinct url that a rule matches: the surest rule, then the first by its tokens."""
+    """(url, confidence, tokens) of each distinct url that a rule matches: the surest rule, then the last by its tokens.
+
+    A url matches by any of the equal tokens for each of the rule's; tokens are the first of them that the url has. A rule
+    is filed under every token equal to its key.
+    """
+    filed = rules.select(F.explode(F.flatten(F.filter("equal", lambda e: e[0] == F.col("key")))).alias("key"), "equal", "confidence")
     found = urls.select("url").distinct().withColumn("own", url_tokens(F.col("url"))).withColumn("key", F.explode("own"))
-    found = found.join(rules.select("key", "tokens", "confidence"), "key").where(F.size(F.array_except("tokens", "own")) == 0)
+    found = found.join(filed, "key").where(F.forall("equal", lambda e: F.arrays_overlap(e, "own")))
+    found = found.withColumn("tokens", F.transform("equal", lambda e: F.array_intersect(e, F.col("own"))[0]))
     best = found.groupBy("url").agg(F.max(F.struct("confidence", "tokens")).alias("x"))
     return best.select("url", "x.confidence", "x.tokens")
 

@@ -76,3 +76,27 @@ def test_mined_rules_match_brute_force(spark):
     got = url_filters.judge(pages, train, min_support=0.02, min_confidence=0.6, min_count=1).collect()
     assert url_filters.mine_rules(train.limit(20)).count() == 0  # fewer than 25 URLs tell nothing
     assert sorted((r.page_id, r.verdict) for r in got) == [(1, "block"), (2, "block"), (2, "block"), (3, "allow")]
+
+
+def test_equal_tokens_match_for_each_other(spark):
+    """All combinations of all tokens that brute force finds sure judge the pages as the mined rules do."""
+    rows = [(f"https://{['good.com', 'fine.net', 'www.uni.edu'][i % 3]}/{['en', 'play', 'read'][i // 3 % 3]}/{i}", i % 41 == 0) for i in range(200)]
+    rows += [(f"https://x.org/casino/{i}", True) for i in range(40)] + [(f"https://y.org/{'spin/win' if i % 2 else 'about'}/{i}", i % 2 == 1) for i in range(60)]
+    train = spark.createDataFrame(rows, "url string, bad boolean")
+    urls = ["https://x.org/about/1", "http://other.com/casino/5", "https://other.com/win/2", "https://other.com/spin", "https://good.com/en/7", "ftp://x.org/", "https://other.com/about/3", "https://y.org/casino/win"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_filters.judge(pages, train, rules=(), min_support=0.02, min_confidence=0.6, min_count=1).collect()
+    own = [(set(t), b) for t, b in train.select(url_filters.url_tokens(F.col("url")), "bad").collect()]
+    n, tokens = len(own), set().union(*(t for t, _ in own))
+    usable = sorted(t for t in tokens if sum(t in s for s, _ in own) <= 0.95 * n and sum(b and t in s for s, b in own) >= 0.02 * n)
+    of_url = {r.url: set(r.t) for r in pages.select("url", url_filters.url_tokens(F.col("url")).alias("t")).collect()}
+    for r in got:
+        best = None
+        for size in (1, 2, 3):
+            for c in itertools.combinations([t for t in usable if t in of_url[r.url]], size):
+                has = [b for s, b in own if s.issuperset(c)]
+                if sum(has) >= 0.02 * n and sum(has) / len(has) >= 0.6:
+                    best = max(best or 0, sum(has) / len(has))
+        assert (r.verdict, r.confidence) == ("allow" if best is None else "block", best), r
+        assert best is None or set(r.tokens) <= of_url[r.url]
+    assert [r.verdict for r in sorted(got, key=lambda r: r.page_id)][:5] == ["block", "block", "block", "block", "allow"]
