@@ -3,16 +3,17 @@
 Each document is tokenised once, where it lies. A document longer than the longest window is cut into full windows and
 a rest; everything else stays whole, so a piece's ids, and their CRC, are final before anything is packed and only five
 numbers a piece are shuffled. Pieces are dealt evenly to shards. In a shard each piece is routed to the smallest context
-tier that holds it; a piece that fills its tier is a sequence of its own, the others open long windows from the longest
-tier down, and the gaps are filled with the largest pieces of shorter tiers that fit. Sequences are then dealt to step
-groups of near equal attention cost.
+tier that holds it, and the tiers are packed from the longest down: a tier's longest piece opens a window of the tier's
+size, whose gap is filled with the largest pieces of its own and of shorter tiers that fit. A window of a shorter tier is
+a sequence if it is full to the last id; what is left of the shorter tiers then goes to windows of the longest. Sequences
+are dealt to step groups that have near equal numbers of each tier and near equal attention costs.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 TIERS = (256, 512, 1024, 2048)
 #: Id that ends a document.
 END_ID = 1
-#: Documents a shard packs; each shard leaves one window part empty at most.
-SHARD_DOCS = 20_000
-#: Sequences in a step group.
-STEP_SEQUENCES = 32
+#: Documents whose pieces a shard packs.
+SHARD_DOCS = 5_000
+#: Ids in the sequences of a step group.
+STEP_IDS = 32 * TIERS[-1]
 #: Distinct chunks, and distinct words, whose ids a worker keeps.
 CACHE = 400_000
 
@@ -104,42 +105,75 @@ def pieces(docs: DataFrame, window: int, tokenizer: str, id_col: str, text_col:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, ", ".join(f"{f} long" for f in fields))
 
 
-def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[int]]:
-    """Sequences, as lists of indexes of lengths, each at most the longest tier in all."""
-    window, sequences = tiers[-1], []
-    at: dict[int, list[int]] = {}
-    for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i), reverse=True):
-        if lengths[i] in tiers:
-            sequences.append([i])
-        else:
-            at.setdefault(lengths[i], []).append(i)
-    sizes = sorted(at)
+class Pool:
+    """The pieces of one tier that wait, by length; of equal ones the last put in is the first out."""
+
+    def __init__(self):
+        self.at: dict[int, list[int]] = {}
+        self.sizes: list[int] = []
+
+    def put(self, length: int, piece: int) -> None:
+        if length not in self.at:
+            insort(self.sizes, length)
+        self.at.setdefault(length, []).append(piece)
 
-    def take(most: int) -> int | None:
-        k = bisect_right(sizes, most) - 1
+    def take(self, most: int) -> int | None:
+        """The largest piece of at most so many ids."""
+        k = bisect_right(self.sizes, most) - 1
         if k < 0:
             return None
-        i = at[sizes[k]].pop()
-        if not at[sizes[k]]:
-            sizes.pop(k)
-        return i
-
-    while sizes:
-        sequence, gap = [], window
-        while (i := take(gap)) is not None:
-            sequence.append(i)
-            gap -= lengths[i]
-        sequences.append(sequence)
+        waiting = self.at[self.sizes[k]]
+        piece = waiting.pop()
+        if not waiting:
+            del self.at[self.sizes.pop(k)]
+        return piece
+
+
+def tier_of(length: int, tiers: tuple[int, ...] = TIERS) -> int:
+    """The smallest tier that holds a piece of the length, which is at most the longest tier."""
+    return tiers[bisect_left(tiers, length)]
+
+
+def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[int]]]:
+    """(tier, indexes of lengths) of each sequence: full to the tier's last id, but for those of the longest tier."""
+    pools = {t: Pool() for t in tiers}
+    for i, length in enumerate(lengths):
+        pools[tier_of(length, tiers)].put(length, i)
+
+    def window(first: int, size: int, fillers: list[Pool]) -> tuple[list[int], int]:
+        pieces, gap = [first], size - lengths[first]
+        while gap:
+            piece = next((p for p in (pool.take(gap) for pool in fillers) if p is not None), None)
+            if piece is None:
+                break
+            pieces.append(piece)
+            gap -= lengths[piece]
+        return pieces, gap
+
+    sequences, left = [], Pool()
+    for k in range(len(tiers) - 1, -1, -1):
+        fillers = [pools[t] for t in reversed(tiers[: k + 1])]
+        while (first := pools[tiers[k]].take(tiers[k])) is not None:
+            pieces, gap = window(first, tiers[k], fillers)
+            if gap and k < len(tiers) - 1:
+                for i in pieces:
+                    left.put(lengths[i], i)
+            else:
+                sequences.append((tiers[k], pieces))
+    while (first := left.take(tiers[-1])) is not None:
+        sequences.append((tiers[-1], window(first, tiers[-1], [left])[0]))
     return sequences
 
 
-def step_groups(costs: list[float], per_group: int = STEP_SEQUENCES) -> list[int]:
-    """A group for each sequence: groups of per_group, dealt to and fro by falling cost so that their costs are close."""
-    n = -(-len(costs) // per_group)
-    out = [0] * len(costs)
-    for k, i in enumerate(sorted(range(len(costs)), key=lambda i: (-costs[i], i))):
-        turn, place = divmod(k, n)
-        out[i] = n - 1 - place if turn % 2 else place
+def step_groups(sequences: list[tuple[int, float]], ids: int = STEP_IDS) -> list[int]:
+    """A group for each (tier, cost): tier by tier and by falling cost each group gets one in turn, the cheapest group first."""
+    n = max(1, -(-sum(t for t, _ in sequences) // ids))
+    out, spent = [0] * len(sequences), [0.0] * n
+    order = sorted(range(len(sequences)), key=lambda i: (-sequences[i][0], -sequences[i][1], i))
+    for at in range(0, len(order), n):
+        for i, group in zip(order[at : at + n], sorted(range(n), key=lambda g: (spent[g], g))):
+            out[i] = group
+            spent[group] += sequences[i][1]
     return out
 
 
@@ -151,20 +185,20 @@ def _packed(tiers: tuple[int, ...]):
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
+        table = table.sort_by([(f, "ascending") for f in ("length", "doc_id", "start", "ids_crc32")])  # a task that runs again packs alike
         shard, lengths = TaskContext.get().partitionId() << 32, table["length"].to_pylist()
         sequences = pack_lengths(lengths, tiers)
-        groups = step_groups([float(sum(lengths[i] ** 2 for i in s)) for s in sequences])
+        groups = step_groups([(t, float(sum(lengths[i] ** 2 for i in s))) for t, s in sequences])
         order, extra = [], [[], [], [], []]
-        for k, (s, group) in enumerate(zip(sequences, groups)):
-            offset, total = 0, sum(lengths[i] for i in s)
-            tier = total if total in tiers else tiers[-1]
+        for k, ((tier, s), group) in enumerate(zip(sequences, groups)):
+            offset = 0
             for i in s:
                 order.append(i)
                 for c, x in zip(extra, (shard + k, offset, tier, shard + group)):
                     c.append(x)
                 offset += lengths[i]
         kept = table.select(fields).take(pa.array(order))
-        yield from pa.table([*kept.columns, *(pa.array(c, pa.int64()) for c in extra)], names).to_batches()
+        yield from pa.table([*kept.columns, *(pa.array(c, pa.int64()) for c in extra)], names).to_batches(max_chunksize=10_000)
 
     return run
 
@@ -172,8 +206,11 @@ def _packed(tiers: tuple[int, ...]):
 def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group) of every piece.
 
-    A null or empty text is the one id that ends every document. Repeated rows, and rows without an id, are packed like
-    any other. tier is the length the sequence is padded to: a sequence that fills a tier exactly is not padded beyond it.
+    A null or empty text is the one id that ends every document; a very long one becomes as many windows as it fills and
+    a rest. Repeated rows, and rows without an id, are packed like any other; of pieces of one length the last in order
+    of id and place is taken first. An empty table has no pieces. Other columns of docs are left out, whatever their
+    names. tier is the context size whose window the piece was packed in: a sequence of a shorter tier fills it to the
+    last id, one of the longest is padded to it. step_group numbers the groups within a shard.
     """
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     spread = pieces(docs, tiers[-1], tokenizer or _default_tokenizer(), id_col, text_col).repartition(shards)

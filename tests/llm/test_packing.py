@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -22,21 +22,41 @@ def test_ids_are_the_tokenizers(text):
     assert np.frombuffer(OWN.ids(text.encode()), "<u4").tolist() == want
 
 
-def test_sequences_hold_each_piece_once_with_little_padding():
+def padding(totals):
+    return sum(0 if t & (t - 1) == 0 else 2048 - t for t in totals) / sum(totals)
+
+
+def test_tiers_hold_each_piece_once_with_little_padding():
     rng = random.Random(2)
     lengths = [min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(5000)]
     sequences = packing.pack_lengths(lengths)
-    assert sorted(i for s in sequences for i in s) == list(range(5000))
-    totals = [sum(lengths[i] for i in s) for s in sequences]
-    assert max(totals) <= 2048
-    padded = sum(0 if t in packing.TIERS else 2048 - t for t in totals)
-    assert padded < 0.01 * sum(totals)
-    costs = [float(sum(lengths[i] ** 2 for i in s)) for s in sequences]
-    groups, load = packing.step_groups(costs), defaultdict(float)
-    for g, c in zip(groups, costs):
-        load[g] += c
-    assert max(groups.count(g) for g in load) <= packing.STEP_SEQUENCES
-    assert max(load.values()) < 1.6 * sum(load.values()) / len(load)
+    assert sorted(i for _, s in sequences for i in s) == list(range(5000))
+    totals = [sum(lengths[i] for i in s) for _, s in sequences]
+    assert all(total == tier or total < tier == 2048 for total, (tier, _) in zip(totals, sequences))
+    tiers = Counter(tier for tier, _ in sequences)
+    assert all(tiers[t] > 50 for t in packing.TIERS)
+    for tier, s in sequences:  # a piece is in its own tier's window or fills the gap of a longer one
+        assert all(packing.tier_of(lengths[i]) <= tier for i in s)
+    assert padding(totals) < 0.002
+
+
+def test_tiers_are_packed_each_and_fill_longer_gaps():
+    assert [packing.tier_of(n) for n in (1, 256, 257, 512, 513, 1024, 1025, 2048)] == [256, 256, 512, 512, 1024, 1024, 2048, 2048]
+    assert sorted(packing.pack_lengths([300, 212, 300, 212])) == [(512, [0, 1]), (512, [2, 3])]
+    assert packing.pack_lengths([2000, 48, 300]) == [(2048, [0, 1]), (2048, [2])]  # a gap is filled from the shortest tier
+    assert packing.pack_lengths([700, 800, 500]) == [(2048, [1, 0, 2])]  # windows of 1,024 that stay open go together
+    assert packing.pack_lengths([]) == []
+
+
+def test_step_groups_are_balanced():
+    rng = random.Random(3)
+    sequences = [(rng.choice(packing.TIERS), rng.random() * 1e6) for _ in range(4000)]
+    load, ids = defaultdict(float), Counter()
+    for g, (tier, cost) in zip(packing.step_groups(sequences), sequences):
+        load[g] += cost
+        ids[g] += tier
+    assert max(load.values()) < 1.05 * min(load.values()) and max(ids.values()) < 1.1 * packing.STEP_IDS
+    assert packing.step_groups([]) == []
 
 
 def test_rows(spark):
