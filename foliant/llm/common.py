@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,4 +20,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return graph.components(edges)
 
 
-__all__ = ["connected_components", "scratch_path", "shared_dir", "written"]
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of a batch that are Python objects at the same time.
+SLICE_ROWS = 128
+
+
+def sliced(batches) -> Iterator:
+    """The batches in slices of a few rows: whole texts are held as Python objects only so many at a time."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+__all__ = ["connected_components", "scratch_path", "shared_dir", "sliced", "unused", "written"]

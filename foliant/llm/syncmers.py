@@ -1,9 +1,10 @@
 """Operator 8: document fingerprints of closed syncmers.
 
-A k-mer of bytes is an anchor if the smallest hash of its inner s-mers is that of its first or of its last one and of no
-other: whether it is chosen depends on its own bytes alone, so an edit changes only the anchors it touches. A fingerprint
-is the anchors' hashes in text order. Two fingerprints are matched by position: equal hashes are paired occurrence by
-occurrence, and of the pairs the longest run that rises in both texts counts.
+A k-mer of bytes is an anchor if the first smallest hash of its inner s-mers is that of its first or of its last one:
+whether it is chosen depends on its own bytes alone, so an edit changes only the anchors it touches, and any K - S
+k-mers in a row have an anchor among them, also where a text repeats itself. A fingerprint is the anchors' hashes in
+text order, by the same K and S for every length. Two fingerprints are matched by position: equal hashes are paired
+occurrence by occurrence, and of the pairs the longest run that rises in both texts counts.
 """
 
 from __future__ import annotations
@@ -19,12 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import sliced
+
 #: Bytes of a k-mer and of its inner s-mers; one position in (K - S + 1) / 2 is an anchor on average.
-K, S = 31, 8
-#: Texts of fewer code points have anchors of SHORT_K and SHORT_S, too, as they have few of the others.
-SHORT, SHORT_K, SHORT_S = 400, 11, 5
-#: Stands between the two sets of anchors of a short text; no sign of base64.
-BETWEEN = "."
+K, S = 12, 4
 #: Bytes of an anchor's hash in the fingerprint.
 HASH_BYTES = 3
 #: Bytes of a text that are hashed at once.
@@ -56,12 +55,12 @@ def _smallest(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(text: bytes, k: int = K, s: int = S) -> np.ndarray:
-    """The hashes of the closed syncmers of the text in order; of the whole text where it is too short or has none."""
+    """The hashes of the closed syncmers of the text in order; of the whole text where it is shorter than a k-mer."""
     data, found, w = np.frombuffer(text, np.uint8), [], k - s + 1
     for at in range(0, len(data) - k + 1, CHUNK):
         h = _smers(data[at : at + CHUNK + k - 1], s)
         inner, n = _smallest(h, w - 1), len(h) - w + 1
-        chosen = np.flatnonzero((h[:n] < inner[1:]) | (h[w - 1 :] < inner[:n]))
+        chosen = np.flatnonzero((h[:n] <= inner[1:]) | (h[w - 1 :] < inner[:n]))
         x = np.zeros(len(chosen), np.uint64)
         for i in (*range(0, w - 1, s), w - 1):
             x = _mixed(x + h[chosen + i])
@@ -73,37 +72,38 @@ def anchors(text: bytes, k: int = K, s: int = S) -> np.ndarray:
 
 
 def fingerprint(text: str, k: int = K, s: int = S) -> str:
-    """The anchors' hashes, HASH_BYTES each, in base64; empty for an empty text.
+    """The anchors' hashes, HASH_BYTES each, in base64; empty for an empty text."""
+    found = anchors(text.encode(), k, s).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+    return base64.b64encode(found.tobytes()).decode()
 
-    A short text has its shorter anchors, BETWEEN, and those that any other text has.
-    """
-    data, sizes = text.encode(), [(min(k, SHORT_K), min(s, SHORT_S)), (k, s)] if 0 < len(text) < SHORT else [(k, s)]
-    found = (anchors(data, *x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES] for x in sizes)
-    return BETWEEN.join(base64.b64encode(x.tobytes()).decode() for x in found)
 
+def _hashes(fp: str) -> np.ndarray:
+    data = np.frombuffer(base64.b64decode(fp), np.uint8).reshape(-1, HASH_BYTES)
+    return sum(data[:, i].astype(np.uint32) << np.uint32(8 * i) for i in range(HASH_BYTES))
 
-def likeness(a: str, b: str) -> float:
-    """Share of the anchors of both that are matched by position, 0 to 1; 1 for equal fingerprints, also empty ones.
 
-    Two short texts are compared by their shorter anchors, a short one and another by those of the size that both have.
-    """
+def likeness(a: str, b: str) -> float:
+    """Share of the anchors of both that are matched by position, 0 to 1; 1 for equal fingerprints, also empty ones."""
     if a == b:
         return 1.0
-    a, b = (f.split(BETWEEN)[0 if BETWEEN in a and BETWEEN in b else -1] for f in (a, b))
-    step = 4 * HASH_BYTES // 3
-    x, y = ([f[i : i + step] for i in range(0, len(f), step)] for f in (a, b))
-    if not x or not y:
+    if not a or not b:
         return 0.0
+    x, y = _hashes(a), _hashes(b)
+    total, n = len(x) + len(y), min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    same = int(differ[0]) if len(differ) else n  # a common start pairs with itself and is part of the longest run
+    x, y = x[same:], y[same:]
+    at = np.flatnonzero(np.isin(y, x))
     places = defaultdict(list)
-    for j in range(len(y) - 1, -1, -1):
-        places[y[j]].append(j)
+    for j, h in zip(at[::-1].tolist(), y[at[::-1]].tolist()):
+        places[h].append(j)
     tails: list[int] = []
-    for h in x:
-        if (at := places.get(h)):
-            j = at.pop()
+    for h in x[np.isin(x, y)].tolist():
+        if waiting := places[h]:
+            j = waiting.pop()
             t = bisect_left(tails, j)
             tails[t : t + 1] = [j]
-    return 2 * len(tails) / (len(x) + len(y))
+    return 2 * (same + len(tails)) / total
 
 
 def edited(text: str, after: str) -> str:
@@ -116,26 +116,34 @@ LEAST = -(2**63)
 
 
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, after, doc, h, text): docs dealt by ranges of doc, and the row that follows each part's last as its last.
+    """(part, after, doc, h, text): docs dealt by ranges of doc and h, and the row that follows each part's last as its last.
 
-    The ranges' ends are quantiles of doc. The first row of a part goes to the part before, too, that of the first part
-    to the last. Only two numbers for each part go through the driver.
+    The ranges' ends are quantiles of doc; an id that fills several ranges, as null ids may, is dealt to them by ranges of
+    its rows' hashes. The first row of a part goes to the part before, too, that of the first part to the last. Only a few
+    numbers for each part go through the driver.
     """
-    ends = np.array(sorted(set(docs.approxQuantile("doc", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else [])
+    ends = np.array(sorted(docs.approxQuantile("doc", [i / parts for i in range(1, parts)], 0.1 / parts)) if parts > 1 else [])
+    heavy = sorted({int(x) for x, y in zip(ends, ends[1:]) if x == y})
+    h = F.when(F.col("doc").isin(heavy), F.xxhash64("text")).otherwise(F.lit(0)) if heavy else F.lit(0)
+    docs = docs.withColumn("cut", h.cast("long"))
 
     @F.pandas_udf("int")
-    def part_of(doc: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(ends, doc.to_numpy("float64"), side="left").astype("int32"))
+    def part_of(doc: pd.Series, cut: pd.Series) -> pd.Series:
+        at = doc.to_numpy("float64")
+        low, high = (np.searchsorted(ends, at, side=s) for s in ("left", "right"))
+        share = cut.to_numpy("float64") / 2.0**64 + 0.5
+        return pd.Series((low + np.minimum(np.floor(share * np.maximum(high - low, 1)), np.maximum(high - low - 1, 0))).astype("int32"))
 
-    firsts = sorted((r.part, r.doc) for r in docs.select("doc").groupBy(part_of("doc").alias("part")).agg(F.min("doc").alias("doc")).collect())
-    before = {doc: firsts[i - 1][0] for i, (_, doc) in enumerate(firsts)}
+    part = part_of("doc", "cut")
+    firsts = sorted((r.part, *r.x) for r in docs.select("doc", "cut").groupBy(part.alias("part")).agg(F.min(F.struct("doc", "cut")).alias("x")).collect())
+    before = {(doc, cut): firsts[i - 1][0] for i, (_, doc, cut) in enumerate(firsts)}
 
     @F.pandas_udf("int")
-    def copied_to(doc: pd.Series) -> pd.Series:
-        return doc.map(before).astype("Int32")
+    def copied_to(doc: pd.Series, cut: pd.Series) -> pd.Series:
+        return pd.Series([before.get(x) for x in zip(doc.tolist(), cut.tolist())], dtype="Int32")
 
     places = F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("after")), F.struct(F.col("copy").alias("part"), F.lit(True).alias("after")))
-    rows = docs.withColumns({"own": part_of("doc"), "copy": copied_to("doc")}).withColumn("p", F.explode(F.filter(places, lambda x: x["part"].isNotNull())))
+    rows = docs.withColumns({"own": part, "copy": copied_to("doc", "cut")}).withColumn("p", F.explode(F.filter(places, lambda x: x["part"].isNotNull())))
     rows = rows.select("p.part", "p.after", "doc", F.xxhash64("text").alias("h"), "text")
     return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "after", "doc", "h")
 
@@ -145,8 +153,8 @@ def _compared(k: int, s: int):
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches):
-        held = part = None  # the row whose next is awaited
-        for batch in batches:
+        held = None  # the row whose next is awaited
+        for batch in sliced(batches):
             out = []
             for p, after, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "after", "doc", "text"))):
                 if held is None and after:
@@ -168,7 +176,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     Rows stand in order of id, a null id first and rows of one id by a hash of the text; after the last comes the first.
-    A null text is empty; an empty text has an empty fingerprint and is like an empty one only. Each text moves once.
+    A null text is empty; an empty text has an empty fingerprint and is like an empty one only. A text of fewer than k
+    bytes has one anchor, itself, and is like an equal one only. Repeated rows are kept, an empty table gives no rows,
+    and other columns of docs are left out, whatever their names. Each text moves once.
     """
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(LEAST)).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

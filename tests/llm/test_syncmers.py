@@ -5,18 +5,19 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliant.llm import syncmers
 
 
-def brute_anchor_places(data, k=31, s=8):
+def brute_anchor_places(data, k=syncmers.K, s=syncmers.S):
     if len(data) < k:
         return []
     h = [int(syncmers._smers(np.frombuffer(data[i : i + s], np.uint8), s)[0]) for i in range(len(data) - s + 1)]
     out = []
     for i in range(len(data) - k + 1):
         inner = h[i : i + k - s + 1]
-        if inner.count(min(inner)) == 1 and min(inner) in (inner[0], inner[-1]):
+        if inner.index(min(inner)) in (0, len(inner) - 1):
             out.append(i)
     return out
 
@@ -27,7 +28,7 @@ def test_anchors_are_the_closed_syncmers(data):
     places = brute_anchor_places(data)
     got = syncmers.anchors(data)
     assert len(got) == (len(places) or bool(data))
-    alone = [syncmers.anchors(data[i : i + 31])[0] for i in places]  # context-free
+    alone = [syncmers.anchors(data[i : i + syncmers.K])[0] for i in places]  # context-free
     assert not places or got.tolist() == alone
 
 
@@ -86,11 +87,35 @@ def test_rows(spark):
     assert syncmers.fingerprints(docs).columns == docs.columns
 
 
-def test_likeness_across_the_short_size():
+def test_likeness_at_every_length():
     rng = random.Random(6)
     text = "".join(rng.choices("abcdefghij klmnop", k=1200))
     of = lambda a, b: syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b))
-    assert of(text[:399], text[:401]) > 0.9 and of(text[:401], text[:399]) > 0.9 and of(text[:398], text[:399]) > 0.9
-    assert of(text[:419], syncmers.edited(text[:419], "short")) > 0.6  # 320 code points of 419 are left
-    assert 0.3 < of(text[:390], text[:1000]) < 0.8  # 780 of 1,390
-    assert of(text[:399], text[600:1100]) == of("", text[:399]) == of("", text[:401]) == 0 and of("", "") == 1
+    for n in (300, 380, 399, 400, 401, 419, 450, 533, 700):
+        assert of(text[:n], syncmers.edited(text[:n], "short")) > 0.6, n
+        assert of(text[: n - 2], text[:n]) > 0.9, n
+    assert of(text, text[:399]) > 0.4 and 0.3 < of(text[:390], text[:1000]) < 0.8  # 780 of 1,390
+    assert of(text[:399], text[600:1100]) < 0.02 and of("", text[:399]) == 0 and of("", "") == 1
+
+
+def test_a_repetitive_text_keeps_its_anchors():
+    of = lambda a, b: syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b))
+    for text in ("ab" * 3000, "a" * 3000, "the and " * 500):
+        places = brute_anchor_places(text.encode()[:600])
+        assert max(np.diff([-1, *places])) <= syncmers.K - syncmers.S
+        assert of(text, syncmers.edited(text, "something else " * 200)) > 0.6
+
+
+def test_rows_of_one_id_are_dealt_to_many_parts(spark):
+    rows = [(None, f"text {i} of no id " * 3) for i in range(300)] + [(i, f"text {i} of an id " * 3) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(syncmers.LEAST)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    dealt = syncmers._dealt(keyed, 10).where(~F.col("after"))
+    per_part = [r["count"] for r in dealt.groupBy("part").count().collect()]
+    assert sum(per_part) == 500 and max(per_part) < 150
+    got = syncmers.compare_with_next(docs).collect()
+    assert len(got) == 500
+    order = [r for r in sorted(dealt.collect(), key=lambda r: (r.part, r.doc, r.h))]
+    assert [(r.doc, r.h) for r in order] == sorted((r.doc, r.h) for r in order)
+    want = {(a.doc, hashlib.sha256(syncmers.edited(a.text.decode(), b.text.decode()).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1])}
+    assert {(syncmers.LEAST if r.doc_id is None else r.doc_id, r.edited_sha256) for r in got} == want
