@@ -1,9 +1,9 @@
 """Operator 1: URL filters by association rules.
 
 Labelled URLs become sets of tokens; Spark's FP-growth mines the combinations that are frequent among them, and those
-that lead to a bad label with enough confidence become rules. A rule is dropped if a part of it is as sure. Rules are
-kept in an inverted index: each under the rarest of its tokens, so that a URL meets only the rules filed under a token
-of its own. Written-down host and path rules come first.
+that lead to a bad label with enough confidence become rules. A rule is dropped if the rule without one of its tokens is
+as sure. Rules are kept in an inverted index: each under the rarest of its tokens, so that a URL meets only the rules
+filed under a token of its own. Written-down host and path rules come first.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import written
 
-#: Share of the labelled URLs that a bad combination must be in, the least number of them, and the share that must be bad.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 25, 0.5
+#: Share of the labelled URLs that a bad combination must be in, and the share of its URLs that must be bad.
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.5
+#: So many URLs of the labelled ones' bad share are added to a combination's own: few URLs alone make none sure.
+PRIOR_URLS = 4
 BAD = "=bad"
 ALLOW, BLOCK = "allow", "block"
 #: (action, host and path): a written-down list.
@@ -53,38 +55,36 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.array_distinct(F.concat(*parts))).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, prior_urls: float = PRIOR_URLS) -> DataFrame:
     """(rule, tokens, confidence, support, key, equal): from rows (url, bad); rows without a url or a label teach nothing.
 
+    confidence is the share of the combination's URLs that are bad, with prior_urls more of the overall bad share.
     Only tokens that are themselves frequent in bad URLs can be in such a combination; the others are left out before
-    the search, and so are those that nearly every URL has, as they tell nothing apart. Of tokens that lie in exactly
-    the same URLs one stands for all in the search, the widest site or else the shortest: one URL that fills a third of the
-    rows doesn't multiply combinations. equal has, for each token of the rule, all that it stands for, itself first; with
-    any one of each the combination has the same confidence and support. key is the rule's rarest token.
+    the search. Of tokens that lie in exactly the same URLs one stands for all in the search, the widest site or else the
+    shortest: one URL that fills a third of the rows doesn't multiply combinations. equal has, for each token of the
+    rule, all that it stands for, itself first; with any one of each the combination has the same confidence and support.
+    key is the rule's rarest token. Repeated rows count as often as they are there; without rows, or bad ones, there are
+    no rules.
     """
     rows = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), F.col("bad").cast("boolean").alias("bad"))
     rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "labelled-urls")
-    n = rows.count()
-    empty = rows.sparkSession.createDataFrame([], "rule array<string>, tokens array<string>, confidence double, support double, key string, equal array<array<string>>")
-    min_support = max(min_support, min_count / max(n, 1))
-    if min_support > 1:  # too few to tell anything from chance
-        return empty.select(F.lit(0).cast("long").alias("rule"), "tokens", "confidence", "support", "key", "equal")
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0))).first()
     marks = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"mark{k}") for k in (1, 2)]
-    tokens = rows.select("id", "bad", F.explode("tokens").alias("t")).groupBy("t").agg((F.count(F.lit(1)) / n).alias("share"), (F.sum(F.col("bad").cast("int")) / n).alias("bad_share"), *marks)
+    tokens = rows.select("id", "bad", F.explode("tokens").alias("t")).groupBy("t").agg((F.count(F.lit(1)) / max(n, 1)).alias("share"), (F.sum(F.col("bad").cast("int")) / max(n, 1)).alias("bad_share"), *marks)
     tokens = written(tokens, "url-tokens")
-    useful = tokens.where((F.col("bad_share") >= min_support) & (F.col("share") <= 0.95)).groupBy("share", "mark1", "mark2").agg(F.array_sort(F.collect_list(F.struct((~F.startswith("t", F.lit("site:"))).alias("inner"), F.length("t").alias("n"), "t"))).alias("x"))
+    useful = tokens.where((F.col("bad_share") >= min_support) & (F.col("bad_share") > 0)).groupBy("share", "mark1", "mark2").agg(F.array_sort(F.collect_list(F.struct((~F.startswith("t", F.lit("site:"))).alias("inner"), F.length("t").alias("n"), "t"))).alias("x"))
     useful = written(useful.select(F.col("x.t")[0].alias("t"), F.col("x.t").alias("same")), "url-token-classes")
     kept = rows.select("id", "bad", F.explode("tokens").alias("t")).join(useful.select("t"), "t").groupBy("id", "bad").agg(F.collect_list("t").alias("items"))
     items = kept.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(written(items, "url-token-sets"))
-    sets = model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
+    sets = written(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-frequent-sets")
     bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("n_bad"))
-    rules = bad.join(sets.withColumnRenamed("items", "tokens"), "tokens").select("tokens", (F.col("n_bad") / F.col("freq")).alias("confidence"), (F.col("n_bad") / n).alias("support"))
-    rules = written(rules.where(F.col("confidence") >= min_confidence).withColumn("rule", F.xxhash64("tokens")), "url-rules")
-    one = rules.select("rule", "confidence", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    parts = one.alias("a").join(one.alias("b"), F.expr("a.t = b.t AND a.n < b.n AND a.confidence >= b.confidence"))
-    whole = parts.groupBy(F.col("a.rule").alias("part"), F.col("b.rule").alias("rule"), F.col("a.n").alias("n")).count().where(F.col("count") == F.col("n"))
-    rules = rules.join(whole.select("rule").distinct(), "rule", "left_anti")
+    sure = (F.col("n_bad") + prior_urls * n_bad / max(n, 1)) / (F.col("freq") + prior_urls)
+    bad = written(bad.join(sets.withColumnRenamed("items", "tokens"), "tokens").select("tokens", sure.alias("confidence"), (F.col("n_bad") / max(n, 1)).alias("support")), "url-bad-sets")
+    rules = bad.where(F.col("confidence") >= min_confidence).withColumn("rule", F.xxhash64("tokens"))
+    parts = rules.where(F.size("tokens") > 1).select("rule", "confidence", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))
+    as_sure = parts.join(bad.select(F.col("tokens").alias("part"), F.col("confidence").alias("of_part")), "part").where("of_part >= confidence")
+    rules = written(rules.join(as_sure.select("rule").distinct(), "rule", "left_anti"), "url-rules")
     keys = rules.select("rule", F.explode("tokens").alias("t")).join(tokens, "t").groupBy("rule").agg(F.min(F.struct("share", "t")).alias("k"))
     equal = rules.select("rule", F.posexplode("tokens").alias("i", "t")).join(useful, "t").groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("i", "same"))).alias("e"))
     rules = rules.join(keys, "rule").join(equal, "rule")
@@ -118,21 +118,21 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, prior_urls: float = PRIOR_URLS, url_col: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict, confidence and tokens (of the mined rule), in place of columns of such names.
 
     labelled has (url, bad). verdict is that of the written-down rule or else block where a mined rule matches, allow
     where none does. A null url, or one without ://, has an empty host and path and matches no mined rule. Every row of
     pages is kept, repeated ones too; each distinct url is matched once.
     """
-    mined = mine_rules(labelled, min_support, min_confidence, min_count)
+    mined = mine_rules(labelled, min_support, min_confidence, prior_urls)
     own = ["host", "path", "rule", "verdict", "confidence", "tokens"]
     base = pages.drop(*own)
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     base = base.withColumns({"host": host, "path": path}).withColumn("rule", listed_rule(F.col("host"), F.col("path"), rules))
     open_urls = base.where(F.col("rule").isNull() & F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"))
-    hits = written(matched(open_urls, mined), "matched-urls").withColumnRenamed("url", "__url")
-    out = base.join(hits, F.col(url_col) == F.col("__url"), "left").drop("__url")
+    hits = written(matched(open_urls, mined), "matched-urls")
+    out = base.join(hits, base[url_col] == hits["url"], "left").select(*(base[c] for c in base.columns), hits["confidence"], hits["tokens"])
     actions = F.lit(None).cast("string")
     for action, rule in rules:
         actions = F.when(F.col("rule") == rule, action).otherwise(actions)
