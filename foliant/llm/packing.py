@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,12 @@ class ChunkTokenizer(dict):
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> ChunkTokenizer:
+    """A worker's tokenizer, whose caches outlive its tasks."""
+    return ChunkTokenizer(path)
+
+
 def _default_tokenizer() -> str:
     import public_tokenizers
 
@@ -90,7 +97,7 @@ def pieces(docs: DataFrame, window: int, tokenizer: str, id_col: str, text_col:
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
-        tok, end = ChunkTokenizer(tokenizer), np.array([END_ID], "<u4").tobytes()
+        tok, end = _tokenizer(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
