@@ -8,15 +8,19 @@ it lies.
 from __future__ import annotations
 
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm.common import sliced, unused, written
+
 #: The family of a language code. A code that is not here is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
@@ -30,8 +34,13 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-#: Texts of each language that the model is fitted on, at most; all other figures cover all rows.
-TRAIN_PER_LANG = 500
+#: Distinct texts of each language that the model is fitted on, at most, and languages, the most frequent ones; what is
+#: predicted covers all rows.
+TRAIN_PER_LANG, MAX_LANGS = 500, 200
+#: Machines that are fitted at the same time.
+FITS_AT_ONCE = 8
+#: Least score of a text whose language is taken as known.
+LEAST_SCORE = 0.5
 #: Hashed features: 256 single bytes, then byte pairs and byte triples.
 PAIRS, TRIPLES = 1024, 2816
 DIM = 256 + PAIRS + TRIPLES
@@ -77,15 +86,17 @@ def _vectors(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, x array<double>").select("lang", array_to_vector("x").alias("features"))
 
 
-def sample(rows: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """About per_lang rows of each language, chosen by a hash of id and text, never many more in all."""
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row a language
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, per_lang / n).otherwise(share)
-    chance = F.pmod(F.xxhash64(id_col, text_col, F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(chance < share).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    return chosen.limit(2 * per_lang * max(1, len(counts)))  # one text repeated very often passes or fails as one
+def sample(rows: DataFrame, per_lang: int, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text as binary): of each of the most frequent languages the per_lang distinct texts of least hash.
+
+    Each language is bounded on its own, and a text counts once however often it is repeated.
+    """
+    named = rows.where(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
+    known = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    texts = named.select("lang", "h").join(F.broadcast(known.select("lang")), "lang").distinct()
+    least = texts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang)  # cut off in each task first
+    chosen = written(least.select("lang", "h"), "training-texts")  # per_lang * MAX_LANGS rows at most
+    return named.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 class Model:
@@ -119,22 +130,19 @@ class Model:
 MAX_ITER = 15
 
 
-def _machines(rows: DataFrame, label: str, classes: list[str]) -> tuple:
-    """A linear SVM for each two classes."""
-    pairs = {}
-    for (i, a), (j, b) in combinations(enumerate(classes), 2):
-        two = rows.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == a).cast("double"))
-        fit = LinearSVC(featuresCol="features", labelCol="y", regParam=1e-4, maxIter=MAX_ITER, standardization=False, aggregationDepth=2).fit(two)
-        pairs[i, j] = np.append(fit.coefficients.toArray(), fit.intercept)
-    return classes, pairs
+def _machine(rows: DataFrame, label: str, a: str, b: str) -> np.ndarray:
+    """Weights and intercept of a linear SVM for class a against b."""
+    two = rows.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == a).cast("double"))
+    fit = LinearSVC(featuresCol="features", labelCol="y", regParam=1e-4, maxIter=MAX_ITER, standardization=False, aggregationDepth=2).fit(two)
+    return np.append(fit.coefficients.toArray(), fit.intercept)
 
 
-def fit(rows: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """The model for the languages of rows (null languages and texts are left out); None if there are none."""
-    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    vectors = _vectors(sample(rows, per_lang, id_col, text_col, lang_col)).persist()
+def fit(rows: DataFrame, per_lang: int = TRAIN_PER_LANG, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """The model for the languages of rows; None if there are none. Rows without a language or a letter teach nothing."""
+    rows = rows.where(F.col(lang_col).isNotNull())
+    vectors = _vectors(written(sample(rows, per_lang, text_col, lang_col), "training-sample")).persist()
     try:
-        langs = sorted(r[0] for r in vectors.select("lang").distinct().collect())
+        langs = sorted(r[0] for r in vectors.select("lang").distinct().collect())  # MAX_LANGS at most
         if not langs:
             return None
         family = {x: FAMILY_OF.get(x.lower(), x) for x in langs}
@@ -143,24 +151,30 @@ def fit(rows: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id",
             of = F.when(F.col("lang") == x, f).otherwise(of)
         vectors = vectors.withColumn("family", of)
         members = {f: [x for x in langs if family[x] == f] for f in sorted(set(family.values()))}
-        return Model(_machines(vectors, "family", list(members)), {f: _machines(vectors, "lang", x) for f, x in members.items()})
+        levels = [("family", list(members)), *(("lang", x) for x in members.values())]
+        pairs = [(k, label, i, j) for k, (label, classes) in enumerate(levels) for i, j in combinations(range(len(classes)), 2)]
+        one = inheritable_thread_target(rows.sparkSession)(lambda p: _machine(vectors, p[1], levels[p[0]][1][p[2]], levels[p[0]][1][p[3]]))
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            weights = pool.map(one, pairs, chunksize=1)
+        found = [(classes, {(i, j): w for (at, _, i, j), w in zip(pairs, weights) if at == k}) for k, (_, classes) in enumerate(levels)]
+        return Model(found[0], dict(zip(members, found[1:])))
     finally:
         vectors.unpersist()
 
 
-def _predicted(base: DataFrame, text: Column, model: Model | None) -> DataFrame:
-    """base with lang_pred and score of the text."""
+def _predicted(base: DataFrame, text: Column, model: Model | None, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """base with the language and the score of the text."""
+    (held,) = unused(base, "text_read")
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("__text").to_pylist()
+        for batch in sliced(batches):
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             found = [(UND, 0.0) if model is None or text is None else model.predict(text) for text in texts]
-            out = batch.drop_columns(["__text"])
             langs, scores = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*out.columns, langs, scores], [*out.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], langs, scores], [*batch.schema.names[:-1], lang_name, score_name])
 
-    schema = T.StructType([*base.drop("__text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return base.withColumn("__text", F.when(text.rlike(r"\p{L}"), text).cast("binary")).mapInArrow(run, schema)
+    schema = T.StructType([*base.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
+    return base.select("*", F.when(text.rlike(r"\p{L}"), text).cast("binary").alias(held)).mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -168,6 +182,20 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     return _predicted(docs.drop("lang_pred", "score"), F.col(text_col), model)
 
 
+def keep_known(docs: DataFrame, model: Model | None, languages: tuple[str, ...] | None = None, least_score: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is in a language that the model knows, with all their columns.
+
+    A row goes if its text is null or has no letter, if the score of the predicted language is under least_score, or if
+    that language is not one of languages (None: any that was learned). Without a model only the letter counts.
+    """
+    if model is None:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    lang, score = unused(docs, "lang_pred", "score")
+    found = _predicted(docs, F.col(text_col), model, lang, score)
+    known = (F.col(lang) != UND) & (F.col(score) >= least_score)
+    return found.where(known if languages is None else known & F.col(lang).isin(*languages)).select(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no model is fitted on: CRC-32 of the id as text is 2 modulo 4; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -176,9 +204,11 @@ def held_out(id_col: str = "doc_id"):
 def identify(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, by a model fitted on the rows that are not held out.
 
-    A null text, or one without a letter, is und with score 0. An empty table gives no rows. Repeated rows and rows
-    without an id are kept; rows without a language are predicted but not learned from.
+    A null text, or one without a letter, is und with score 0; a very long one is read whole. An empty table gives no
+    rows. Repeated rows and rows without an id are kept, and predicted alike; rows without a language are predicted but
+    not learned from. Of classes with equal votes the one of the larger product of chances wins, then the first by name.
+    Other columns of docs are left out, whatever their names.
     """
-    model = fit(docs.where(~held_out(id_col)), per_lang, id_col, text_col, lang_col)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))
-    return _predicted(narrow, F.col("__text"), model)
+    model = fit(docs.where(~held_out(id_col)), per_lang, text_col, lang_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return _predicted(rows, F.col("text"), model).drop("text")

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -35,3 +37,65 @@ def test_rejection_keeps_columns(spark):
     docs = spark.createDataFrame(rows(8), "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("old"))
     out = language.predict(docs, None)
     assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and {r.lang_pred for r in out.collect()} == {"und"}
+
+
+def plain_vote(model, text):
+    """One-versus-one votes over the features, written out."""
+    x = language.features(text)
+
+    def choose(classes, pairs):
+        if len(classes) == 1:
+            return classes[0], 1.0
+        chance = lambda i, j: 1 / (1 + math.exp(-max(-50, min(50, 2 * float(x @ pairs[i, j][:-1] + pairs[i, j][-1])))))
+        wins, sure = Counter(), {k: 1.0 for k in range(len(classes))}
+        for i in range(len(classes)):
+            for j in range(i + 1, len(classes)):
+                p = chance(i, j)
+                wins[i if p >= 0.5 else j] += 1
+                sure[i] *= p
+                sure[j] *= 1 - p
+        best = sorted(sure, key=lambda k: (-wins[k], -sure[k], k))[0]
+        return classes[best], sure[best]
+
+    family, p = choose(*model.families)
+    lang, q = choose(*model.members[family])
+    return lang, p * q
+
+
+def test_predictions_are_the_plain_votes(spark):
+    """Eight languages of three families, each told by plain votes, family first."""
+    more = WORDS | {"nl": "het een van niet zijn voor met maar ook naar", "it": "il che non per una sono con anche come più", "pl": "nie się jest na to że do jak ale czy", "cs": "není jsem že ale jak tak bylo jako když nebo"}
+    docs = spark.createDataFrame([(i, " ".join(more[x].split()[(i * 3 + k * k) % 10] for k in range(12)), x) for i, x in ((i, list(more)[i % 8]) for i in range(320))], "doc_id long, text string, lang string")
+    model = language.fit(docs.where(~language.held_out("doc_id")))
+    assert sorted(model.families[0]) == ["germanic", "romance", "slavic"] and sorted(model.members["slavic"][0]) == ["cs", "pl"]
+    got = language.predict(docs, model).where(language.held_out("doc_id")).collect()
+    for r in got:
+        lang, score = plain_vote(model, r.text.encode())
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-9
+    assert len(got) > 50 and sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+
+
+def test_accuracy_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = language.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'")
+    right, n = both.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double")), F.count(F.lit(1))).first()
+    assert n > 200 and right > 0.97
+
+
+def test_each_language_is_sampled_on_its_own(spark):
+    """Thousands of equal rows without an id take no place from another language."""
+    de = [(i, x, "de") for i, (_, x, lang) in enumerate(rows(2400)) if lang == "de"]
+    docs = spark.createDataFrame([(None, "the and that with from have this", "en")] * 6000 + de, "doc_id long, text string, lang string")
+    chosen = language.sample(docs, 30, "text", "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("texts")).collect()
+    assert {r.lang for r in chosen} == {"en", "de"} and all(r.n == r.texts <= 30 for r in chosen)
+    assert {r.lang_pred for r in language.identify(docs).collect()} == {"en", "de"}
+
+
+def test_keep_known(spark):
+    docs = spark.createDataFrame([*rows(160), (900, None, "en"), (901, "12 34", "de"), (902, "", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("own")).withColumn("lang_pred", F.lit("own"))
+    model = language.fit(docs)
+    kept = language.keep_known(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(160)) and {r.score for r in kept.collect()} == {"own"}
+    only = language.keep_known(docs, model, ("fr", "es")).collect()
+    assert {r.doc_id % 4 for r in only} == {2, 3}
+    assert language.keep_known(docs, model, least_score=1.1).count() == 0 and language.keep_known(docs, None).count() == 160
