@@ -1,11 +1,12 @@
 """Operator 5: benchmark decontamination by SimHash windows and multi-index Hamming blocks, with built-in functions only.
 
-A window that starts with a shingle foreign to the item loses nothing when it slides on to the next shared one or to the
-text's end, so windows are laid at every shared shingle, and at the end, from where enough shared shingles lie in reach;
-all others are passed by without loss. Windows aligned with the item by a shared shingle are laid, too, as starts to name
-first. Equal windows are judged once. A window's SimHash is looked up in an index over the items' SimHashes: these are cut into blocks, and two fingerprints
-within the radius differ in at most radius / blocks bits of some block, so an index with all values that near for each
-block misses none. Candidates are verified by the exact weighted similarity of their shingles.
+Windows have an item's size and are compared with the items of that size. A window that starts with a shingle foreign to
+these loses nothing when it slides on to the next shared one or to the text's end, so windows are laid at every shared
+shingle, and at the end, from where enough shared shingles lie in reach; all others are passed by without loss. Equal
+windows are judged once. A window's SimHash is looked up in an index over the items' SimHashes: these are cut into blocks
+with thresholds that add up to radius - blocks + 1, so two fingerprints within the radius differ in at most a block's
+threshold of its bits for some block, and an index with all values that near for each block misses none. Candidates are
+verified by the exact weighted similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import unused, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 two SimHashes of 64 bits differ in 9.7 bits on average, with a deviation of 2.9.
@@ -55,15 +56,21 @@ def _block_value(fp: str, first: int, n: int) -> Column:
     return F.expr(f"shiftrightunsigned({fp}, {first}) & {2**n - 1}L")
 
 
+def _masks(radius: int, m: int) -> list[list[int]]:
+    """For each block the bits to flip for every value within its threshold; the widest blocks have the largest thresholds."""
+    total = radius - m + 1
+    thresholds = [total // m + (i < total % m) for i in range(m)]
+    return [[sum(1 << b for b in c) for r in range(t + 1) for c in combinations(range(n), r)] for t, (_, n) in zip(thresholds, _blocks(m))]
+
+
 def _index(items: DataFrame, radius: int, m: int) -> DataFrame:
-    """(block, value, item, ifp): every value that differs from the item's in at most radius / m bits of the block."""
+    """(item, k, n, ifp, block, value): every value within the block's threshold of the item's; a block without masks is not looked up."""
     near = []
-    for i, (first, n) in enumerate(_blocks(m)):
-        masks = [sum(1 << b for b in c) for r in range(radius // m + 1) for c in combinations(range(n), r)]
+    for i, ((first, n), masks) in enumerate(zip(_blocks(m), _masks(radius, m))):
         flips = F.array(*map(F.lit, masks)).cast("array<bigint>")
         near.append(F.struct(F.lit(i).alias("block"), _block_value("ifp", first, n).alias("own"), flips.alias("flips")))
-    rows = items.select("item", "k", "ifp", F.explode(F.array(*near)).alias("b"))
-    return rows.select("item", "k", "ifp", "b.block", "b.own", F.explode("b.flips").alias("flip")).withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip")
+    rows = items.select("item", "k", "n", "ifp", F.explode(F.array(*near)).alias("b"))
+    return rows.select("item", "k", "n", "ifp", "b.block", "b.own", F.explode("b.flips").alias("flip")).withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip")
 
 
 def _counted(hashes: Column) -> Column:
@@ -100,8 +107,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc, row, item, start, similarity): of each document and item the best window that reaches the similarity.
 
     row is xxhash64 of the text and tells apart rows that share an id; a null id is the least long here. start counts
-    words from 0; of equally similar windows the first of those aligned with the item by a shingle, or else the first. A window has as many words as the item, or all where the document has
-    fewer. The similarity of window and item is the sum over shingles of the smaller of their counts by that of the
+    words from 0; of equally similar windows that are laid it is the first. A window has as many words as the item, or
+    all where the document has fewer. The similarity of window and item is the sum over shingles of the smaller of their counts by that of the
     larger. Items of fewer words than a shingle are one shingle; items and texts that are null or blank match nothing.
     Items that share an id are taken one by one, and the best counts.
     """
@@ -117,39 +124,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_items = sum(r.items for r in sized)
 
     keyed = _keyed(docs, id_col, text_col).withColumn("w", words_of(F.col("text")))
-    first_places = items.select("k", "n", F.posexplode("hs").alias("q", "h"), "item").groupBy("k", "n", "h", "item").agg(F.min("q").alias("q")).select("k", "n", "h", "q").distinct()
+    sizes = items.select("k", "n", F.explode("hs").alias("h")).distinct()
     found = None
     for k in ks:
         own = keyed.select("doc", "row", F.size("w").alias("len"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("p", "h"))
-        hit = own.join(_small(first_places.where(F.col("k") == k), n_shingles), "h")
-        hit = hit.select("doc", "row", "k", "n", "len", "p", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n"))).alias("start"))
+        hit = own.join(_small(sizes.where(F.col("k") == k), n_shingles), "h").select("doc", "row", "k", "n", "len", "p")
         found = hit if found is None else found.union(hit)
-    per_size = found.groupBy("doc", "row", "k", "n", "len").agg(F.collect_set("start").alias("aligned"), F.array_sort(F.collect_set("p")).alias("ps"))
-    of_size = F.transform(F.array_union("aligned", _starts(similarity)), lambda x: F.struct("k", "n", x.alias("start"), F.array_contains("aligned", x).alias("aligned")))
-    per_doc = per_size.select("doc", "row", of_size.alias("laid")).groupBy("doc", "row").agg(F.flatten(F.collect_list("laid")).alias("laid"))
+    per_size = found.groupBy("doc", "row", "k", "n", "len").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    of_size = F.transform(_starts(similarity), lambda x: F.struct("k", "n", x.alias("start")))
+    per_doc = per_size.select("doc", "row", of_size.alias("laid")).where(F.size("laid") > 0).groupBy("doc", "row").agg(F.flatten(F.collect_list("laid")).alias("laid"))
     laid = _keyed(docs, id_col, text_col).join(written(per_doc, "laid-windows"), ["doc", "row"])
     laid = laid.withColumn("w", words_of(F.col("text"))).select("doc", "row", "laid", *(shingle_hashes(F.col("w"), k).alias(f"hs{k}") for k in ks))
     slices = F.coalesce(*(F.when(F.col("x.k") == k, F.expr(f"slice(hs{k}, x.start + 1, x.n - x.k + 1)")) for k in ks))
-    laid = laid.select("doc", "row", *(f"hs{k}" for k in ks), F.explode("laid").alias("x")).select("doc", "row", "x.k", "x.start", "x.aligned", slices.alias("ws"))
+    laid = laid.select("doc", "row", *(f"hs{k}" for k in ks), F.explode("laid").alias("x")).select("doc", "row", "x.k", "x.n", "x.start", slices.alias("ws"))
     laid = laid.withColumns({"a": F.xxhash64("ws"), "b": F.xxhash64(F.lit("b"), "ws")}).distinct()
     laid = written(laid, "windows")
 
-    content = written(laid.select("k", "a", "b", "ws").dropDuplicates(["k", "a", "b"]).withColumn("fp", simhash_of("ws")), "window-contents")
+    content = written(laid.select("k", "n", "a", "b", "ws").dropDuplicates(["k", "n", "a", "b"]).withColumn("fp", simhash_of("ws")), "window-contents")
     parts = F.array(*(F.struct(F.lit(i).alias("block"), _block_value("fp", *x).alias("value")) for i, x in enumerate(_blocks(blocks))))
-    probes = content.select("k", "a", "b", "fp", F.explode(parts).alias("p")).select("k", "a", "b", "fp", "p.block", "p.value")
-    index = _index(items, radius, blocks)
-    per_item = sum(sum(1 for r in range(radius // blocks + 1) for _ in combinations(range(n), r)) for _, n in _blocks(blocks))
-    pairs = probes.join(_small(index, n_items * per_item), ["k", "block", "value"]).where(F.expr(f"bit_count(fp ^ ifp) <= {radius}"))
-    pairs = written(pairs.select("k", "a", "b", "item").distinct(), "window-candidates")
+    probes = content.select("k", "n", "a", "b", "fp", F.explode(parts).alias("p")).select("k", "n", "a", "b", "fp", "p.block", "p.value")
+    index = _small(_index(items, radius, blocks), n_items * sum(map(len, _masks(radius, blocks))))
+    pairs = probes.join(index, ["k", "n", "block", "value"]).where(F.expr(f"bit_count(fp ^ ifp) <= {radius}"))
+    pairs = written(pairs.select("k", "n", "a", "b", "item").distinct(), "window-candidates")
 
     sets = items.select("item", _counted(F.col("hs")).alias("s_item")).dropDuplicates(["item"])
-    same = pairs.join(content.select("k", "a", "b", _counted(F.col("ws")).alias("s_own")), ["k", "a", "b"]).join(_small(sets, n_shingles), "item")
-    same = same.select("k", "a", "b", "item", F.size("s_own").alias("n_own"), F.size("s_item").alias("n_item"), F.size(F.array_intersect("s_own", "s_item")).cast("long").alias("both"))
+    same = pairs.join(content.select("k", "n", "a", "b", _counted(F.col("ws")).alias("s_own")), ["k", "n", "a", "b"]).join(_small(sets, n_shingles), "item")
+    same = same.select("k", "n", "a", "b", "item", F.size("s_own").alias("n_own"), F.size("s_item").alias("n_item"), F.size(F.array_intersect("s_own", "s_item")).cast("long").alias("both"))
     same = same.withColumn("similarity", F.col("both") / (F.col("n_own") + F.col("n_item") - F.col("both"))).where(F.col("similarity") >= similarity)
     names = items.select("item", "item_id").distinct()
-    same = written(same.select("k", "a", "b", "item", "similarity"), "window-matches").join(_small(names, n_items), "item")
-    hits = laid.select("doc", "row", "k", "a", "b", "start", "aligned").join(same, ["k", "a", "b"])
-    best = hits.groupBy("doc", "row", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"))).alias("x"))
+    same = written(same.select("k", "n", "a", "b", "item", "similarity"), "window-matches").join(_small(names, n_items), "item")
+    hits = laid.select("doc", "row", "k", "n", "a", "b", "start").join(same, ["k", "n", "a", "b"])
+    best = hits.groupBy("doc", "row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("x"))
     return best.select("doc", "row", F.col("item_id").alias("item"), (-F.col("x.s")).cast("long").alias("start"), "x.similarity")
 
 
@@ -162,6 +167,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs that hold no item; all their columns as they were."""
-    gone = contaminated(docs, benchmark, id_col, text_col, **kw).select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct()
-    own = docs.withColumns({"__doc": F.coalesce(F.col(id_col), F.lit(LEAST)).cast("long"), "__row": F.xxhash64(text_col)})
-    return own.join(gone, ["__doc", "__row"], "left_anti").select(*[F.col(c) for c in docs.columns])
+    doc, row = unused(docs, "doc_key", "row_key")
+    gone = contaminated(docs, benchmark, id_col, text_col, **kw).select(F.col("doc").alias(doc), F.col("row").alias(row)).distinct()
+    own = docs.withColumns({doc: F.coalesce(F.col(id_col), F.lit(LEAST)).cast("long"), row: F.xxhash64(text_col)})
+    return own.join(gone, [doc, row], "left_anti").select(*[F.col(c) for c in docs.columns])

@@ -70,17 +70,17 @@ def _raw_transcripts(turns: DataFrame) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The roles and turns of the raw transcripts, by a model of three quarters of the conversations."""
+    """The turns and roles of the raw transcripts' lines, by a model of three quarters of the conversations."""
     raw = _raw_transcripts(_table(spark, sf_dir, "conversations"))
     learned = raw.where(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 4 != 2)
-    return chat.parse(raw.drop("role"), chat.fit(learned)).drop("content")
+    return chat.parse(raw.drop("role"), chat.fit(learned))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-#: Every item-sized window laid on the first place in the item of a shingle they share, compared shingle by shingle.
+#: Every window of an item's size that starts at a shingle of an item of that size, or ends the text, compared shingle by shingle.
 OP5_SQL = r"""
 WITH dw AS (
   SELECT doc_id, w, len(w) AS n FROM (
@@ -97,18 +97,17 @@ WITH dw AS (
 ), its AS (
   SELECT item_id, n, k, q - 1 AS q, array_to_string(w[q : q + k - 1], ' ') AS s
   FROM (SELECT item_id, w, n, k, unnest(range(1, n - k + 2)) AS q FROM iw)
-), firsts AS (SELECT item_id, n, k, s, min(q) AS q FROM its GROUP BY ALL),
-item_counts AS (SELECT item_id, n, k, s, count(*) AS c FROM its GROUP BY ALL),
+), item_counts AS (SELECT item_id, n, k, s, count(*) AS c FROM its GROUP BY ALL),
 laid AS (
-  SELECT DISTINCT ds.doc_id, f.item_id, f.n, f.k, greatest(0, least(ds.p - f.q, ds.n - f.n)) AS start, ds.n AS len
-  FROM ds JOIN firsts f ON ds.s = f.s AND ds.k = f.k
+  SELECT DISTINCT ds.doc_id, i.n, i.k, least(ds.p, greatest(0, ds.n - i.n)) AS start, ds.n AS len
+  FROM ds JOIN (SELECT DISTINCT n, k, s FROM its) i ON ds.s = i.s AND ds.k = i.k
 ), own AS (
-  SELECT l.doc_id, l.item_id, l.start, l.n, l.k, least(l.n, l.len) - l.k + 1 AS n_own, ds.s, count(*) AS c
+  SELECT l.doc_id, l.start, l.n, l.k, least(l.n, l.len) - l.k + 1 AS n_own, ds.s, count(*) AS c
   FROM laid l JOIN ds ON ds.doc_id = l.doc_id AND ds.k = l.k AND ds.p >= l.start AND ds.p <= l.start + l.n - l.k
   GROUP BY ALL
 ), both_ AS (
-  SELECT o.doc_id, o.item_id, o.start, o.n_own, o.n - o.k + 1 AS n_item, sum(least(o.c, i.c)) AS b
-  FROM own o JOIN item_counts i ON i.item_id = o.item_id AND i.s = o.s
+  SELECT o.doc_id, i.item_id, o.start, o.n_own, o.n - o.k + 1 AS n_item, sum(least(o.c, i.c)) AS b
+  FROM own o JOIN item_counts i ON i.n = o.n AND i.k = o.k AND i.s = o.s
   GROUP BY ALL
 ), sims AS (
   SELECT doc_id, item_id, start, CAST(b AS DOUBLE) / CAST(n_own + n_item - b AS DOUBLE) AS similarity FROM both_

@@ -56,6 +56,13 @@ def test_matches_all_windows(spark):
     want = brute(docs, items)
     assert len(want) > 30 and set(got) == set(want)
     assert all(abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
+    texts, sizes = {}, dict(items)
+    for i, t in docs:
+        texts.setdefault(i, []).append((t or "").lower().split())
+    for (i, item), (sim, start) in got.items():  # the place that is named has that similarity
+        v, k = sizes[item].lower().split(), min(5, len(sizes[item].split()))
+        near = [shingles(w[start : start + len(v)], k) for w in texts[i]]
+        assert any(abs(sum((x & shingles(v, k)).values()) / max(1, sum((x | shingles(v, k)).values())) - sim) < 1e-12 for x in near)
     kept = decontaminate.without_contaminated(d, b)
     assert kept.columns == d.columns
     bad = {k for k, _ in want}
@@ -89,3 +96,13 @@ def test_worn_and_stretched_passages(spark):
     assert {(0, 0), (10, 1)} <= set(want)
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.overlaps(d, b).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k][0]) < 1e-12 for k in want)
+
+
+def test_blocks_miss_no_fingerprint_within_the_radius():
+    rng = random.Random(5)
+    for radius, m in ((18, 6), (18, 5), (7, 4), (3, 8)):
+        blocks, masks = decontaminate._blocks(m), [set(x) for x in decontaminate._masks(radius, m)]
+        assert sum(n for _, n in blocks) == 64
+        for _ in range(3000):
+            differ = sum(1 << b for b in rng.sample(range(64), rng.randrange(radius + 1)))
+            assert any((differ >> first) & (2**n - 1) in near for (first, n), near in zip(blocks, masks))
