@@ -3,9 +3,9 @@
 Each task writes the records it has as one archive, a gzip member a record; payloads are not moved for it unless the
 table of repeated payloads is too large to send to every task. Captures, a few numbers each, are then sorted by their
 key, the URL with its host's labels reversed, and written in compressed blocks, with a sparse directory of the blocks at
-each index file's end. A lookup goes by the index files' first keys to a file, by binary search in its directory to a
-block, by binary search to the captures, and then reads their ranges, in the archives' order and in one piece where they
-lie side by side.
+each index file's end. A lookup goes by the index files' first keys to a file and by binary search in its directory to
+blocks; blocks are dealt out, so that a key of very many captures is read by many tasks, and searched for their captures,
+whose ranges are then read in the archives' order and in one piece where they lie side by side.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import scratch_path, written
+from foliant.llm.common import scratch_path, sliced, written
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 1000
@@ -31,6 +31,8 @@ LEAST_BYTES = 1000
 BLOCK_LINES = 1000
 #: Ranges of one archive that are so close are read as one, up to so many bytes.
 GAP, PIECE = 1 << 16, 1 << 24
+#: Blocks of the index, and bytes of archives, that a task reads.
+TASK_BLOCKS, TASK_BYTES = 8, 1 << 24
 CRLF = b"\r\n"
 
 
@@ -43,7 +45,8 @@ def surt(url: Column) -> Column:
 
 
 def _file(path: str):
-    """File system and path of a URI or a local path."""
+    """File system and path of a URI or a local path; s3a and s3n are Spark's names of s3."""
+    path = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -78,7 +81,7 @@ def _archived(folder: str):
     def run(batches):
         out, at, name = None, 0, f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         try:
-            for batch in batches:
+            for batch in sliced(batches):
                 rows, spans = batch.to_pylist(), []
                 for r in rows:
                     if out is None:
@@ -149,19 +152,19 @@ def _blocked(folder: str, lines: int):
             data = zlib.compress(json.dumps(directory).encode())
             out.write(data + len(data).to_bytes(8, "big"))
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, directory[0][0], last)], ["file", "first_key", "last_key"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, directory[0][0], last, len(directory))], ["file", "first_key", "last_key", "blocks"])
 
     return run
 
 
-def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> list[tuple[str, str, str]]:
-    """Writes the index and returns (first key, last key, file) of its files, one for each partition at most."""
+def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> list[tuple[str, str, str, int]]:
+    """Writes the index and returns (first key, last key, file, blocks) of its files, one for each partition at most."""
     system, path = _file(folder)
     system.create_dir(path)
     order = ["key", "page", "file", "offset"]
     rows = captures.select("key", "page", "file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
-    files = written(rows.mapInArrow(_blocked(folder, lines), "file string, first_key string, last_key string"), "index-files")
-    return sorted((r.first_key, r.last_key, r.file) for r in files.collect())
+    files = written(rows.mapInArrow(_blocked(folder, lines), "file string, first_key string, last_key string, blocks long"), "index-files")
+    return sorted((r.first_key, r.last_key, r.file, r.blocks) for r in files.collect())
 
 
 @lru_cache(maxsize=64)
@@ -183,42 +186,42 @@ def _block(name: str, offset: int, length: int) -> list[list]:
     return json.loads(zlib.decompress(_open(name).read_at(length, offset)))
 
 
-def find(key: str, files: list[tuple[str, str, str]]):
-    """The captures of a key. A key's captures may run over many blocks and files."""
+def blocks_of(key: str, files: list[tuple[str, str, str, int]]):
+    """(index file, offset, length) of the blocks that can hold a key; its captures may run over many blocks and files."""
     k = bisect_left(files, key, key=lambda f: f[1])  # the first file that ends at the key or after it
     while k < len(files) and files[k][0] <= key:
         directory = _directory(files[k][2])
         b = max(bisect_left(directory, key, key=lambda d: d[0]) - 1, 0)
         while b < len(directory) and directory[b][0] <= key:
-            block = _block(files[k][2], *directory[b][1:])
-            lo, hi = bisect_left(block, key, key=lambda c: c[0]), bisect_right(block, key, key=lambda c: c[0])
-            yield from block[lo:hi]
+            yield files[k][2], directory[b][1], directory[b][2]
             b += 1
         k += 1
 
 
-def lookup(urls: DataFrame, files: list[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
+def lookup(urls: DataFrame, files: list[tuple[str, str, str, int]], url_col: str = "url") -> DataFrame:
     """(key, page, file, offset, length): the captures of every distinct key of urls; none for an unknown one.
 
-    Keys are looked up in order, so that a task opens few blocks, and each only once.
+    Keys are looked up in order, so that a task opens few directories, and their blocks in order, each read once.
     """
-    names = ["key", "page", "file", "offset", "length"]
 
-    def run(batches):
-        held = []
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held) if held else [[]] * 5, kinds)], names)
+    def placed(batches):
+        for batch in batches:
+            found = [(key, *block) for key in batch.column(0).to_pylist() for block in blocks_of(key, files)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "index", "at", "size"])
+
+    def searched(batches):
+        names, kinds = ["key", "page", "file", "offset", "length"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
-            for key in batch.column(0).to_pylist():
-                for capture in find(key, files):
-                    held.append(capture)
-                    if len(held) == 5000:  # a hot key's captures are many
-                        yield out()
-                        held = []
-        yield out()
+            found = []
+            for key, *block in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                held = _block(*block)
+                found += held[bisect_left(held, key, key=lambda c: c[0]) : bisect_right(held, key, key=lambda c: c[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], names)
 
     keys = urls.select(surt(F.col(url_col)).alias("key")).distinct().repartitionByRange("key").sortWithinPartitions("key")
-    return keys.mapInArrow(run, "key string, page long, file string, offset long, length long")
+    places = keys.mapInArrow(placed, "key string, index string, at long, size long")
+    tasks = max(1, -(-sum(f[3] for f in files) // TASK_BLOCKS))
+    return places.repartitionByRange(tasks, "index", "at").sortWithinPartitions("index", "at").mapInArrow(searched, "key string, page long, file string, offset long, length long")
 
 
 def _ranges(batches):
@@ -271,15 +274,17 @@ def _read(batches):
 def read_records(captures: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of each capture, read by range.
 
-    Captures are dealt out by archive and offset, a few numbers each. The digest of every payload is checked. A
-    revisit's payload is null.
+    Captures are dealt out by archive and offset, a few numbers each, to as many tasks as their bytes need. The digest
+    of every payload is checked. A revisit's payload is null.
     """
     order = ["file", "offset"]
-    rows = captures.select("file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(captures.select("file", "offset", "length"), "captures-to-read")
+    tasks = max(1, -(-(rows.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     return rows.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
-def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, **kw) -> list[tuple[str, str, str]]:
+def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, **kw) -> list[tuple[str, str, str, int]]:
     """Writes archives and index under folder, by default one in the shared folder; returns the index's files."""
     folder = folder or scratch_path(spark, "warc")
     return write_index(write_archives(pages, f"{folder}/archives", **kw), f"{folder}/index")
