@@ -19,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import connected_components, written
+from foliant.llm.common import connected_components, sliced, unused, written
 
 SEED = 42
+LEAST = -(2**63)
 #: Fingerprints of one bucket that are compared in one task; a larger bucket is compared in blocks of so many.
 BLOCK = 2048
 #: Cost of a probe row against that of one comparison.
@@ -47,14 +48,14 @@ def simhash(text: bytes | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc, fp) of every row; fp is the unsigned fingerprint's bits as a signed long."""
+    """(doc, row, fp) of every row; row is a hash of the text, fp the unsigned fingerprint's bits as a signed long."""
 
     def run(batches):
-        for batch in batches:
-            fps = np.array([simhash(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc", "fp"])
+        for batch in sliced(batches):
+            fps = np.array([simhash(t, words) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc", "row", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary")).mapInArrow(run, "doc long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary")).mapInArrow(run, "doc long, row long, fp long")
 
 
 def _bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -243,6 +244,14 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
     return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_forest(radius), "a long, b long")
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """fingerprints() of docs, and (fp, least, root) of the distinct ones: least of its ids, and one fp that stands for its group."""
+    fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc").alias("least")), "distinct-fingerprints")
+    comps = written(connected_components(links(distinct, radius)), "fingerprint-roots")
+    return fps, distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs, near-duplicates linked within radius bits.
 
@@ -250,10 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null or wordless text has fingerprint zero and is linked like any other. component_id is the smallest id
     reachable; null only where no row of the component has an id. Repeated rows are kept.
     """
-    fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc").alias("least")), "distinct-fingerprints")
-    comps = written(connected_components(links(distinct, radius)), "fingerprint-roots")
-    rooted = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    fps, rooted = _rooted(docs, id_col, text_col, words, radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     out = fps.join(named, "fp")
@@ -261,7 +267,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """Of each near-duplicate group the rows with its smallest id; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, words, radius)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group, that of its smallest id, with the columns of docs.
+
+    Of rows that share that id, and of a group's rows where none has an id, the one whose text has the least hash stays,
+    and of repeated rows one.
+    """
+    fps, rooted = _rooted(docs, id_col, text_col, words, radius)
+    least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("x")
+    found = fps.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(least)
+    doc, row = unused(docs, "doc_key", "row_key")
+    keep = written(found.select(F.coalesce("x.doc", F.lit(LEAST)).alias(doc), F.col("x.row").alias(row)), "kept-documents")
+    own = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), row: F.xxhash64(text_col)})
+    return own.join(keep, [doc, row], "left_semi").dropDuplicates([doc, row]).select(*docs.columns)

@@ -3,6 +3,8 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.llm import packing
 
@@ -83,3 +85,32 @@ def test_empty_table_and_no_languages(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
     none = corpus_pipeline.known_language(spark, docs.drop("lang").selectExpr("doc_id", "text", "CAST(null AS STRING) AS lang", "source", "n_chars"), "")
     assert none.count() == sum(bool(re.search("[a-zA-Z]", t or "")) for _, t, _ in rows)
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark, tmp_path):
+    rows, items = make(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    long_text = " ".join(f"and{i} with" for i in range(60_000))
+    odd = spark.createDataFrame([(None, rows[2][1], "en", "s", 1), (None, rows[2][1], "en", "s", 1), (2, rows[2][1], "en", "s", 1), (2, rows[2][1], "en", "s", 1), (None, None, None, None, None), (900, long_text, "en", "s", 1)], docs.schema)
+    docs = docs.union(odd)
+    for name in ("score", "lang_pred", "text_read", "doc_key", "row_key", "keep_bitmap", "root", "row", "doc", "start", "k"):
+        docs = docs.withColumn(name, F.concat(F.lit("own "), F.coalesce("text", F.lit(""))))
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+        assert docs.columns == before.columns and 0 < docs.count() <= n and docs.where("NOT startswith(keep_bitmap, 'own ')").count() == 0
+        n = docs.count()
+        assert docs.where("doc_id = 900").count() == 1
+    assert docs.where("doc_id = 2").count() <= 1  # one of the repeated rows, at most
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).where("doc_id = 900").count() > 50
+
+
+def test_language_stage_rejects_by_score_and_language(spark, tmp_path, monkeypatch):
+    rows, _ = make(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("de",))
+    only = corpus_pipeline.known_language(spark, docs, str(tmp_path)).collect()
+    german = lambda text: sum(re.sub("[0-9]", "", x) in WORDS["de"].split() for x in text.split()) * 2 > len(text.split())
+    assert {r.doc_id for r in only} == {d for d, t, _ in rows if t and german(t)}
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
+    assert corpus_pipeline.known_language(spark, docs, str(tmp_path)).count() == 0
