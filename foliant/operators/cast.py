@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import BOUND, WS, half_up, occurrences, trim
+from foliant.operators.spans import starts_of
 
 NAME = rf"{BOUND}([A-Z][a-z]{{2,}}(?:{WS}+[A-Z][a-z]{{2,}})?){BOUND}"
 OPENS = rf"[.!?。！？\n][\"'”’)\]]?{WS}*\z"
@@ -35,30 +36,41 @@ def candidates(docs: DataFrame, by: str, at_least: int = 3, most: int = 200) ->
     return seen.select(by, "source", "total", rank.alias("rank")).where(F.col("rank") <= most)
 
 
+def _with_names(chapters: DataFrame, names: DataFrame, by: str) -> DataFrame:
+    """chapters with the array of their group's names: a row a group is sent to every task, each with as many names as were asked for."""
+    return chapters.join(F.broadcast(names.groupBy(by).agg(F.array_sort(F.collect_set("name")).alias("names"))), by)
+
+
 def mentions(chapters: DataFrame, names: DataFrame, by: str, body: str = "body") -> DataFrame:
-    """(chapter columns, name, count) of the names of a chapter's group that occur in it, from the left without overlaps."""
-    hit = chapters.join(names.select(by, "name"), by)
-    count = occurrences(F.col(body), F.col("name"))
-    return hit.withColumn("count", count).where("count > 0").drop(body)
+    """(chapter columns, name, count) of the names of a chapter's group that occur in it, from the left without overlaps.
+
+    A body is searched for all its names where it lies; only names and counts leave the row.
+    """
+    counted = F.transform(F.filter("names", lambda n: F.contains(F.col(body), n)), lambda n: F.struct(n.alias("name"), occurrences(F.col(body), n).alias("count")))
+    cols = [c for c in chapters.columns if c != body]
+    return _with_names(chapters, names, by).select(*cols, F.explode(counted).alias("x")).select(*cols, "x.name", "x.count").where("count > 0")
 
 
 def concordance(chapters: DataFrame, names: DataFrame, by: str, id_col: str = "doc_id", most: int = MAX_QUOTES) -> DataFrame:
     """(by, name, doc, offset, quote, rank): the first places of each name in each document with what stands around them.
 
-    chapters has (by, id, start, body).
+    chapters has (by, id, start, body). Quotes are cut where the body lies, as many of a chapter as a document can have.
     """
-    hit = chapters.join(names.select(by, "name"), by).where(F.contains("body", F.col("name")))
-    parts = hit.select(by, "name", id_col, "start", "body", F.posexplode(F.transform(F.split("body", F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E"))), lambda x: F.length(x))).alias("i", "n"))
-    w = Window.partitionBy(by, "name", id_col, "start").orderBy("i")
-    at = F.sum("n").over(w) + F.col("i") * F.length("name")
-    last = F.lead("i").over(w).isNull()
-    found = parts.withColumn("at", at).withColumn("last", last).where("NOT last")
-    lo, hi = F.greatest(F.lit(0), F.col("at") - AROUND), F.least(F.length("body"), F.col("at") + F.length("name") + AROUND)
-    quote = F.trim(F.regexp_replace(F.substring(F.col("body"), lo.cast("int") + 1, (hi - lo).cast("int")), f"{WS}+", " "))
-    quote = F.concat(F.when(lo > 0, "…").otherwise(""), quote, F.when(hi < F.length("body"), "…").otherwise(""))
-    placed = found.select(by, "name", id_col, (F.col("start") + F.col("at")).cast("long").alias("offset"), quote.alias("quote"))
+    body = F.col("body")
+    own = _with_names(chapters, names, by).select(by, id_col, "start", "body", F.explode(F.filter("names", lambda n: F.contains(body, n))).alias("name"))
+    size = F.length("name")
+    parts = F.split("body", F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E")))
+    places = F.slice(F.transform(F.slice(starts_of(parts, size), 2, F.size(parts)), lambda x: x - size), 1, most)
+
+    def quoted(at: Column) -> Column:
+        lo, hi = F.greatest(F.lit(0), at - AROUND), F.least(F.length(body), at + size + AROUND)
+        cut = F.trim(F.regexp_replace(F.substring(body, lo.cast("int") + 1, (hi - lo).cast("int")), f"{WS}+", " "))
+        quote = F.concat(F.when(lo > 0, "…").otherwise(""), cut, F.when(hi < F.length(body), "…").otherwise(""))
+        return F.struct((F.col("start") + at).cast("long").alias("offset"), quote.alias("quote"))
+
+    found = own.select(by, "name", id_col, F.explode(F.transform(places, quoted)).alias("x")).select(by, "name", id_col, "x.offset", "x.quote")
     rank = F.row_number().over(Window.partitionBy(by, "name", id_col).orderBy("offset")).cast("long")
-    return placed.withColumn("rank", rank).where(F.col("rank") <= most)
+    return found.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def bars(points: DataFrame, by: str, idx: str, value: str, most: int = BARS) -> DataFrame:

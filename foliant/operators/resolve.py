@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import HAN, WS, loose_key, main_title_key, same_author, squeeze, title_key, volumes
+from foliant.functions.text import HAN, WS, loose_key, main_title_key, same_author, squeeze, title_key, volumes, with_composed
 from foliant.operators import graph
 
 
 def keyed(books: DataFrame) -> DataFrame:
-    """books (id, title, author, edition, …) with the keys that titles are compared by."""
+    """books (id, title, author, edition, …) with the keys that titles are compared by, titles and authors in normal form KC."""
     t = F.col("title")
-    return books.withColumns({"key": title_key(t), "main": main_title_key(t), "loose": loose_key(t), "vols": volumes(t), "ed": F.trim(F.coalesce("edition", F.lit("")))})
+    return with_composed(books, "title", "author").withColumns({"key": title_key(t), "main": main_title_key(t), "loose": loose_key(t), "vols": volumes(t), "ed": F.trim(F.coalesce("edition", F.lit("")))})
 
 
 def blocks(books: DataFrame) -> DataFrame:
@@ -116,15 +116,15 @@ def merged_candidates(rows: DataFrame, key: Column, better: list[Column]) -> Dat
 
 
 def shingles(text: Column, most: int = 40_000) -> Column:
-    """The distinct pairs of neighbouring tokens: letters and digits in a row, or one Han or kana sign."""
+    """The distinct pairs of neighbouring tokens: letters and digits in a row, or one Han or kana sign; a lone token itself."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\x{3400}-\x{9FFF}\x{3040}-\x{30FF}]|[\p{L}\p{N}&&[^\x{3400}-\x{9FFF}\x{3040}-\x{30FF}]]+)"), 1)
     tokens = F.slice(tokens, 1, most)
     pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.lit(0), F.size(tokens) - 1)), F.slice(tokens, 2, F.greatest(F.lit(0), F.size(tokens) - 1)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    return F.when(F.size(tokens) == 1, tokens).otherwise(F.array_distinct(pairs))
 
 
 def jaccard(a: Column, b: Column) -> Column:
+    """The share of what either set has that both have; two empty sets are alike."""
     both = F.size(F.array_intersect(a, b))
-    return both / F.greatest(F.lit(1), F.size(a) + F.size(b) - both)
-
-
+    either = F.size(a) + F.size(b) - both
+    return F.when(either == 0, 1.0).otherwise(both / F.greatest(F.lit(1), either))

@@ -12,33 +12,48 @@ from pyspark.sql import functions as F
 from foliant.functions.text import WS, sentence_pieces, trim
 
 BUCKET = 2048
+#: Parts of a text whose lengths are added up one by one; the sums of such runs are added up in turn.
+RUN = 256
+
+
+def starts_of(parts: Column, gap: Column | int) -> Column:
+    """The place of each part of an array of texts where so many signs stand after each: array<long>, made within the row."""
+    sizes = F.transform(parts, lambda x: (F.length(x) + gap).cast("long"))
+    summed = lambda values, of: F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + of(x)))
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")))
+    within = F.transform(at, lambda k: summed(F.slice(sizes, k * RUN + 1, RUN), lambda x: x))
+    before = summed(within, lambda w: F.element_at(w, -1))
+    placed = F.zip_with(within, F.slice(before, 1, F.size(within)), lambda w, b: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: x + b))
+    return F.flatten(placed)
+
+
+def placed(parts: Column, gap: int) -> Column:
+    """array<struct<text, start>> of the parts of a text."""
+    return F.zip_with(parts, starts_of(parts, gap), lambda t, s: F.struct(t.alias("text"), s.alias("start")))
 
 
 def paragraphs(docs: DataFrame, sep: str = "\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, text, start, end): the parts between separators with their places in the text, empty ones too."""
-    parts = docs.select(id_col, F.posexplode(F.split(F.col(text_col), sep)).alias("pos", "text"))
-    before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + len(sep)).over(before), F.lit(0)).cast("long")
-    return parts.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
+    rows = docs.select(id_col, F.posexplode(placed(F.split(F.col(text_col), sep), len(sep))).alias("pos", "x"))
+    return rows.select(id_col, "pos", "x.text", "x.start").withColumn("end", F.col("start") + F.length("text"))
 
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, start, end, text) of the sentences of Latin-script texts, white space at their ends left out."""
-    parts = docs.select(id_col, F.posexplode(sentence_pieces(F.col(text_col))).alias("pos", "piece"))
-    before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("long")
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """(id, pos, start, end, text) of the sentences, white space at their ends left out; of Latin script without lang_col."""
+    pieces = sentence_pieces(F.col(text_col), F.col(lang_col) if lang_col else None)
+    parts = docs.select(id_col, F.posexplode(placed(pieces, 0)).alias("pos", "x")).select(id_col, "pos", F.col("x.text").alias("piece"), F.col("x.start").alias("at"))
     lead = F.length("piece") - F.length(F.regexp_replace("piece", f"^{WS}+", ""))
-    rows = parts.withColumn("start", at + lead).withColumn("text", trim(F.col("piece"))).where(F.col("text") != "")
+    rows = parts.withColumn("start", F.col("at") + lead).withColumn("text", trim(F.col("piece"))).where(F.col("text") != "")
     return rows.select(id_col, "pos", "start", (F.col("start") + F.length("text")).alias("end"), "text")
 
 
-def normalized(blocks: DataFrame, id_col: str = "doc_id", pos_col: str = "pos", text_col: str = "text") -> DataFrame:
-    """(id, pos, text, start, end): blanks squeezed, empty blocks dropped, placed with two line ends between them."""
-    clean = F.trim(F.regexp_replace(F.replace(F.col(text_col), F.lit(" "), F.lit(" ")), "[ \t]+", " "))
-    kept = blocks.withColumn("text", clean).where(F.col("text") != "")
-    before = Window.partitionBy(id_col).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("long")
-    return kept.select(id_col, pos_col, "text", start.alias("start")).withColumn("end", F.col("start") + F.length("text"))
+def normalized(docs: DataFrame, blocks: Column, id_col: str = "doc_id") -> DataFrame:
+    """(id, pos, text, start, end) of an array of blocks: blanks squeezed, empty ones dropped, placed with two line ends between them."""
+    clean = lambda x: F.trim(F.regexp_replace(F.replace(x, F.lit("\u00a0"), F.lit(" ")), "[ \t]+", " "))
+    kept = F.filter(F.transform(blocks, lambda x, i: F.struct(i.alias("pos"), clean(x).alias("text"))), lambda x: x["text"] != "")
+    rows = docs.select(id_col, kept.alias("kept"))
+    rows = rows.select(id_col, F.explode(F.zip_with("kept", starts_of(F.col("kept.text"), 2), lambda x, s: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), s.alias("start")))).alias("x"))
+    return rows.select(id_col, "x.pos", "x.text", "x.start").withColumn("end", F.col("start") + F.length("text"))
 
 
 def closed(starts: DataFrame, lengths: DataFrame, lead: int = 200, id_col: str = "doc_id") -> DataFrame:

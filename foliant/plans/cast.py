@@ -23,9 +23,7 @@ def _names(spark, sf, most=20):
 
 def _bodies(spark, sf):
     """(lang, doc_id, idx, start, body) of chapters of five lines."""
-    docs = table(spark, sf, "documents")
-    chapters = structure.grouped_chapters(spans.paragraphs(docs)).join(docs.select("doc_id", "lang", "text"), "doc_id")
-    return chapters.select("lang", "doc_id", "idx", "start", X.slice_of(F.col("text"), F.col("start"), F.col("end")).alias("body"))
+    return structure.chapter_bodies(table(spark, sf, "documents").select("lang", "doc_id", "text"))
 
 
 def _mentions(spark, sf):
@@ -97,7 +95,7 @@ def c15_subjects(spark, sf):
 def c18_terms_in(spark, sf):
     """The names of its language that a document holds."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return docs.join(_names(spark, sf), "lang").where(F.contains("text", F.col("name"))).select("doc_id", "name")
+    return cast.mentions(docs, _names(spark, sf), "lang", "text").select("doc_id", "name")
 
 
 def c19_memory(spark, sf):

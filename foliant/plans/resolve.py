@@ -127,7 +127,7 @@ _GROUPS = f"""{_PAIRS}, both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM
 cp AS (SELECT s AS id, least(s, min(n)) AS grp FROM reach GROUP BY s), nr AS (SELECT grp, bool_or(likeness = 'near') AS near FROM pairs JOIN cp ON pairs.a = cp.id GROUP BY grp),
 rows_ AS (SELECT cp.id, grp, p_size % 2 = 0 AS has_text, row_number() OVER (PARTITION BY grp ORDER BY p_size % 2, p_size * 100000 + p_partkey) AS r FROM cp JOIN part ON p_partkey = cp.id)"""
 _RANK = lambda f, v: f"CASE WHEN instr(lower({v}), '00') = 0 THEN NULL WHEN instr(lower({v}), '00') = 1 THEN {f * 3} WHEN regexp_matches(substr({v}, instr(lower({v}), '00') - 1, 1), '[\\s\\p{{P}}]') THEN {f * 3 + 1} ELSE {f * 3 + 2} END"
-_SH = r"""tk AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents), sh AS (SELECT doc_id, source, list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS s FROM tk)"""
+_SH = r"""tk AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents), sh AS (SELECT doc_id, source, CASE WHEN len(t) = 1 THEN t ELSE list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END AS s FROM tk)"""
 ORACLE_SQL = {
     "e01_blocks": f"WITH {_K} SELECT block, count(*) AS n FROM (SELECT id, unnest(list_distinct(['t:' || key, 'm:' || key, 'p:' || left(loose, 3), 's:' || right(loose, 3)])) AS block FROM k) WHERE length(block) > 2 GROUP BY block",
     "e02_pairs": f"WITH {_PAIRS} SELECT a, b, likeness FROM pairs",
@@ -148,7 +148,7 @@ ORACLE_SQL = {
       SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY tier, p_partkey) AS place FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY tier, p_partkey) <= 40""",
     "e19_flags": """WITH f AS (SELECT d.doc_id, unnest([CASE WHEN NOT contains(text, chr(10)) AND n_chars >= 200 THEN 'oneChapter' END, CASE WHEN quality IS NULL THEN 'details' END, CASE WHEN quality = 0 THEN 'cover' END]) AS flag FROM documents d LEFT JOIN labels USING (doc_id))
       SELECT flag, count(*) AS n, min(doc_id) AS first FROM f WHERE flag IS NOT NULL GROUP BY flag""",
-    "l04_shingles": f"WITH {_SH}, j AS (SELECT x.doc_id, x.s, y.s AS q, len(list_intersect(x.s, y.s)) AS b FROM sh x JOIN sh y ON x.doc_id = y.doc_id + 1) SELECT doc_id, len(s) AS n, round(CAST(b AS DOUBLE) / greatest(1, len(s) + len(q) - b), 9) AS jaccard FROM j",
+    "l04_shingles": f"WITH {_SH}, j AS (SELECT x.doc_id, x.s, y.s AS q, len(list_intersect(x.s, y.s)) AS b FROM sh x JOIN sh y ON x.doc_id = y.doc_id + 1) SELECT doc_id, len(s) AS n, round(CASE WHEN len(s) + len(q) = 0 THEN 1 ELSE CAST(b AS DOUBLE) / greatest(1, len(s) + len(q) - b) END, 9) AS jaccard FROM j",
     "l06_identity": f"SELECT doc_id, count(*) OVER (PARTITION BY {sql_squeeze('text')}) AS n FROM documents",
     "l10_labels": "SELECT o_orderkey, 'v' || row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS label FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderpriority) >= 2",
 }

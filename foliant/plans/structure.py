@@ -17,7 +17,7 @@ def _chapters(spark, sf):
 
 
 def d01_normalize(spark, sf):
-    return spans.normalized(_lines(spark, sf).select("doc_id", "pos", "text")).select("doc_id", "pos", "start", "end", F.sha2("text", 256).alias("sha"))
+    return spans.normalized(table(spark, sf, "documents"), F.split("text", "\n")).select("doc_id", "pos", "start", "end", F.sha2("text", 256).alias("sha"))
 
 
 def r05_plain_blocks(spark, sf):

@@ -4,31 +4,45 @@ from __future__ import annotations
 
 import io
 import re
+import unicodedata
 import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names that columns of book lists have in other tools.
-ALIASES = {
-    "title": ("title", "book title", "name", "书名", "標題", "标题"),
-    "author": ("author", "authors", "creator", "作者"),
-    "isbn": ("isbn", "isbn13", "isbn10", "isbn/uid"),
-    "status": ("exclusive shelf", "status", "read status", "shelf", "状态"),
-    "stars": ("my rating", "rating", "star rating", "评分"),
-    "review": ("my review", "review", "书评"),
-    "read_at": ("date read", "last date read", "读完"),
-    "added_at": ("date added", "添加"),
-}
-
-
-def column_for(header: str) -> str:
-    """The canonical name of a column, or its own in lower case."""
-    name = header.strip().lower()
-    return next((k for k, names in ALIASES.items() if name in names), name)
+#: Names that columns of book lists have, a column a line, its own name first.
+COLUMN_NAMES = """
+title: title, book title, book, name, 书名, 書名, 标题, 標題, 名称, 书籍名称
+book_id: book id, bookid, id, 编号, 豆瓣id
+author: author, authors, author name, writer, 作者, 著者, 作者名
+status: exclusive shelf, shelf, status, read status, 状态, 狀態, 书架, 阅读状态
+stars: my rating, rating, stars, score, 评分, 評分, 我的评分, 星级, 星級
+review: my review, review, comment, comments, 评论, 評論, 短评, 书评, 我的评论
+read_at: date read, read date, read at, finished, 读完日期, 阅读日期, 读过日期, 日期
+added_at: date added, added, added at, 添加日期, 加入日期
+isbn13: isbn13, isbn-13, isbn 13
+isbn: isbn, isbn10, isbn-10
+notes: private notes, notes, note, 笔记, 筆記, 备注, 備註
+shelves: bookshelves, tags, labels, 标签, 標籤
+year: original publication year, year, published, 出版年, 出版年份
+"""
+
+
+def plain_header(header: str) -> str:
+    return re.sub(r"[\s_]+", " ", unicodedata.normalize("NFKC", header).strip().lower())
+
+
+def column_for(header: str, names: str = COLUMN_NAMES) -> str:
+    """The column that a header names, or the header itself; names has a line `column: name, name` for each."""
+    plain = plain_header(header)
+    for line in names.strip().splitlines():
+        column, _, known = line.partition(": ")
+        if plain in map(plain_header, known.split(", ")):
+            return column
+    return header
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -48,12 +62,88 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
         if c in df.columns:
             parsed = [F.try_to_timestamp(F.trim(F.col(c)), F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy")]
             df = df.withColumn(c, F.coalesce(*parsed).cast("date"))
-    if "isbn" in df.columns:
-        bare = F.regexp_replace("isbn", "[^0-9Xx]", "")
-        df = df.withColumn("isbn", F.when(F.length(bare) >= 10, bare))
+    for c in {"isbn", "isbn13"} & set(df.columns):
+        bare = F.regexp_replace(c, "[^0-9Xx]", "")
+        df = df.withColumn(c, F.when(F.length(bare) >= 10, bare))
+    if "isbn13" in df.columns:
+        df = df.withColumn("isbn", F.coalesce("isbn13", "isbn") if "isbn" in df.columns else F.col("isbn13")).drop("isbn13")
     return df
 
 
+#: Names that columns of card files have; without such a header the order is that of the lines, without tags
+#: where no row has five cells.
+CARD_COLUMNS = """
+topics: topics, topic, deck
+tags: tags, tag
+book: book, book title, source
+front: front, question, term, word, q
+back: back, answer, definition, meaning, a
+"""
+
+
+def read_cards(files: DataFrame, id_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(id, pos, topics, tags, book, front, back) of card files, a text a row: comma- or tab-separated, with a header or not.
+
+    Blank lines, lines that start with # and rows without a front are left out; topics and tags are parted by ; or |.
+    """
+    line = F.filter(F.split(F.regexp_replace(F.regexp_replace(text_col, "^\ufeff", ""), "\r\n?", "\n"), "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
+    tabbed = F.contains(F.get("lines", F.lit(0)), F.lit("\t"))
+    rows = files.select(id_col, line.alias("lines")).withColumn("tabbed", F.coalesce(tabbed, F.lit(False)))
+    cut = lambda x: F.when(F.col("tabbed"), F.split(x, "\t")).otherwise(F.transform(F.regexp_extract_all(F.concat(F.lit(","), x), F.lit(r'(?s),(?:"((?:[^"]|"")*)"|([^,]*))'), 0), _cell))
+    rows = rows.select(id_col, F.transform("lines", lambda x: F.transform(cut(x), lambda c: F.trim(c))).alias("rows")).where(F.size("rows") > 0)
+    fields = [x.partition(": ") for x in CARD_COLUMNS.strip().splitlines()]
+    head = F.transform(F.get("rows", F.lit(0)), F.lower)
+    named = F.arrays_overlap("head", F.array(*map(F.lit, fields[3][2].split(", "))))
+    wide = F.exists("rows", lambda r: F.size(r) >= len(fields))
+    rows = rows.withColumn("head", head).withColumns({"named": named, "wide": wide})
+    place = lambda names: F.array_max(F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position(F.col("head"), n).cast("int"))) - 1
+    untagged = [x[0] for x in fields if x[0] != "tags"]
+    for k, (field, _, names) in enumerate(fields):
+        narrow = F.lit(untagged.index(field) if field in untagged else -1)
+        rows = rows.withColumn(f"at_{field}", F.when(F.col("named"), place(names.split(", "))).when(F.col("wide"), F.lit(k)).otherwise(narrow))
+    body = F.when(F.col("named"), F.slice("rows", 2, F.size("rows"))).otherwise(F.col("rows"))
+    out = rows.select("*", F.posexplode(body).alias("pos", "cells"))
+    cell = lambda field: F.when(F.col(f"at_{field}") < 0, "").otherwise(F.coalesce(F.get("cells", F.col(f"at_{field}")), F.lit("")))
+    listed = lambda c: F.filter(F.transform(F.split(c, "[;|]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    tags = F.filter(F.transform(listed(cell("tags")), lambda x: F.regexp_replace(x, "^#+", "")), lambda x: x != "")
+    return out.select(id_col, "pos", listed(cell("topics")).alias("topics"), tags.alias("tags"), cell("book").alias("book"), cell("front").alias("front"), cell("back").alias("back")).where("front <> ''")
+
+
+def _cell(x):
+    """A cell as it was matched, with the comma before it."""
+    bare = F.substring(x, F.lit(2), F.length(x))
+    quoted = F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))
+    return F.when(F.startswith(bare, F.lit('"')), quoted).otherwise(bare)
+
+
+#: Words before a colon that name a field of a typed list of books.
+TYPED_FIELDS = {"name": "title", "title": "title", "book": "title", "author": "author", "by": "author", "writer": "author", "isbn": "isbn"}
+
+
+def read_typed_books(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, n, title, author, isbn) of lists of books as people type them: a line a field, or only a title.
+
+    A blank line, or a second title, begins the next book; of a field given twice the first counts; a book without a title
+    is none.
+    """
+    rows = texts.select(id_col, F.posexplode(F.split(text_col, "\r?\n")).alias("pos", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")))
+    word = F.lower(F.regexp_extract("line", r"^([A-Za-z]+)\s*:", 1))
+    table = F.create_map(*(F.lit(x) for pair in TYPED_FIELDS.items() for x in pair))
+    field = F.try_element_at(table, word)
+    rows = rows.withColumn("field", field).withColumn("value", F.when(F.col("field").isNull(), F.col("line")).otherwise(F.trim(F.regexp_replace("line", r"^[A-Za-z]+\s*:\s*", ""))))
+    rows = rows.where("line = '' OR value <> ''").withColumn("field", F.when(F.col("line") == "", None).otherwise(F.coalesce("field", F.lit("title"))))
+    w = Window.partitionBy(id_col).orderBy("pos")
+    rows = rows.withColumn("part", F.count_if(F.col("field").isNull()).over(w)).where("field IS NOT NULL")
+    own = Window.partitionBy(id_col, "part").orderBy("pos")
+    title = (F.col("field") == "title").cast("int")
+    before = F.coalesce(F.sum(title).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("book", F.when(F.col("field") == "title", before).otherwise(F.greatest(before - 1, F.lit(0))))
+    first = lambda f: F.min(F.when(F.col("field") == f, F.struct("pos", "value")))["value"].alias(f)
+    books = rows.groupBy(id_col, "part", "book").agg(first("title"), first("author"), first("isbn"), F.min("pos").alias("pos")).where("title IS NOT NULL")
+    n = F.row_number().over(Window.partitionBy(id_col).orderBy("pos")).cast("long")
+    return books.select(id_col, n.alias("n"), "title", "author", "isbn")
+
+
 def read_notes(texts: DataFrame, col: str = "text") -> DataFrame:
     """(title, author, quote, note, chapter) of notes files, a JSON text a row; broken ones have none."""
     schema = "format STRING, books ARRAY<STRUCT<title: STRING, author: STRING, notes: ARRAY<STRUCT<quote: STRING, note: STRING, chapter: STRING>>>>"

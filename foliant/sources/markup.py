@@ -108,14 +108,27 @@ def usfm_verses(books: DataFrame, id_col: str = "book", text_col: str = "text")
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-16 by its mark, UTF-8 with or without one if it is valid, else GB18030; CRLF and CR are line ends."""
+    """Bytes as text: UTF-16 by its mark, UTF-8 with or without one if it is valid, else null; CRLF and CR are line ends."""
     head = F.hex(F.substring(content, 1, 3))
-    utf8 = F.try_validate_utf8(content.cast("string"))
-    wide = F.when(F.startswith(head, F.lit("FFFE")), F.decode(F.substring(content, F.lit(3), F.length(content)), "UTF-16LE")).when(F.startswith(head, F.lit("FEFF")), F.decode(F.substring(content, F.lit(3), F.length(content)), "UTF-16BE"))
-    text = F.coalesce(wide, F.when(head == "EFBBBF", F.try_validate_utf8(F.substring(content, F.lit(4), F.length(content)).cast("string"))), utf8, _gb18030(content))
+    rest = lambda at: F.substring(content, F.lit(at), F.length(content))
+    wide = F.when(F.startswith(head, F.lit("FFFE")), F.decode(rest(3), "UTF-16LE")).when(F.startswith(head, F.lit("FEFF")), F.decode(rest(3), "UTF-16BE"))
+    text = F.coalesce(wide, F.try_validate_utf8(F.when(head == "EFBBBF", rest(4)).otherwise(content).cast("string")))
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def lossy_utf8(content: Column) -> Column:
+    """Bytes as UTF-8 text, with U+FFFD in place of bad ones."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def with_text(files: DataFrame, content: str = "content", text: str = "text") -> DataFrame:
+    """files with their bytes as text, see decoded(); only files that are neither UTF-8 nor UTF-16 go through Python, as GB18030."""
+    known = files.withColumn(text, decoded(F.col(content)))
+    other = known.where(F.col(text).isNull() & F.col(content).isNotNull())
+    other = other.withColumn(text, F.regexp_replace(_gb18030(F.col(content)), "\r\n?", "\n"))
+    return known.where(F.col(text).isNotNull() | F.col(content).isNull()).unionByName(other)
+
+
 @F.pandas_udf(T.StringType())
 def _gb18030(content):
     return content.map(lambda b: None if b is None else bytes(b).decode("gb18030", "replace"))

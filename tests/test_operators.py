@@ -138,3 +138,99 @@ def test_ties_pins_links(spark):
     df = spark.createDataFrame([(["blue hair, tall", "hair", None, "long blue hair."],), ([None],)], "v array<string>")
     assert [r[0] for r in df.select(X.merged_clauses(F.col("v"))).collect()] == ["tall · long blue hair", None]
     assert one(spark, X.safe_file_name, ' a/b: "c" ') == 'a-b- -c-' and one(spark, X.safe_file_name, " ") == "book"
+
+
+def brute_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_equal_pairs(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(14))] for _ in range(2))
+        got = align.equal_pairs(a, b)
+        assert len(got) == brute_lcs(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
+    a = [f"w{i}" for i in range(300)]
+    b = [x for i, x in enumerate(a) if i % 7] + a[:5]
+    monkeypatch.setattr(align, "MAX_CELLS", 2000)  # long lists are cut by items that occur once
+    got = align.equal_pairs(a, b)
+    assert len(got) == brute_lcs(a, b) and align.equal_pairs(["x"] * 100, ["y"] * 100) == []
+
+
+def test_alignment_titles_empty_texts_and_size(spark):
+    schema = "doc_id long, idx long, title string, text string"
+    steps = lambda a, b: [(r.kind, r.base, r.incoming) for r in align.chapters(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).orderBy("step").collect()]
+    body = words(1, 60)
+    assert steps([(1, 0, "Chapter One.", body)], [(1, 0, "Chapter One", body + " " + words(2, 70))]) == [("changed", 0, 0)]  # alike by half only with the title
+    assert steps([(1, 0, "", body)], [(1, 0, "", body + " " + words(2, 70))]) == [("kept", 0, None), ("added", None, 0)]
+    assert steps([(1, 0, "a", "")], [(1, 0, "b", " ")]) == [("same", 0, 0)]
+    many = [(1, i, f"Chapter {i}", f"Chapter {i}\nw{i}x1 w{i}x2 w{i}x3") for i in range(2500)]
+    new = [(1, i + (i >= 1200), t, x) for _, i, t, x in many] + [(1, 1200, "New", "a new one")]
+    got = align.chapters(spark.createDataFrame(many, schema), spark.createDataFrame(new, schema))
+    assert [(r.kind, r.incoming) for r in got.where("kind <> 'same'").collect()] == [("added", 1200)] and tuple(align.tally(got).first()) == (1, 2500, 0, 1, 0)
+
+
+def test_sentences_in_cjk_script(spark):
+    text = "他说：“你好。”她笑了！真的？！没有……好"
+    docs = spark.createDataFrame([(1, text, "zh-Hans"), (2, "One. Two? 三。", "en")], "doc_id long, text string, lang string")
+    got = spans.sentences(docs, lang_col="lang").orderBy("doc_id", "start").collect()
+    assert [r.text for r in got if r.doc_id == 1] == ["他说：“你好。”", "她笑了！", "真的？！", "没有……", "好"]
+    assert [r.text for r in got if r.doc_id == 2] == ["One.", "Two?", "三。"] and all(text[r.start : r.end] == r.text for r in got if r.doc_id == 1)
+
+
+def test_offsets_of_many_lines(spark):
+    lines = ["x" * (i * 7 % 11) for i in range(2000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, ""), (3, None), (4, "one")], "doc_id long, text string")
+    got = spans.paragraphs(docs)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString() and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.pos, r.start, r.end) for r in got.where("doc_id = 1").collect())
+    at, want = 0, []
+    for i, x in enumerate(lines):
+        want.append((i, at, at + len(x)))
+        at += len(x) + 1
+    assert rows == want and sorted((r.doc_id, r.text) for r in got.where("doc_id > 1").collect()) == [(2, ""), (4, "one")]
+
+
+def blocks_of(spark, docs):
+    """docs: (id, lang, [(text, heading, boundary)]); blocks are joined by an empty line."""
+    rows, heads = [], []
+    for d, lang, parts in docs:
+        at = 0
+        for text, heading, boundary in parts:
+            rows.append((d, at, at + len(text), text, heading, boundary))
+            at += len(text) + 2
+        heads.append((d, lang, max(0, at - 2)))
+    return spark.createDataFrame(rows, "doc_id long, start long, end long, text string, heading int, boundary boolean"), spark.createDataFrame(heads, "doc_id long, lang string, length long")
+
+
+def test_detection_cascade(spark):
+    p = lambda text: (text, None, False)
+    acts = [("Act One", 1, False), ("Scene 1", 2, False), p("body"), ("Scene 2", 2, False), p("more"), ("Act Two", 1, False), ("Scene 3", 2, False), p("last")]
+    docs = [
+        (1, "en", acts),
+        (2, "en", [p("Chapter 1"), p("a"), p("Chapter 2"), p("b"), p("Chapter 3"), p("c")]),
+        (3, "en", [("One", None, True), p("a"), ("Two", None, True), p("b")]),
+        (4, "en", [p("only text")]),
+        (5, "zh-Hant", [p("第一節 起"), p("a"), p("第二節"), p("b"), p("第三節"), p("c")]),
+        (6, "en", [p("x" * 300), ("Late", 1, False), p("a"), ("Later. CHAPTER III", 1, False), p("b")]),
+        (7, "en", []),
+    ]
+    got = structure.detected_chapters(*blocks_of(spark, docs)).orderBy("doc_id", "start").collect()
+    by = {d: [(r.method, r.title, r.start) for r in got if r.doc_id == d] for d in range(1, 8)}
+    assert [x[:2] for x in by[1]] == [("headings", "Scene 1"), ("headings", "Scene 2"), ("headings", "Scene 3")]
+    assert by[1][0][2] == 0 and by[1][2][2] == len("Act One\n\nScene 1\n\nbody\n\nScene 2\n\nmore\n\n")  # acts are labels of what is under them
+    assert [x[:2] for x in by[2]] == [("patterns", f"Chapter {i}") for i in (1, 2, 3)]
+    assert [x[:2] for x in by[3]] == [("spine", "One"), ("spine", "Two")] and by[4] == [("none", "", 0)] and by[7] == []
+    assert [x[1] for x in by[5]] == ["第一節 起", "第二節", "第三節"]
+    assert [x[1] for x in by[6]] == ["", "Late", "CHAPTER III"] and not [r for r in got if r.doc_id == 6][0].confident
+
+
+def test_keys_in_normal_form(spark):
+    df = spark.createDataFrame([(1, "Ｄｕｎｅ １"), (2, "Dune 1"), (3, None)], "i long, t string")
+    assert [r.t for r in X.with_composed(df, "t").orderBy("i").collect()] == ["Dune 1", "Dune 1", None]
+    assert one(spark, X.tie, "一个弟子") == "child" and one(spark, X.tie, "his father and 父亲") == "parent"

@@ -36,13 +36,13 @@ def test_usfm(spark):
 def test_decoding(spark):
     data = ["é\r\nb".encode(), "﻿é".encode(), "é中".encode("utf-16"), b"\xfe\xff" + "é".encode("utf-16-be"), "序章".encode("gb18030"), b"", None]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i long, b binary")
-    assert [r[0] for r in df.orderBy("i").select(markup.decoded(F.col("b"))).collect()] == ["é\nb", "é", "é中", "é", "序章", "", None]
+    assert [r.text for r in markup.with_text(df, "b").orderBy("i").collect()] == ["é\nb", "é", "é中", "é", "序章", "", None]
 
 
 def test_book_lists(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Title,Author,My Rating,Date Read,ISBN13,Other\n"A, quoted ""title""",Me,4,2020/03/01,978-0-14-143951-8,x\nB,,0,bad,,"two\nlines"\n', encoding="utf-8")
     rows = files.read_books(spark, str(tmp_path)).orderBy("title").collect()
-    assert [(r.title, r.author, r.stars, str(r.read_at), r.isbn, r.other) for r in rows] == [('A, quoted "title"', "Me", 4, "2020-03-01", "9780141439518", "x"), ("B", "", None, "None", None, "two\nlines")]
+    assert [(r.title, r.author, r.stars, str(r.read_at), r.isbn, r.Other) for r in rows] == [('A, quoted "title"', "Me", 4, "2020-03-01", "9780141439518", "x"), ("B", "", None, "None", None, "two\nlines")]
 
 
 def test_notes_and_listing(spark):
@@ -75,3 +75,27 @@ def test_bundle(spark, tmp_path):
     files.write_bundle(tables, str(tmp_path))
     back = files.read_bundle(spark, str(tmp_path))
     assert set(back) == {"a", "b"} and back["a"].count() == 3 and back["b"].first().d == 1.5
+
+
+def test_headers(spark):
+    assert [files.column_for(x) for x in ("Book_Title", "ＩＳＢＮ１３", " My  Rating ", "读完日期", "Other")] == ["title", "isbn13", "stars", "read_at", "Other"]
+
+
+def test_cards(spark):
+    plain = 'some,other,"My, Book",side one,"back ""q"""\n# no card\n\nt1; t2,#a|#b,,f2,b2\n,,,,no front'
+    named = "Question\tAnswer\tDeck\nq1\ta1\td1 | d2\nq2\ta2"
+    old = "\ufefftopic,book,front,back\nx,y,z"
+    df = spark.createDataFrame([("a", plain), ("b", named), ("c", old), ("d", ""), ("e", None)], "path string, text string")
+    got = {(r.path, r.front): (r.topics, r.tags, r.book, r.back) for r in files.read_cards(df).collect()}
+    assert got == {
+        ("a", "side one"): (["some"], ["other"], "My, Book", 'back "q"'), ("a", "f2"): (["t1", "t2"], ["a", "b"], "", "b2"),
+        ("b", "q1"): (["d1", "d2"], [], "", "a1"), ("b", "q2"): ([], [], "", "a2"), ("c", "z"): (["x"], [], "y", ""),
+    }
+
+
+def test_typed_books(spark):
+    text = "Dune: Messiah\nby: Frank Herbert\nISBN: 123\nisbn: 456\n\nName: Emma\nwriter: Jane\nPersuasion\n\nauthor: nobody\n\nauthor: First\ntitle: Then"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string")
+    got = [(r.n, r.title, r.author, r.isbn) for r in files.read_typed_books(df).orderBy("n").collect()]
+    assert got == [(1, "Dune: Messiah", "Frank Herbert", "123"), (2, "Emma", "Jane", None), (3, "Persuasion", None, None), (4, "Then", "First", None)]
+    assert spark.range(1).select(markup.lossy_utf8(F.lit(b"a\xffb"))).first()[0] == "a\ufffdb"
