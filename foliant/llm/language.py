@@ -40,7 +40,7 @@ TRAIN_PER_LANG, MAX_LANGS = 500, 200
 #: Machines that are fitted at the same time.
 FITS_AT_ONCE = 8
 #: Least score of a text whose language is taken as known.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 #: Hashed features: 256 single bytes, then byte pairs and byte triples.
 PAIRS, TRIPLES = 1024, 2816
 DIM = 256 + PAIRS + TRIPLES
@@ -87,14 +87,17 @@ def _vectors(texts: DataFrame) -> DataFrame:
 
 
 def sample(rows: DataFrame, per_lang: int, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text as binary): of each of the most frequent languages the per_lang distinct texts of least hash.
+    """(lang, text as binary): of each of the most frequent languages per_lang distinct texts, chosen by their hash.
 
     Each language is bounded on its own, and a text counts once however often it is repeated.
     """
     named = rows.where(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
     known = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    texts = named.select("lang", "h").join(F.broadcast(known.select("lang")), "lang").distinct()
-    least = texts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang)  # cut off in each task first
+    texts = written(named.select("lang", "h").join(F.broadcast(known.select("lang")), "lang").distinct(), "language-texts")
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))  # MAX_LANGS rows at most
+    share = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = texts.join(F.broadcast(sizes), "lang").where(share < 4.0 * per_lang / F.col("texts"))  # four times as many, however many tasks there are
+    least = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang)
     chosen = written(least.select("lang", "h"), "training-texts")  # per_lang * MAX_LANGS rows at most
     return named.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
