@@ -10,12 +10,25 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """This application's folder in that of spark.checkpoint.dir, which all executors share.
+
+    A local folder is made only where the setting is absent and Spark runs in one process; on a cluster, whose machines
+    can't see each other's folders, its absence is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="foliant-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/foliant-{context.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that written() has made for this application; frames that still read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

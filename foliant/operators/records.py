@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.graph import written
+
 
 def top(rows: DataFrame, by: list[str], order: list[Column], most: int, name: str = "place") -> DataFrame:
     """The first rows of each group with their place; partial limits run before the shuffle."""
@@ -62,3 +64,40 @@ def listed(rows: DataFrame, by: list[str], order: Column, value: Column, sep: st
     """(by, list): the values of each group in order, joined."""
     pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
     return rows.groupBy(*by).agg(F.array_join(F.transform(pairs, lambda x: x["v"]), sep).alias(name))
+
+
+def merged_marks(marks: DataFrame, merges: DataFrame, book: str) -> DataFrame:
+    """marks (book, …) after each merge (keep, other): those of the other book are the kept one's, each once."""
+    return marks.join(merges.select(F.col("other").alias(book), "keep"), book, "left").withColumn(book, F.coalesce("keep", book)).drop("keep").distinct()
+
+
+def moved_rows(rows: DataFrame, merges: DataFrame, book: str) -> DataFrame:
+    """rows with was: those of a merged book are the kept one's, and was is the book they had, null for those that stayed."""
+    moved = rows.join(merges.select(F.col("other").alias(book), "keep"), book, "left")
+    return moved.withColumn("was", F.when(F.col("keep").isNotNull(), F.col(book))).withColumn(book, F.coalesce("keep", book)).drop("keep").select(*rows.columns, "was")
+
+
+def undone(rows: DataFrame, book: str) -> DataFrame:
+    """rows of moved_rows() as they were."""
+    return rows.withColumn(book, F.coalesce("was", book)).drop("was")
+
+
+def merged_books(books: DataFrame, merges: DataFrame, key: str, fill: list[str], best: list[str]) -> DataFrame:
+    """books without those merged away; the kept ones have `fill` columns from the others where they had none, `best` ones the greatest."""
+    own = moved_rows(books, merges.select("keep", "other"), key)
+    values = [F.coalesce(F.max(F.when(F.col("was").isNull(), F.col(c))), F.min(F.when(F.col("was").isNotNull(), F.col(c)))).alias(c) for c in fill]
+    return own.groupBy(key).agg(*values, *(F.max(c).alias(c) for c in best), (F.count(F.lit(1)) - 1).alias("merged"))
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """rows with their number from 1 in their group, in order; a group of very many rows is numbered by many tasks.
+
+    Rows are dealt out by range of group and order, and each range's rows before it are added to their number in it.
+    """
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    own = written(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = own.groupBy("__part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
+    placed = own.join(F.broadcast(before), "__part").withColumn("__at", F.col("__at") + F.col("__before"))  # a row a partition
+    first = placed.groupBy(*by).agg(F.min("__at").alias("__first"))
+    return placed.join(first, by).withColumn(name, F.col("__at") - F.col("__first") + 1).select(*rows.columns, name)

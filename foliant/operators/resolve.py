@@ -128,3 +128,28 @@ def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b) - both
     return F.when(either == 0, 1.0).otherwise(both / F.greatest(F.lit(1), either))
+
+
+def near_sets(sets: DataFrame, least: float = 0.8, id_col: str = "doc_id", set_col: str = "s") -> DataFrame:
+    """(a, b, jaccard): pairs of different sets whose Jaccard similarity is at least so much, by the smallest ids that have them.
+
+    Equal sets are one. Items are put in order from the rarest on; two such sets have one of their first few in common, so
+    these alone are joined, with a bound on the sizes, and what meets is compared exactly. Common items make no pairs.
+    """
+    hashed = F.array_sort(F.transform(F.col(set_col), lambda x: F.xxhash64(x)))
+    one = graph.written(sets.select(id_col, hashed.alias("h")).where(F.size("h") > 0).groupBy("h").agg(F.min(id_col).alias("id")), "distinct-sets")
+    items = one.select("id", F.size("h").alias("n"), F.explode("h").alias("x"))
+    rare = items.groupBy("x").agg(F.count(F.lit(1)).alias("f"))
+    ordered = items.join(rare, "x").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("o"))
+    first = F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    keys = graph.written(ordered.select("id", "n", F.explode(F.transform(first, lambda o: o["x"])).alias("x")), "rare-items")
+    a, b = keys.alias("a"), keys.alias("b")
+    met = a.join(b, F.expr(f"a.x = b.x AND a.id < b.id AND a.n >= b.n * {least} - 1e-9 AND b.n >= a.n * {least} - 1e-9")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    both = met.join(one.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
+    return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def set_representatives(sets: DataFrame, id_col: str = "doc_id", set_col: str = "s") -> DataFrame:
+    """(id, rep): the smallest id that has the same set."""
+    own = sets.select(id_col, F.xxhash64(F.array_sort(set_col)).alias("h1"), F.hash(F.array_sort(set_col)).alias("h2"))
+    return own.join(own.groupBy("h1", "h2").agg(F.min(id_col).alias("rep")), ["h1", "h2"]).select(id_col, "rep")

@@ -180,3 +180,59 @@ def with_kept_titles(detected: DataFrame, edited: DataFrame, id_col: str = "doc_
     """Detected chapters with the titles that were given by hand at the same starts."""
     own = edited.select(id_col, "start", F.col("title").alias("given"))
     return detected.join(own, [id_col, "start"], "left").withColumn("title", F.coalesce("given", "title")).drop("given")
+
+
+def hints_of(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, end, heading, boundary) of the blocks that carry structure; the others can be had from the text again."""
+    return blocks.where("heading IS NOT NULL OR boundary").select(id_col, "start", "end", "heading", F.coalesce("boundary", F.lit(False)).alias("boundary"))
+
+
+def blocks_from_hints(docs: DataFrame, hints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, text, heading, boundary): a text's paragraphs between blank lines, with the hints at their starts."""
+    own = spans.paragraphs(docs, "\n\n", id_col, text_col).where(trim(F.col("text")) != "").select(id_col, "start", "end", "text")
+    return own.join(hints.select(id_col, "start", "heading", "boundary"), [id_col, "start"], "left").select(id_col, "start", "end", "text", "heading", F.coalesce("boundary", F.lit(False)).alias("boundary"))
+
+
+def resolved_links(links: DataFrame, anchors: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, end, href, at): links that lead somewhere, at being the place of an anchor within the document.
+
+    links has (id, start, end, href), anchors (id, anchor, at). Of anchors of one name the first counts; a fragment names
+    one as it is or with % signs decoded, else without regard to case. Other links stay if they are web or mail addresses.
+    """
+    first = lambda name: anchors.groupBy(id_col, name.alias("name")).agg(F.min(F.struct("at", "anchor")).alias("x"))
+    exact = first(F.col("anchor")).select(id_col, F.col("name").alias("wanted"), F.col("x.anchor").alias("a1"), F.col("x.at").alias("at1"))
+    folded = first(F.lower("anchor")).select(id_col, F.col("name").alias("low"), F.col("x.anchor").alias("a2"), F.col("x.at").alias("at2"))
+    raw = F.substring(F.col("href"), F.lit(2), F.length("href"))
+    wanted = F.when(F.startswith("href", F.lit("#")), F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw))
+    rows = links.withColumn("wanted", wanted).withColumn("low", F.lower("wanted")).join(exact, [id_col, "wanted"], "left").join(folded, [id_col, "low"], "left")
+    name = F.coalesce("a1", "a2")
+    href = F.when(name.isNotNull(), F.concat(F.lit("#"), name)).when(F.col("href").rlike("(?i)^(https?:|mailto:)"), F.col("href"))
+    return rows.select(id_col, "start", "end", href.alias("href"), F.coalesce("at1", "at2").alias("at")).where("href IS NOT NULL")
+
+
+#: Signs of the text at a reader's place that are looked for again, and the fewest of them that tell enough.
+PROBE, LEAST_PROBE = 48, 12
+
+
+def placed_again(text: Column, at: Column, new: Column) -> Column:
+    """Where a reader's place in a text is in its new version: the probe's occurrence nearest to the same share of it.
+
+    Occurrences are taken from the left without overlaps. Where the probe is too short or gone it is the share itself.
+    """
+    probe = F.substring(text, at + 1, F.lit(PROBE))
+    guess = F.when(F.length(text) > 0, F.floor(at * F.length(new) / F.length(text) + 0.5)).otherwise(0).cast("long")
+    parts = F.split(new, F.concat(F.lit("\\Q"), probe, F.lit("\\E")))
+    size = F.length(probe)
+    places = F.transform(F.slice(spans.starts_of(parts, size), 2, F.size(parts)), lambda x: x - size)
+    best = F.array_min(F.transform(places, lambda x: F.struct(F.abs(x - guess).alias("off"), x.alias("at"))))["at"]
+    return F.when((F.length(trim(probe)) >= LEAST_PROBE) & F.contains(new, probe), best).otherwise(guess)
+
+
+#: What stands in a field that has no name in it.
+NO_NAME = "unknown, n/a, na, none, null, undefined, unspecified, untitled, no part, not applicable, part, volume, book, section, -, —, –, ?, 未知, 无, 無, 未分卷, 未命名, 不详, 不詳, 无标题, 無標題"
+
+
+def meaningful_name(name: Column) -> Column:
+    """A part's name without white space at its ends; empty where it says nothing."""
+    bare = trim(F.coalesce(name, F.lit("")))
+    return F.when(F.lower(bare).isin(*NO_NAME.split(", ")), "").otherwise(bare)

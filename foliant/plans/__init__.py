@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import cast, library, reports, resolve, sources, structure, text
+from foliant.plans import cast, forms, library, reports, resolve, sources, structure, text
 
-MODULES: list = [text, structure, cast, resolve, reports, sources, library]
+MODULES: list = [text, structure, cast, resolve, reports, sources, library, forms]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -272,7 +272,9 @@ def q17_deck(spark, sf):
 
 
 def i04_relabels(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", X.detect_language(F.col("text")).alias("found"))
+    """Documents of which every third is in Han signs, whatever its language was said to be."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "etaoin", "的一是不了人")).otherwise(F.col("text"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", X.detect_language(text).alias("found"))
     return d.where(X.script_of(F.col("lang")) != X.script_of(F.col("found"))).select("doc_id", "found")
 
 
@@ -338,8 +340,8 @@ def i16_shelf_search(spark, sf):
 
 
 def i18_suppress(spark, sf):
-    """Names of large parts that no small part bears."""
-    p = table(spark, sf, "part").select("p_size", X.title_key(F.col("p_name")).alias("k"))
+    """Names and brands of large parts that no small part bears."""
+    p = table(spark, sf, "part").select("p_size", X.title_key(F.concat("p_name", F.lit(" "), "p_brand")).alias("k"))
     return p.where("p_size > 25").join(p.where("p_size <= 25").select("k"), "k", "left_anti").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -463,7 +465,7 @@ ORACLE_SQL = {
     "e15_ceiling": "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders QUALIFY place <= 100",
     "e18_prefixes": "SELECT prefix, min(n_nationkey) AS n_nationkey FROM (SELECT n_nationkey, n, substr(n, 1, i) AS prefix FROM (SELECT n_nationkey, lower(n_name) AS n, unnest(range(1, length(n_name) + 1)) AS i FROM nation)) GROUP BY prefix HAVING count(*) = 1",
     "q17_deck": "SELECT c_custkey, count(o_orderkey) AS reps, CASE WHEN count(o_orderkey) = 0 THEN CAST(2.5 AS DOUBLE) ELSE CAST(2.6 AS DOUBLE) END AS ease, count(o_orderkey) = 0 AS fresh FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
-    "i04_relabels": "SELECT doc_id, 'zh-Hans' AS found FROM documents WHERE (length(substr(text, 1, 20000)) - length(regexp_replace(substr(text, 1, 20000), '" + X.CJK + "', '', 'g'))) / greatest(1, length(substr(text, 1, 20000))) > 0.15 AND lang NOT IN ('zh', 'ja')",
+    "i04_relabels": "WITH t AS (SELECT doc_id, lang, substr(CASE WHEN doc_id % 3 = 0 THEN translate(text, 'etaoin', '的一是不了人') ELSE text END, 1, 20000) AS t FROM documents) SELECT doc_id, 'zh-Hans' AS found FROM t WHERE (length(t) - length(regexp_replace(t, '" + X.CJK + "', '', 'g'))) / greatest(1, length(t)) > 0.15 AND lang NOT IN ('zh', 'ja')",
     "i05_notes": "WITH t AS (SELECT conv_id, turn, regexp_replace(text, '\\s+', '', 'g') AS k FROM conversations) SELECT conv_id, turn FROM t WHERE conv_id >= 10 AND k NOT IN (SELECT k FROM t WHERE conv_id < 10) QUALIFY row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) = 1",
     "i06_undo": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal WHEN c_custkey % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE c_acctbal END AS bal FROM customer",
     "i07_restore": f"WITH d AS (SELECT source, {sql_squeeze('text')} || '::' || lower(substr(text, 1, 20)) AS k FROM documents) SELECT source, count(*) FILTER (WHERE k IN (SELECT k FROM d WHERE source <> 'src0')) AS duplicates, count(*) FILTER (WHERE k NOT IN (SELECT k FROM d WHERE source <> 'src0')) AS waiting FROM d WHERE source = 'src0' GROUP BY source",
@@ -473,7 +475,7 @@ ORACLE_SQL = {
     "i14_notes": f"""WITH {_P}, {_C}, l AS (SELECT doc_id, start, contains(text, 'The') AS named FROM lines WHERE contains(text, 'The') OR start % 7 = 0) SELECT l.doc_id, coalesce(c.idx, -1) AS idx, count(*) AS n FROM l LEFT JOIN chapters c ON named AND c.doc_id = l.doc_id AND l.start >= c.start AND l.start < c."end" GROUP BY ALL""",
     "i15_books": "SELECT o_custkey, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey",
     "i16_shelf_search": f"SELECT p_partkey, rank FROM (SELECT p_partkey, least({_RE(0, 'p_name')}, {_RE(1, 'p_brand')}, {_RE(5, 'p_type')}) AS rank FROM part) WHERE rank IS NOT NULL",
-    "i18_suppress": r"WITH k AS (SELECT p_size, regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', '', 'g') AS k FROM part) SELECT k, count(*) AS n FROM k WHERE p_size > 25 AND k NOT IN (SELECT k FROM k WHERE p_size <= 25) GROUP BY k",
+    "i18_suppress": r"WITH k AS (SELECT p_size, regexp_replace(lower(p_name || p_brand), '[^\p{L}\p{N}]+', '', 'g') AS k FROM part) SELECT k, count(*) AS n FROM k WHERE p_size > 25 AND k NOT IN (SELECT k FROM k WHERE p_size <= 25) GROUP BY k",
     "i21_seen": """SELECT p_brand, p_partkey, '{"p_name":"' || p_name || '","p_size":' || p_size || '}' AS payload, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey DESC) AS place FROM part QUALIFY place <= 3""",
     "x01_titles": f"WITH {_P} SELECT doc_id, pos // 5 AS idx, CASE WHEN length({sql_trim('text')}) BETWEEN 1 AND 60 THEN {sql_trim('text')} ELSE CAST(pos // 5 + 1 AS VARCHAR) END AS title FROM lines WHERE pos % 5 = 0",
     "x06_annotations": f"""WITH {_P}, {_C}, q AS (SELECT c.doc_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY l.start) AS place, idx, substr(text, 1, 30) AS q FROM lines l JOIN chapters c ON c.doc_id = l.doc_id AND l.start >= c.start AND l.start < c."end" WHERE length(text) > 40)

@@ -306,7 +306,7 @@ def w03_backoff(spark, sf):
 
 def w05_batches(spark, sf):
     """Jobs in batches of 200 for each priority."""
-    o = table(spark, sf, "orders").withColumn("n", F.expr("row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)"))
+    o = records.numbered(table(spark, sf, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], ["o_orderkey"])
     return o.groupBy("o_orderpriority", F.floor((F.col("n") - 1) / 200).alias("batch")).agg(F.count(F.lit(1)).alias("jobs"), F.min("o_orderkey").alias("first"))
 
 
