@@ -22,6 +22,33 @@ def blocks(books: DataFrame) -> DataFrame:
     return books.select("id", F.explode(F.array_distinct(all_)).alias("block")).where("length(block) > 2")
 
 
+#: Most edits between near titles, so one of so many and one more segments of the one is whole in the other.
+EDITS, SHORT = 2, 5
+
+
+def _segments(heads: DataFrame, own: bool) -> DataFrame:
+    """(id, k): keys under which near titles meet, within EDITS edits of each other and alike in their first or last letters.
+
+    A title's own keys are its segments with its length; under the others it is found by titles of about its length whose
+    segment it has at about that place. Titles of fewer than SHORT letters are near to equal ones only.
+    """
+    n, loose = F.length("loose"), F.col("loose")
+    end = F.when(loose.rlike(HAN), 2).otherwise(3)
+    ends = F.array(F.concat(F.lit("p:"), F.substring(loose, F.lit(1), end)), F.concat(F.lit("s:"), F.right("loose", end)))
+    around = (0,) if own else range(-EDITS, EDITS + 1)
+    places = F.array(*(F.struct(F.lit(more).alias("more"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for more in around for i in range(EDITS + 1) for shift in around))
+
+    def segment(p: Column) -> Column:
+        m = n + p["more"]
+        start, stop = F.floor(m * p["i"] / (EDITS + 1)).cast("int"), F.floor(m * (p["i"] + 1) / (EDITS + 1)).cast("int")
+        fits = (m >= SHORT) & (start + p["shift"] >= 0) & (stop + p["shift"] <= n)
+        return F.when(fits, F.concat_ws("|", m, p["i"], F.substring(loose, start + p["shift"] + 1, stop - start)))
+
+    found = F.when(n < SHORT, F.array(F.concat(F.lit("="), loose))).otherwise(F.array_compact(F.array_distinct(F.transform(places, segment))))
+    rows = heads.where(loose != "").select("id", "vols", ends.alias("ends"), F.explode(found).alias("k"))
+    return rows.select("id", F.explode(F.transform("ends", lambda e: F.concat_ws("|", e, "vols", "k"))).alias("k")).distinct()
+
+
 def _likeness() -> Column:
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     same = (a("key") == b("key")) | ((a("main") == b("key")) & (a("main") != a("key"))) | ((b("main") == a("key")) & (b("main") != b("key")))
@@ -46,7 +73,10 @@ def like_pairs(books: DataFrame, dismissed: DataFrame | None = None) -> DataFram
     marked = rows.select("id", *alike)
     group = ["key", "main", "loose", "vols", "ed", "author"]
     heads = graph.written(marked.groupBy(*group).agg(F.min("id").alias("id")), "title-heads")
-    met = blocks(heads).alias("x").join(blocks(heads).alias("y"), F.expr("x.block = y.block AND x.id < y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j")).distinct()
+    whole = blocks(heads).where("startswith(block, 't:') OR startswith(block, 'm:')")
+    met = whole.alias("x").join(whole.alias("y"), F.expr("x.block = y.block AND x.id < y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
+    close = _segments(heads, True).alias("x").join(_segments(heads, False).alias("y"), F.expr("x.k = y.k AND x.id <> y.id")).select(F.least("x.id", "y.id").alias("i"), F.greatest("x.id", "y.id").alias("j"))
+    met = met.union(close).distinct()
     pairs = met.join(heads.alias("a"), F.col("i") == F.col("a.id")).join(heads.alias("b"), F.col("j") == F.col("b.id")).select("i", "j", _likeness().alias("likeness"))
     own = marked.where("key <> ''").join(heads.withColumnRenamed("id", "head"), group).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit("same").alias("likeness"))
     found = pairs.where("likeness IS NOT NULL").select(F.col("i").alias("a"), F.col("j").alias("b"), "likeness").union(own)

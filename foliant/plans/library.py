@@ -309,10 +309,10 @@ def i09_copies(spark, sf):
 
 
 def i10_pending(spark, sf):
-    """Held annotations that apply to documents with the text they were made for."""
-    d = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    held = d.where("doc_id % 2 = 0").select("h", F.col("doc_id").alias("held"))
-    return d.where("doc_id % 2 = 1").join(held, "h").select("doc_id", "held")
+    """Held annotations that apply to documents with the text they were made for: how many, and the first."""
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    held = d.where("doc_id % 2 = 0").groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("first"))
+    return d.where("doc_id % 2 = 1").join(held, "h").select("doc_id", "held", "first")
 
 
 def i12_scene_units(spark, sf):
@@ -470,7 +470,7 @@ ORACLE_SQL = {
     "i06_undo": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal WHEN c_custkey % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE c_acctbal END AS bal FROM customer",
     "i07_restore": f"WITH d AS (SELECT source, {sql_squeeze('text')} || '::' || lower(substr(text, 1, 20)) AS k FROM documents) SELECT source, count(*) FILTER (WHERE k IN (SELECT k FROM d WHERE source <> 'src0')) AS duplicates, count(*) FILTER (WHERE k NOT IN (SELECT k FROM d WHERE source <> 'src0')) AS waiting FROM d WHERE source = 'src0' GROUP BY source",
     "i09_copies": "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'base' ELSE 'full' END AS kind, count(*) AS n, max(o_orderdate) AS newest, round(sum(o_totalprice), 2) AS bytes FROM orders GROUP BY 1",
-    "i10_pending": "SELECT a.doc_id, b.doc_id AS held FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 2 = 1 AND b.doc_id % 2 = 0",
+    "i10_pending": "SELECT a.doc_id, count(*) AS held, min(b.doc_id) AS first FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY a.doc_id",
     "i12_scene_units": f"WITH {_B} SELECT doc_id, idx, length(substr(body, 1, 5000)) AS n, CAST(ceil(length(body) / CAST(5000 AS DOUBLE)) AS BIGINT) AS units FROM bodies",
     "i14_notes": f"""WITH {_P}, {_C}, l AS (SELECT doc_id, start, contains(text, 'The') AS named FROM lines WHERE contains(text, 'The') OR start % 7 = 0) SELECT l.doc_id, coalesce(c.idx, -1) AS idx, count(*) AS n FROM l LEFT JOIN chapters c ON named AND c.doc_id = l.doc_id AND l.start >= c.start AND l.start < c."end" GROUP BY ALL""",
     "i15_books": "SELECT o_custkey, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey",

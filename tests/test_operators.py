@@ -234,3 +234,39 @@ def test_keys_in_normal_form(spark):
     df = spark.createDataFrame([(1, "Ｄｕｎｅ １"), (2, "Dune 1"), (3, None)], "i long, t string")
     assert [r.t for r in X.with_composed(df, "t").orderBy("i").collect()] == ["Dune 1", "Dune 1", None]
     assert one(spark, X.tie, "一个弟子") == "child" and one(spark, X.tie, "his father and 父亲") == "parent"
+
+
+def test_near_titles_are_all_met(spark):
+    """Titles a few edits apart with the same beginning or end: all pairs that comparing each with each finds."""
+    rng = random.Random(12)
+    titles = []
+    for _ in range(60):
+        t = "".join(rng.choice("abcde") for _ in range(rng.randrange(3, 18)))
+        titles.append(t)
+        for _ in range(3):
+            u = list(t)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(u) + 1)
+                u[at : at + rng.randrange(2)] = rng.choice([[], ["x"], ["y"]])
+            titles.append("".join(u))
+    books = spark.createDataFrame([(i, t, "me", None) for i, t in enumerate(titles) if t], "id long, title string, author string, edition string")
+    got = {(r.a, r.b) for r in resolve.like_pairs(books).where("likeness = 'near'").collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    heads = {}
+    for i, t in enumerate(titles):
+        heads.setdefault(t, i)
+    want = set()
+    for a, i in heads.items():
+        for b, j in heads.items():
+            short = min(len(a), len(b))
+            if i < j and a and b and (a[:3] == b[:3] or a[-3:] == b[-3:]) and edits(a, b) <= (0 if short < 5 else 1 if short < 14 else 2):
+                want.add((i, j))
+    assert len(want) > 40 and {p for p in got if titles[p[0]] != titles[p[1]]} == want
