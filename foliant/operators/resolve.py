@@ -183,3 +183,22 @@ def set_representatives(sets: DataFrame, id_col: str = "doc_id", set_col: str =
     """(id, rep): the smallest id that has the same set."""
     own = sets.select(id_col, F.xxhash64(F.array_sort(set_col)).alias("h1"), F.hash(F.array_sort(set_col)).alias("h2"))
     return own.join(own.groupBy("h1", "h2").agg(F.min(id_col).alias("rep")), ["h1", "h2"]).select(id_col, "rep")
+
+
+def references(said: DataFrame, books: DataFrame, id_col: str = "id", said_col: str = "said") -> DataFrame:
+    """(id, book, chapter) of references such as "Gen 3": a book's name, alias, code or a beginning that only it has.
+
+    books has (book, code, aliases, chapters). A reference to no book, to a chapter it has not, or to a verse is left out.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    whole = books.select("book", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.lower("book").alias("form")), F.struct(F.lit(2).alias("rank"), F.lower("code").alias("form")))).alias("x"))
+    other = books.select("book", F.explode(F.transform("aliases", lambda a: F.struct(F.lit(1).alias("rank"), F.lower(a).alias("form")))).alias("x"))
+    bare = books.select("book", plain(F.col("book")).alias("s")).where("length(s) >= 2")
+    begins = bare.select("book", F.explode(F.transform(F.sequence(F.lit(2), F.length("s")), lambda n: F.substring(F.col("s"), F.lit(1), n))).alias("form"))
+    begins = begins.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.min("book").alias("by_start")).where("n = 1").select("form", "by_start")
+    named = whole.union(other).select("x.form", F.struct("x.rank", "book").alias("b")).groupBy("form").agg(F.min("b")["book"].alias("by_name"))
+    rows = said.select(id_col, squeeze(F.regexp_extract(said_col, r"^\s*(.+?)\s+\d+\s*$", 1)).alias("name"), F.expr(f"try_cast(regexp_extract({said_col}, '(\\\\d+)\\\\s*$', 1) AS BIGINT)").alias("chapter"))
+    rows = rows.where(F.col("name") != "").withColumns({"whole": F.lower("name"), "start": plain(F.col("name"))})
+    rows = rows.join(named.withColumnRenamed("form", "whole"), "whole", "left").join(begins.withColumnRenamed("form", "start"), "start", "left")
+    found = rows.select(id_col, F.coalesce("by_name", "by_start").alias("book"), "chapter").join(books.select("book", "chapters"), "book")
+    return found.where(F.col("chapter").between(1, F.col("chapters"))).select(id_col, "book", "chapter")

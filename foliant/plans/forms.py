@@ -9,6 +9,7 @@ from foliant.operators import align, records, resolve, spans, structure
 from foliant.plans.common import SQL_PARAGRAPHS, sql_trim, table
 from foliant.plans.resolve import _SH, _TK
 from foliant.plans.structure import _lines
+from foliant.sources import markup
 
 
 def _zh(spark, sf):
@@ -141,6 +142,32 @@ def e08_merge(spark, sf):
     return out
 
 
+def r12_entities(spark, sf):
+    """Names with their signs as numbered references, by tens or by sixteens."""
+    one = lambda x: F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("&#"), F.ascii(x).cast("string"), F.lit(";"))).otherwise(F.concat(F.lit("&#x"), F.lower(F.hex(F.ascii(x))), F.lit(";")))
+    text = F.concat(F.array_join(F.transform(F.split("p_name", ""), one), ""), F.lit(" &#20013;&#x1F600;&#38;amp; &lt;&#0;&amp;lt;"))
+    return table(spark, sf, "part").select("p_partkey", X.decode_entities(text).alias("text"))
+
+
+def r29_downloads(spark, sf):
+    """Addresses of pages and of the files behind them."""
+    k, n = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    url = F.when(k == 0, F.concat(F.lit("https://docs.google.com/document/d/a_"), n, F.lit("/edit"))).when(k == 1, F.concat(F.lit("https://github.com/me/books/blob/main/a/b%20"), n, F.lit(".md#top"))).when(k == 2, F.concat(F.lit("https://drive.google.com/file/d/x"), n, F.lit("/view"))).otherwise(F.concat(F.lit("https://x.org/"), n))
+    found = markup.download_of(url)
+    return table(spark, sf, "part").select("p_partkey", found["url"].alias("url"), found["name"].alias("name"))
+
+
+def e18_references(spark, sf):
+    """Nations as books, customers as references to their chapters in five ways."""
+    n = table(spark, sf, "nation")
+    books = n.select(F.initcap("n_name").alias("book"), F.concat(F.lit("Z"), F.col("n_nationkey").cast("string")).alias("code"), F.array(F.concat(F.lit("land of "), F.col("n_name"))).alias("aliases"), (F.col("n_nationkey") % 7 + 3).alias("chapters"))
+    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey") % 6
+    name = F.when(k == 0, F.upper("n_name")).when(k == 1, F.concat(F.lit("z"), F.col("n_nationkey").cast("string"))).when(k == 2, F.concat(F.lit(" Land  of "), F.col("n_name"))).when(k == 3, F.substring("n_name", 1, 3)).when(k == 4, "nowhere").otherwise(F.col("n_name"))
+    said = F.concat(name, F.lit(" "), (F.col("c_custkey") % 11).cast("string"), F.when(k == 5, ":4").otherwise(" "))
+    return resolve.references(c.select(F.col("c_custkey").alias("id"), said.alias("said")), books)
+
+
 def c14_clauses(spark, sf):
     """What is known of each brand from its parts' names, without what another clause holds."""
     p = table(spark, sf, "part").where("p_size <= 3")
@@ -148,7 +175,7 @@ def c14_clauses(spark, sf):
     return rows.select("p_brand", X.merged_clauses(F.transform("x", lambda s: s["p_name"])).alias("clauses"))
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "tdjlec" and name[1:3].isdigit()}
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "tdjlecr" and name[1:3].isdigit()}
 
 _ZH = "SELECT doc_id, lang, translate(text, 'etaoinsrh.?!,', '的一是不了人我在有。？！，') AS text FROM documents"
 _BL = f"""lines AS ({SQL_PARAGRAPHS}), bl AS (SELECT doc_id, start, start + length(text) AS "end", CASE WHEN doc_id % 4 = 1 AND pos % 4 = 1 THEN 'Chapter ' || pos ELSE text END AS text,
@@ -194,5 +221,11 @@ ORACLE_SQL = {
       l AS (SELECT coalesce(keep, l_suppkey) AS k, l_suppkey, l_returnflag, l_linestatus, keep IS NOT NULL AS moved FROM lineitem LEFT JOIN m ON other = l_suppkey)
       SELECT b.*, marks, notes, moved, undone FROM (SELECT k AS s_suppkey, coalesce(max(nation) FILTER (WHERE NOT off), min(nation) FILTER (WHERE off)) AS nation, max(s_acctbal) AS s_acctbal, count(*) - 1 AS merged FROM s GROUP BY k) b
       LEFT JOIN (SELECT k, count(DISTINCT (l_returnflag, l_linestatus)) AS marks, count(*) AS notes, count(*) FILTER (WHERE moved) AS moved FROM l GROUP BY k) x ON x.k = b.s_suppkey LEFT JOIN (SELECT l_suppkey, count(*) AS undone FROM l GROUP BY l_suppkey) y ON y.l_suppkey = b.s_suppkey""",
+    "r12_entities": "SELECT p_partkey, p_name || ' 中😀&amp; <&#0;&lt;' AS text FROM part",
+    "r29_downloads": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'https://docs.google.com/document/d/a_' || p_partkey || '/export?format=docx' WHEN 1 THEN 'https://raw.githubusercontent.com/me/books/main/a/b%20' || p_partkey || '.md' WHEN 2 THEN 'https://drive.google.com/uc?export=download&id=x' || p_partkey ELSE 'https://x.org/' || p_partkey END AS url,
+      CASE p_partkey % 4 WHEN 0 THEN 'a_' || p_partkey || '.docx' WHEN 1 THEN 'b ' || p_partkey || '.md' WHEN 2 THEN 'x' || p_partkey END AS name FROM part""",
+    "e18_references": """WITH b AS (SELECT n_nationkey, upper(n_name[1]) || lower(n_name[2:]) AS book, n_nationkey % 7 + 3 AS chapters, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS s FROM nation),
+      u AS (SELECT p FROM (SELECT substr(s, 1, 3) AS p FROM b) GROUP BY p HAVING count(*) = 1)
+      SELECT c_custkey AS id, book, c_custkey % 11 AS chapter FROM customer JOIN b ON c_nationkey = n_nationkey WHERE c_custkey % 6 <= 3 AND (c_custkey % 6 <> 3 OR substr(s, 1, 3) IN (SELECT p FROM u)) AND c_custkey % 11 BETWEEN 1 AND chapters""",
     "c14_clauses": "SELECT p_brand, string_agg(p_name, ' · ' ORDER BY i) AS clauses FROM (SELECT p_brand, p_name, min(p_partkey) AS i FROM part WHERE p_size <= 3 GROUP BY ALL) GROUP BY p_brand",
 }

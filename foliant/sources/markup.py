@@ -139,3 +139,17 @@ def url_parts(url: Column) -> Column:
     path = F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)
     step = lambda i: F.nullif(F.split_part(path, F.lit("/"), F.lit(i)), F.lit(""))
     return F.struct(F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1)).alias("host"), path.alias("path"), F.regexp_extract(url, r"\?([^#]*)", 1).alias("query"), step(2).alias("owner"), F.regexp_replace(step(3), r"\.git$|\.html$", "").alias("repo"))
+
+
+def download_of(url: Column) -> Column:
+    """struct<url, name>: where the file behind a page's address is: of shared documents and drives, and of files in repositories."""
+    doc = F.regexp_extract(url, r"docs\.google\.com/document/d/([A-Za-z0-9_-]+)", 1)
+    drive = F.regexp_extract(url, r"drive\.google\.com/file/d/([A-Za-z0-9_-]+)", 1)
+    blob = lambda i: F.regexp_extract(url, r"github\.com/([^/]+)/([^/]+)/blob/([^?#]+)", i)
+    path = blob(3)
+    file = F.regexp_extract(path, "([^/]*)$", 1)
+    made = lambda at, name: F.struct(at.alias("url"), name.alias("name"))
+    shared = made(F.concat(F.lit("https://docs.google.com/document/d/"), doc, F.lit("/export?format=docx")), F.concat(doc, F.lit(".docx")))
+    raw = made(F.concat_ws("/", F.lit("https://raw.githubusercontent.com"), blob(1), blob(2), path), F.coalesce(F.try_url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), file))
+    kept = made(F.concat(F.lit("https://drive.google.com/uc?export=download&id="), drive), drive)
+    return F.when(doc != "", shared).when(path != "", raw).when(drive != "", kept).otherwise(made(url, F.lit(None).cast("string")))

@@ -270,3 +270,20 @@ def test_near_titles_are_all_met(spark):
             if i < j and a and b and (a[:3] == b[:3] or a[-3:] == b[-3:]) and edits(a, b) <= (0 if short < 5 else 1 if short < 14 else 2):
                 want.add((i, j))
     assert len(want) > 40 and {p for p in got if titles[p[0]] != titles[p[1]]} == want
+
+
+def test_references(spark):
+    books = spark.createDataFrame([("Genesis", "GEN", [], 50), ("John", "JHN", [], 21), ("1 Samuel", "1SA", ["first samuel"], 31), ("Philippians", "PHP", [], 4), ("Philemon", "PHM", [], 1)], "book string, code string, aliases array<string>, chapters int")
+    said = ["Gen 3", "  john   4 ", "Phil 1", "1Sam 31", "John 3:16", "jhn 22", "First  Samuel 2", "php 4", "Genesis", "Genesis 0", "", None]
+    got = {r.id: (r.book, r.chapter) for r in resolve.references(spark.createDataFrame(list(enumerate(said)), "id long, said string"), books).collect()}
+    assert got == {0: ("Genesis", 3), 1: ("John", 4), 3: ("1 Samuel", 31), 6: ("1 Samuel", 2), 7: ("Philippians", 4)}
+
+
+def test_links_and_places(spark):
+    links = spark.createDataFrame([(1, 0, 1, "#Top"), (1, 2, 3, "#top%20two"), (1, 4, 5, "#none"), (1, 6, 7, "mailto:a@b.c"), (1, 8, 9, "x.html")], "doc_id long, start long, end long, href string")
+    anchors = spark.createDataFrame([(1, "top", 9), (1, "top", 3), (1, "TOP", 1), (1, "Top Two", 5), (2, "none", 0)], "doc_id long, anchor string, at long")
+    got = {r.start: (r.href, r.at) for r in structure.resolved_links(links, anchors).collect()}
+    assert got == {0: ("#TOP", 1), 2: ("#Top Two", 5), 6: ("mailto:a@b.c", None)}
+    text = "".join(chr(97 + i * 7 % 26) for i in range(300))
+    df = spark.createDataFrame([(text, 100, "new " * 20 + text), (text, 100, "gone"), ("", 0, ""), ("ab", 1, "abab")], "t string, at int, n string")
+    assert [r[0] for r in df.select(structure.placed_again(F.col("t"), F.col("at"), F.col("n"))).collect()][1:] == [1, 0, 2]
