@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as X
 from foliant.operators import records, spans
 from foliant.plans.common import SQL_PARAGRAPHS, table
+from foliant.sources import files
 
 
 def q01_shelf(spark, sf):
@@ -269,10 +270,16 @@ def x11_screenplay(spark, sf):
 
 
 def x12_csv(spark, sf):
-    """Customers as lines of a CSV file."""
-    c = table(spark, sf, "customer")
-    cells = [X.csv_cell(F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"'))), F.col("c_custkey").cast("string"), X.csv_cell(F.col("c_mktsegment"))]
-    return c.select("c_custkey", F.concat_ws(",", *cells).alias("line"))
+    """Customers as lines of a library's list, with all its columns."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("chapters"), F.max("o_orderdate").alias("rated_at"), F.min("o_orderdate").alias("created_at"))
+    c = table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    books = c.select(
+        "c_custkey", F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"')).alias("title"), F.lit(None).cast("string").alias("author"), F.sha2("c_name", 256).alias("source_hash"),
+        F.lit(None).cast("string").alias("isbn"), F.col("c_nationkey").alias("year"), F.lower("c_mktsegment").alias("status"), F.when(F.col("c_nationkey") % 3 > 0, F.col("c_nationkey") % 5 + 1).alias("stars"),
+        F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("two\r\nlines "), F.col("c_name"))).alias("review"), "rated_at", "created_at", F.array(F.lit("a"), F.col("c_mktsegment")).alias("tags"), F.lit("novel").alias("kind"),
+        F.lit("en").alias("language"), F.length("c_name").alias("words"), F.coalesce("chapters", F.lit(0)).alias("chapters"), F.lit(0).alias("notes"), F.lit(None).cast("string").alias("summary"), F.lit("x,y").alias("source_name"),
+    )
+    return files.library_lines(books, "c_custkey")
 
 
 def x15_chain(spark, sf):
@@ -359,7 +366,9 @@ ORACLE_SQL = {
     "x02_text": "SELECT conv_id, length(md) AS n, sha256(md) AS sha FROM (SELECT conv_id, string_agg('## ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS md FROM conversations GROUP BY conv_id)",
     "x03_html": f"""WITH lines AS ({SQL_PARAGRAPHS}) SELECT doc_id, sha256(string_agg('<p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</p>', chr(10) ORDER BY pos)) AS sha FROM lines WHERE text <> '' GROUP BY doc_id""",
     "x11_screenplay": "SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, CASE WHEN role = 'system' THEN 'action' ELSE 'character' END AS type, sha256(CASE WHEN role = 'system' THEN text ELSE upper(role) END) AS sha FROM conversations UNION ALL SELECT conv_id, turn, 1, 'dialogue', sha256(text) FROM conversations WHERE role <> 'system'",
-    "x12_csv": """SELECT c_custkey, '"' || replace(c_name || ', "' || c_mktsegment || '"', '"', '""') || '",' || c_custkey || ',' || c_mktsegment AS line FROM customer""",
+    "x12_csv": """WITH o AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS r, min(o_orderdate) AS a FROM orders GROUP BY o_custkey)
+      SELECT c_custkey, '"' || c_name || ', ""' || c_mktsegment || '""' || '",,' || sha256(c_name) || ',,' || c_nationkey || ',' || lower(c_mktsegment) || ',' || CASE WHEN c_nationkey % 3 > 0 THEN c_nationkey % 5 + 1 ELSE 0 END || ',' || CASE WHEN c_nationkey % 2 = 0 THEN '"two' || chr(10) || 'lines ' || c_name || '"' ELSE '' END
+        || ',' || coalesce(strftime(r, '%Y-%m-%d'), '') || ',' || coalesce(strftime(a, '%Y-%m-%d'), '') || ',"a, ' || c_mktsegment || '",novel,en,' || length(c_name) || ',' || coalesce(n, 0) || ',0,,"x,y"' AS line FROM customer LEFT JOIN o ON o_custkey = c_custkey""",
     "x15_chain": """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN CAST(1.5 AS DOUBLE) ELSE c_acctbal END AS bal, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 8 <> 0 THEN c_name || '*' WHEN c_custkey % 11 <> 0 THEN c_name END AS name, c_custkey % 4 = 0 AS changed FROM customer WHERE c_custkey % 5 <> 0 AND (c_custkey % 11 <> 0 OR c_custkey % 4 = 0)""",
     "x18_sweep": "SELECT p_partkey, p_size AS at FROM part WHERE p_size < 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount >= CAST(0.1 AS DOUBLE))",
     "x19_changed": "SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

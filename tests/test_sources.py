@@ -99,3 +99,17 @@ def test_typed_books(spark):
     got = [(r.n, r.title, r.author, r.isbn) for r in files.read_typed_books(df).orderBy("n").collect()]
     assert got == [(1, "Dune: Messiah", "Frank Herbert", "123"), (2, "Emma", "Jane", None), (3, "Persuasion", None, None), (4, "Then", "First", None)]
     assert spark.range(1).select(markup.lossy_utf8(F.lit(b"a\xffb"))).first()[0] == "a\ufffdb"
+
+
+def test_epub_round_trip(spark, tmp_path):
+    schema = "title string, author string, language string, chapters array<struct<title: string, text: string>>"
+    df = spark.createDataFrame([("A & B", "Me", "en", [("One", "first <line>\nsecond"), (None, "no title")])], schema)
+    data = df.select(files.epub_bytes("title", "author", "language", "chapters")).first()[0]
+    (tmp_path / "a.epub").write_bytes(data)
+    (tmp_path / "b.epub").write_bytes(b"no zip")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED and "book/nav.xhtml" in z.namelist()
+    pages = files.read_epub(spark, str(tmp_path)).withColumn("page_id", F.col("pos"))
+    got = [(r.page_id, r.level, r.text) for r in markup.html_blocks(pages).orderBy("page_id", "pos").collect()]
+    assert got == [(0, 1, "One"), (0, 0, "first <line>"), (0, 0, "second"), (1, 0, "no title")]
+    assert [tuple(r)[1:] for r in files.read_epub_origin(spark, str(tmp_path)).collect()] == [(0, "A & B", "Me", "en")]
