@@ -153,3 +153,34 @@ def download_of(url: Column) -> Column:
     raw = made(F.concat_ws("/", F.lit("https://raw.githubusercontent.com"), blob(1), blob(2), path), F.coalesce(F.try_url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), file))
     kept = made(F.concat(F.lit("https://drive.google.com/uc?export=download&id="), drive), drive)
     return F.when(doc != "", shared).when(path != "", raw).when(drive != "", kept).otherwise(made(url, F.lit(None).cast("string")))
+
+
+LINKED = r"""(!?)\[((?:[^\[\]\\]|\\.)*)\]\(\s*<?([^()\s<>]*)>?(?:\s+["'(][^)]*)?\s*\)"""
+#: What stays as it was typed: code between backticks and formulas between dollar signs; all else comes in runs between them.
+TYPED = r"(?s)(`+[^`]*`+|\$[^\s$](?:[^$\n]*[^\s$])?\$(?![0-9])|[^`$]+|[`$])"
+
+
+def inline_links(text: Column) -> Column:
+    """array<struct<words, href>> of the links of a Markdown text in order, images left out, and addresses in angle brackets."""
+    found = F.regexp_extract_all(text, F.lit(f"{LINKED}|<((?:https?|mailto):[^<>\\s]+)>"), 0)
+    part = lambda x, i: F.regexp_extract(x, LINKED, i)
+    one = lambda x: F.when(F.startswith(x, F.lit("<")), F.struct(F.btrim(x, F.lit("<>")).alias("words"), F.btrim(x, F.lit("<>")).alias("href"))).otherwise(F.struct(part(x, 2).alias("words"), part(x, 3).alias("href")))
+    return F.filter(F.transform(F.filter(found, lambda x: ~F.startswith(x, F.lit("!"))), one), lambda s: s["href"] != "")
+
+
+def inline_plain(text: Column) -> Column:
+    """The words of a Markdown text: links and images by theirs, without comments, tags, emphasis and escapes; code and formulas stay."""
+    def words(x: Column) -> Column:
+        x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
+        x = F.regexp_replace(x, r"<((?:https?|mailto):[^<>\s]+)>", "$1")
+        x = F.regexp_replace(x, r"</?[A-Za-z][^<>]*>", "")
+        for sign in (r"\*\*", "__", "~~"):
+            x = F.regexp_replace(x, rf"{sign}(?=\S)(.+?)(?<=\S){sign}", "$1")
+        for sign in (r"\*", "_"):
+            x = F.regexp_replace(x, rf"(?<![\w\\]){sign}(?=\S)([^*_\n]+?)(?<=\S){sign}(?!\w)", "$1")
+        return F.regexp_replace(x, r"\\([\\`*_{}\[\]()#+.!<>~-])", "$1")
+
+    linked = F.regexp_replace(text, LINKED, "$2")
+    parts = F.regexp_extract_all(linked, F.lit(TYPED), 1)
+    typed = lambda x: (F.length(x) > 1) & x.rlike(r"\A[`$]")
+    return F.array_join(F.transform(parts, lambda x: F.when(typed(x), x).otherwise(words(x))), "")

@@ -113,3 +113,12 @@ def test_epub_round_trip(spark, tmp_path):
     got = [(r.page_id, r.level, r.text) for r in markup.html_blocks(pages).orderBy("page_id", "pos").collect()]
     assert got == [(0, 1, "One"), (0, 0, "first <line>"), (0, 0, "second"), (1, 0, "no title")]
     assert [tuple(r)[1:] for r in files.read_epub_origin(spark, str(tmp_path)).collect()] == [(0, "A & B", "Me", "en")]
+
+
+def test_inline_markdown(spark):
+    text = "**Bold** and _so_ on: [the *words*](http://x.org/a_b 'T'), ![pic](p.png) `*code* <b>` $a_1*b_2$ <https://y.org> <i>tag</i><!-- gone --> snake_case 2 \\* 3 ~~old~~"
+    df = spark.createDataFrame([(text,), ("",), (None,), ("a * b * c",)], "t string")
+    rows = df.select(markup.inline_plain(F.col("t")).alias("p"), markup.inline_links(F.col("t")).alias("l")).collect()
+    assert rows[0].p == "Bold and so on: the words, pic `*code* <b>` $a_1*b_2$ https://y.org tag snake_case 2 * 3 old"
+    assert [tuple(x) for x in rows[0].l] == [("the *words*", "http://x.org/a_b"), ("https://y.org", "https://y.org")]
+    assert [r.p for r in rows[1:]] == ["", None, "a * b * c"] and rows[1].l == []
