@@ -6,6 +6,8 @@ each point under its own, so that the join is an equi-join on (document, bucket)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +18,30 @@ BUCKET = 2048
 RUN = 256
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value made only once however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def starts_of(parts: Column, gap: Column | int) -> Column:
     """The place of each part of an array of texts where so many signs stand after each: array<long>, made within the row."""
-    sizes = F.transform(parts, lambda x: (F.length(x) + gap).cast("long"))
     summed = lambda values, of: F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + of(x)))
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")))
-    within = F.transform(at, lambda k: summed(F.slice(sizes, k * RUN + 1, RUN), lambda x: x))
-    before = summed(within, lambda w: F.element_at(w, -1))
-    placed = F.zip_with(within, F.slice(before, 1, F.size(within)), lambda w, b: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: x + b))
-    return F.flatten(placed)
+
+    def runs(sizes: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / RUN).cast("int")))
+        return F.transform(at, lambda k: summed(F.slice(sizes, k * RUN + 1, RUN), lambda x: x))
+
+    def joined(within: Column) -> Column:
+        before = summed(within, lambda w: F.element_at(w, -1))
+        return F.flatten(F.zip_with(within, F.slice(before, 1, F.size(within)), lambda w, b: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: x + b)))
+
+    sizes = F.transform(parts, lambda x: (F.length(x) + gap).cast("long"))
+    return once(sizes, lambda z: once(runs(z), joined))
 
 
 def placed(parts: Column, gap: int) -> Column:
     """array<struct<text, start>> of the parts of a text."""
-    return F.zip_with(parts, starts_of(parts, gap), lambda t, s: F.struct(t.alias("text"), s.alias("start")))
+    return once(parts, lambda p: F.zip_with(p, starts_of(p, gap), lambda t, s: F.struct(t.alias("text"), s.alias("start"))))
 
 
 def paragraphs(docs: DataFrame, sep: str = "\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
