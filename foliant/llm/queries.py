@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, fim, language, line_dedup, packing, pii, simhash, syncmers, url_filters, warc
+from foliant.llm import chat, decontaminate, fim, language, line_dedup, packing, pii, prefix_trie, simhash, syncmers, url_filters, warc
 from foliant.plans.common import table as _table
 
 
@@ -182,6 +182,46 @@ FROM o
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 bit by bit, whole prefixes as strings, and each node carried to all its ancestors.
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT *, left(sha256(CAST(length(role) AS VARCHAR) || ':' || role || ':' || text), 32) AS key, strlen(text) AS bytes FROM t
+), p AS (
+  SELECT conv_id, key, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) AS place FROM k
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)),
+      CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS own, p.place, p.key, p.bytes FROM c JOIN p ON p.conv_id = c.base AND p.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, p.place, p.key, p.bytes FROM c JOIN p ON p.conv_id = c.conv_id AND p.place > c.h
+), d AS (
+  SELECT conv_id, bytes, row_number() OVER w AS depth, string_agg(key, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, place ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), m AS (
+  SELECT conv_id, bytes, depth, min(conv_id) OVER g AS node, count(*) OVER g AS n_convs, max(depth) OVER (PARTITION BY conv_id) AS len
+  FROM d WINDOW g AS (PARTITION BY depth, path)
+), n AS (
+  SELECT node, depth, max(n_convs) AS n_convs, max(bytes) * (max(n_convs) - 1) AS own_saved, max(len) = depth AS leaf,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len = depth), '')) AS ends_sha256
+  FROM m GROUP BY node, depth
+), up AS (
+  SELECT a.node, a.depth, CAST(sum(n.own_saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n.leaf) AS n_leaves, count(*) FILTER (WHERE n.depth = a.depth + 1) AS n_children
+  FROM n JOIN m a ON a.conv_id = n.node AND a.depth <= n.depth GROUP BY a.node, a.depth
+)
+SELECT n.node AS conv_id, CAST(n.depth AS BIGINT) AS depth, q.node AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM n JOIN up ON up.node = n.node AND up.depth = n.depth LEFT JOIN m q ON q.conv_id = n.node AND q.depth = n.depth - 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
@@ -194,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_warc": op10_warc,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op10_warc": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op10_warc": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_prefix_trie": OP13_SQL}
