@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, fim, language, line_dedup, packing, pii, prefix_trie, simhash, syncmers, url_filters, warc
+from foliant.llm import chat, decontaminate, fim, language, license_scan, line_dedup, packing, pii, prefix_trie, simhash, syncmers, url_filters, warc
 from foliant.plans.common import table as _table
 
 
@@ -153,6 +153,23 @@ FROM p JOIN g USING (payload_digest, payload_bytes)
 """
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        license_scan.labels(base).alias("base_labels"),
+        license_scan.labels(F.col("spans")).alias("labels"),
+        score.alias("score"),
+    )
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(_table(spark, sf_dir, "documents"), texts=False)
 
@@ -233,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_syncmers": op8_syncmers,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_warc": op10_warc,
+    "op11_license_scan": op11_license_scan,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_prefix_trie": op13_prefix_trie,
 }
