@@ -86,7 +86,7 @@ ORACLE_SQL = {
         SELECT l_orderkey, string_agg(chr(10) || '| ' || l_linenumber || ' | **' || l_returnflag || '** \| *' || l_linestatus || '* in |', '' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS cells FROM lineitem GROUP BY l_orderkey
       ), o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderpriority AS p, o_orderstatus AS s, cells FROM orders JOIN l ON l_orderkey = o_orderkey)
       SELECT o_orderkey, CAST(0 AS BIGINT) AS pos, 'heading' AS kind, 2 AS level, 'Order ' || k AS text, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS src, 'o' || k AS anchors, '' AS links FROM o
-      UNION ALL SELECT o_orderkey, 1, 'text', 0, 'Of the **' || p || '** & **more ++yet ' || p || '++**, `x<' || k || '`', NULL, NULL, 'x', 'the **' || p || '**>https://example.org/' || k || '?a&b' FROM o
+      UNION ALL SELECT o_orderkey, 1, 'text', 0, 'Of the **' || p || '** & **more ++yet ' || p || '++** , `x<' || k || '`', NULL, NULL, 'x', 'the **' || p || '**>https://example.org/' || k || '?a&b' FROM o
       UNION ALL SELECT o_orderkey, 2, 'math', 0, 'x_' || k, NULL, NULL, '', '' FROM o
       UNION ALL SELECT o_orderkey, 3, 'text', 0, 'All lines', NULL, NULL, '', '' FROM o
       UNION ALL SELECT o_orderkey, 4, 'table', 0, '| no | flag |' || chr(10) || '| --- | --- |' || cells, NULL, NULL, '', '' FROM o
