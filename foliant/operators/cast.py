@@ -21,11 +21,15 @@ def needles(name: Column, alias: Column) -> Column:
 
 def capitalised(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, source, total, mid): capitalised words or pairs of words, and how often they don't open a sentence."""
-    parts = F.split(F.regexp_replace(F.col(text_col), NAME, "\x01$1\x02"), "\x01")
-    rows = docs.select(*keys, parts.alias("p")).withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("p") - 1)))).where(F.size("p") > 1)
-    before = F.replace(F.get("p", F.col("i") - 1), F.lit("\x02"), F.lit(""))
-    opens = (before == "") & (F.col("i") == 1) | F.right(before, F.lit(3)).rlike(OPENS)
-    rows = rows.select(*keys, F.substring_index(F.get("p", F.col("i")), "\x02", 1).alias("source"), opens.alias("opens"))
+    rows = docs.select(*keys, F.split(F.regexp_replace(F.col(text_col), NAME, "\x01$1\x02"), "\x01").alias("p"))
+
+    def seen(i: Column) -> Column:
+        before = F.replace(F.get("p", i - 1), F.lit("\x02"), F.lit(""))
+        opens = (before == "") & (i == 1) | F.right(before, F.lit(3)).rlike(OPENS)
+        return F.struct(F.substring_index(F.get("p", i), "\x02", 1).alias("source"), opens.alias("opens"))
+
+    at = F.when(F.size("p") > 1, F.sequence(F.lit(1), F.size("p") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select(*keys, F.explode(F.transform(at, seen)).alias("x")).select(*keys, "x.source", "x.opens")  # no place carries its text along
     return rows.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("total"), F.sum((~F.col("opens")).cast("long")).alias("mid"))
 
 

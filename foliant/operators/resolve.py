@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import HAN, WS, loose_key, main_title_key, same_author, squeeze, title_key, volumes, with_composed
+from foliant.functions.text import HAN, WS, author_key, loose_key, main_title_key, same_author, squeeze, title_key, volumes, with_composed
 from foliant.operators import graph
 
 
@@ -24,19 +24,35 @@ def blocks(books: DataFrame) -> DataFrame:
 
 #: Most edits between near titles, so one of so many and one more segments of the one is whole in the other.
 EDITS, SHORT = 2, 5
+#: Heads of a block that meet each other whatever their authors; in a larger block authors have to share letters.
+CROWD = 16
 
 
-def _segments(heads: DataFrame, own: bool) -> DataFrame:
+def _places() -> list[tuple[int, int, int]]:
+    """(more, i, shift): where a title may hold segment i of one that is `more` letters longer, -EDITS to 0.
+
+    Of the edits some lie before the segment and some behind it, which bounds how far it has moved (Li, Deng, Wang, Feng:
+    Pass-Join, 2011); a pair of different lengths is looked for by its longer title only.
+    """
+    out = []
+    for more in range(-EDITS, 1):
+        for i in range(EDITS + 1):
+            low, high = max(-i, -more - (EDITS - i)), min(i, -more + (EDITS - i))
+            out += [(more, i, shift) for shift in range(low, high + 1)]
+    return out
+
+
+def _segments(titles: DataFrame, own: bool) -> DataFrame:
     """(id, k): keys under which near titles meet, within EDITS edits of each other and alike in their first or last letters.
 
-    A title's own keys are its segments with its length; under the others it is found by titles of about its length whose
-    segment it has at about that place. Titles of fewer than SHORT letters are near to equal ones only.
+    A title's own keys are its segments with its length; under the others it looks for titles of its length or up to EDITS
+    shorter whose segment it has at about that place. Titles of fewer than SHORT letters are near to equal ones only.
     """
     n, loose = F.length("loose"), F.col("loose")
     end = F.when(loose.rlike(HAN), 2).otherwise(3)
     ends = F.array(F.concat(F.lit("p:"), F.substring(loose, F.lit(1), end)), F.concat(F.lit("s:"), F.right("loose", end)))
-    around = (0,) if own else range(-EDITS, EDITS + 1)
-    places = F.array(*(F.struct(F.lit(more).alias("more"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for more in around for i in range(EDITS + 1) for shift in around))
+    places = [(0, i, 0) for i in range(EDITS + 1)] if own else _places()
+    places = F.array(*(F.struct(F.lit(more).alias("more"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for more, i, shift in places))
 
     def segment(p: Column) -> Column:
         m = n + p["more"]
@@ -44,11 +60,32 @@ def _segments(heads: DataFrame, own: bool) -> DataFrame:
         fits = (m >= SHORT) & (start + p["shift"] >= 0) & (stop + p["shift"] <= n)
         return F.when(fits, F.concat_ws("|", m, p["i"], F.substring(loose, start + p["shift"] + 1, stop - start)))
 
-    found = F.when(n < SHORT, F.array(F.concat(F.lit("="), loose))).otherwise(F.array_compact(F.array_distinct(F.transform(places, segment))))
-    rows = heads.where(loose != "").select("id", "vols", ends.alias("ends"), F.explode(found).alias("k"))
+    found = F.when(n < SHORT, F.array().cast("array<string>")).otherwise(F.array_compact(F.array_distinct(F.transform(places, segment))))
+    rows = titles.where(loose != "").select("id", "vols", ends.alias("ends"), F.explode(found).alias("k"))
     return rows.select("id", F.explode(F.transform("ends", lambda e: F.concat_ws("|", e, "vols", "k"))).alias("k")).distinct()
 
 
+def _meeting(places: DataFrame, heads: DataFrame) -> DataFrame:
+    """(i, j) of heads that share a block and may be of one author, i below j; places has (block, id).
+
+    In a block of over CROWD heads an author looks for those whose names hold its first letters. Authors that are missing,
+    very short, or in Han signs, which are compared with less, look under a key of their own.
+    """
+    name = author_key(F.col("author"))
+    rows = heads.select("id", name.alias("name"), F.col("author").rlike(HAN).alias("han"))
+    sizes = places.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = places.join(sizes, "block").join(rows, "id")
+    few, many = graph.written(rows.where(F.col("n") <= CROWD).select("block", "id"), "title-blocks"), graph.written(rows.where(F.col("n") > CROWD), "title-crowds")
+    met = few.alias("x").join(few.alias("y"), F.expr("x.block = y.block AND x.id < y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
+    short = F.length("name") < 3
+    asks = F.array_compact(F.array(F.when(short, "*").otherwise(F.left("name", F.lit(3))), F.when(F.col("han"), "han")))
+    held = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(3)))
+    has = F.array_compact(F.array_append(F.array_append(F.array_distinct(held), F.lit("*")), F.when(~F.col("han"), "han")))
+    asking, having = many.select("block", "id", F.explode(asks).alias("k")), many.select("block", "id", F.explode(has).alias("k"))
+    found = asking.alias("x").join(having.alias("y"), F.expr("x.block = y.block AND x.k = y.k AND x.id <> y.id"))
+    return met.union(found.select(F.least("x.id", "y.id").alias("i"), F.greatest("x.id", "y.id").alias("j"))).distinct()
+
+
 def _likeness() -> Column:
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     same = (a("key") == b("key")) | ((a("main") == b("key")) & (a("main") != a("key"))) | ((b("main") == a("key")) & (b("main") != b("key")))
@@ -66,17 +103,22 @@ def like_pairs(books: DataFrame, dismissed: DataFrame | None = None) -> DataFram
     """(a, b, likeness) of books whose titles are the same or near, the smaller id first; without dismissed pairs (a, b).
 
     Books that are alike in all that is compared are first made one: only one of them meets others, so a title that very
-    many books bear makes no pairs among them, and each of them is linked to that one.
+    many books bear makes no pairs among them, and each of them is linked to that one. Books of one title by very many
+    authors meet where their authors' names may hold each other, not all of them.
     """
     rows = keyed(books)
     alike = [F.col(c) for c in ("key", "main", "loose", "vols", "ed")] + [F.coalesce("author", F.lit("")).alias("author")]
     marked = rows.select("id", *alike)
     group = ["key", "main", "loose", "vols", "ed", "author"]
     heads = graph.written(marked.groupBy(*group).agg(F.min("id").alias("id")), "title-heads")
-    whole = blocks(heads).where("startswith(block, 't:') OR startswith(block, 'm:')")
-    met = whole.alias("x").join(whole.alias("y"), F.expr("x.block = y.block AND x.id < y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
-    close = _segments(heads, True).alias("x").join(_segments(heads, False).alias("y"), F.expr("x.k = y.k AND x.id <> y.id")).select(F.least("x.id", "y.id").alias("i"), F.greatest("x.id", "y.id").alias("j"))
-    met = met.union(close).distinct()
+    titles = graph.written(heads.where("loose <> ''").groupBy("loose", "vols").agg(F.min("id").alias("id")), "distinct-titles")
+    near = _segments(titles, True).alias("x").join(_segments(titles, False).alias("y"), F.expr("x.k = y.k AND x.id <> y.id")).select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
+    near = near.join(titles.select(F.col("id").alias("x"), F.col("loose").alias("s")), "x").join(titles.select(F.col("id").alias("y"), F.col("loose").alias("t")), "y").where(F.levenshtein("s", "t", EDITS) >= 0)
+    of = titles.withColumnRenamed("id", "title").join(heads.select("id", "loose", "vols"), ["loose", "vols"]).select("title", "id")
+    pair = near.select(F.concat_ws("|", F.lit("n:"), "x", "y").alias("block"), F.explode(F.array("x", "y")).alias("title"))
+    places = blocks(heads).where("startswith(block, 't:') OR startswith(block, 'm:')").select("block", "id")
+    places = places.union(of.select(F.concat(F.lit("l:"), F.col("title").cast("string")).alias("block"), "id")).union(pair.join(of, "title").select("block", "id"))
+    met = _meeting(places, heads)
     pairs = met.join(heads.alias("a"), F.col("i") == F.col("a.id")).join(heads.alias("b"), F.col("j") == F.col("b.id")).select("i", "j", _likeness().alias("likeness"))
     own = marked.where("key <> ''").join(heads.withColumnRenamed("id", "head"), group).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit("same").alias("likeness"))
     found = pairs.where("likeness IS NOT NULL").select(F.col("i").alias("a"), F.col("j").alias("b"), "likeness").union(own)
