@@ -22,8 +22,9 @@ def blocks(books: DataFrame) -> DataFrame:
     return books.select("id", F.explode(F.array_distinct(all_)).alias("block")).where("length(block) > 2")
 
 
-#: Most edits between near titles, so one of so many and one more segments of the one is whole in the other.
-EDITS, SHORT = 2, 5
+#: Most edits between near titles, so one of so many and one more segments of the one is whole in the other; titles with
+#: fewer letters, or fewer signs where they hold Han, are near to none.
+EDITS, SHORT, SHORT_HAN = 2, 5, 4
 #: Heads of a block that meet each other whatever their authors; in a larger block authors have to share letters.
 CROWD = 16
 
@@ -46,9 +47,10 @@ def _segments(titles: DataFrame, own: bool) -> DataFrame:
     """(id, k): keys under which near titles meet, within EDITS edits of each other and alike in their first or last letters.
 
     A title's own keys are its segments with its length; under the others it looks for titles of its length or up to EDITS
-    shorter whose segment it has at about that place. Titles of fewer than SHORT letters are near to equal ones only.
+    shorter whose segment it has at about that place.
     """
     n, loose = F.length("loose"), F.col("loose")
+    short = F.when(loose.rlike(HAN), SHORT_HAN).otherwise(SHORT)
     end = F.when(loose.rlike(HAN), 2).otherwise(3)
     ends = F.array(F.concat(F.lit("p:"), F.substring(loose, F.lit(1), end)), F.concat(F.lit("s:"), F.right("loose", end)))
     places = [(0, i, 0) for i in range(EDITS + 1)] if own else _places()
@@ -57,10 +59,10 @@ def _segments(titles: DataFrame, own: bool) -> DataFrame:
     def segment(p: Column) -> Column:
         m = n + p["more"]
         start, stop = F.floor(m * p["i"] / (EDITS + 1)).cast("int"), F.floor(m * (p["i"] + 1) / (EDITS + 1)).cast("int")
-        fits = (m >= SHORT) & (start + p["shift"] >= 0) & (stop + p["shift"] <= n)
+        fits = (m >= short) & (start + p["shift"] >= 0) & (stop + p["shift"] <= n)
         return F.when(fits, F.concat_ws("|", m, p["i"], F.substring(loose, start + p["shift"] + 1, stop - start)))
 
-    found = F.when(n < SHORT, F.array().cast("array<string>")).otherwise(F.array_compact(F.array_distinct(F.transform(places, segment))))
+    found = F.when(n < short, F.array().cast("array<string>")).otherwise(F.array_compact(F.array_distinct(F.transform(places, segment))))
     rows = titles.where(loose != "").select("id", "vols", ends.alias("ends"), F.explode(found).alias("k"))
     return rows.select("id", F.explode(F.transform("ends", lambda e: F.concat_ws("|", e, "vols", "k"))).alias("k")).distinct()
 
@@ -73,9 +75,10 @@ def _meeting(places: DataFrame, heads: DataFrame) -> DataFrame:
     """
     name = author_key(F.col("author"))
     rows = heads.select("id", name.alias("name"), F.col("author").rlike(HAN).alias("han"))
+    places = graph.written(places, "title-places")
     sizes = places.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = places.join(sizes, "block").join(rows, "id")
-    few, many = graph.written(rows.where(F.col("n") <= CROWD).select("block", "id"), "title-blocks"), graph.written(rows.where(F.col("n") > CROWD), "title-crowds")
+    rows = graph.written(places.join(sizes, "block").join(rows, "id"), "title-blocks")
+    few, many = rows.where(F.col("n") <= CROWD), rows.where(F.col("n") > CROWD)
     met = few.alias("x").join(few.alias("y"), F.expr("x.block = y.block AND x.id < y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
     short = F.length("name") < 3
     asks = F.array_compact(F.array(F.when(short, "*").otherwise(F.left("name", F.lit(3))), F.when(F.col("han"), "han")))
