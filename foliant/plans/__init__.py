@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import cast, forms, library, readers, reports, resolve, sources, structure, text
+from foliant.plans import cast, forms, library, readers, reports, resolve, sources, structure, text, versions
 
-MODULES: list = [text, structure, cast, resolve, reports, sources, library, forms, readers]
+MODULES: list = [text, structure, cast, resolve, reports, sources, library, forms, readers, versions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
