@@ -242,7 +242,7 @@ def parse(pieces: DataFrame, model: Model, id_col: str = "conv_id", seq_col: str
         own = rows.join(hot, "id", "left_semi").select(*order, "text").repartition("id", "block").sortWithinPartitions(*order)
         sums = own.mapInArrow(summed, "id long, block int, first array<long>, others array<long>")
         states = written(sums.groupBy("id").applyInArrow(met, "id long, block int, entry int, last int, closed boolean"), "block-states")
-        found = rows.join(F.broadcast(states), ["id", "block"], "left")  # a few numbers for each of MAX_BLOCKS blocks
+        found = rows.join(states, ["id", "block"], "left")  # a row for each block: as many as long transcripts need, so Spark decides
         found = found.withColumns({"entry": F.coalesce("entry", F.lit(START)), "closed": F.coalesce("closed", F.lit(True))})
 
     kinds = {"id": pa.int64(), "seq": pa.int64(), "first_line": pa.int64(), "n_lines": pa.int64(), "role": pa.string(), "begins": pa.bool_(), "ends": pa.bool_(), "rendered": pa.string()}

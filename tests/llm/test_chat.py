@@ -99,6 +99,24 @@ def test_one_transcript_in_blocks(spark, monkeypatch):
     assert rendered.count("<|im_start|>") == rendered.count("<|im_end|>") and len(got) == len(whole)
 
 
+def test_very_many_long_transcripts_without_a_broadcast(spark, monkeypatch):
+    """Two thousand transcripts that are cut in blocks, whose states are joined by a shuffle, are decoded as whole ones are."""
+    m = model(spark)
+    rows = [(i, k, t) for i in range(2000) for k, t in enumerate(["why?", "User: x", "so it is", f"AI: {i % 7}", "hm"])]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    key = lambda r: (r.conv_id, r.turn, r.first_line)
+    whole = [(key(r), r.role, r.begins) for r in sorted(chat.parse(docs, m).collect(), key=key)]
+    monkeypatch.setattr(chat, "BLOCK_ROWS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parsed = chat.parse(docs, m)
+        assert "BroadcastHashJoin" not in parsed._jdf.queryExecution().executedPlan().toString()
+        got = [(key(r), r.role, r.begins) for r in sorted(parsed.collect(), key=key)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == whole
+
+
 def recovery(spark, folder):
     """Of held-out conversations: roles of rows' first lines, and turns' first lines: precision and recall."""
     from foliant.llm import queries

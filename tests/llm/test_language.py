@@ -1,3 +1,4 @@
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -46,7 +47,7 @@ def plain_vote(model, text):
     def choose(classes, pairs):
         if len(classes) == 1:
             return classes[0], 1.0
-        chance = lambda i, j: 1 / (1 + math.exp(-max(-50, min(50, 2 * float(x @ pairs[i, j][:-1] + pairs[i, j][-1])))))
+        chance = lambda i, j: 1 / (1 + math.exp(-max(-50, min(50, language.STEEP * float(x @ pairs[i, j][:-1] + pairs[i, j][-1])))))
         wins, sure = Counter(), {k: 1.0 for k in range(len(classes))}
         for i in range(len(classes)):
             for j in range(i + 1, len(classes)):
@@ -99,3 +100,29 @@ def test_keep_known(spark):
     only = language.keep_known(docs, model, ("fr", "es")).collect()
     assert {r.doc_id % 4 for r in only} == {2, 3}
     assert language.keep_known(docs, model, least_score=1.1).count() == 0 and language.keep_known(docs, None).count() == 160
+
+
+def test_two_hundred_languages_in_one_job(spark):
+    """Languages outside the families, told by their own words: 19,900 machines in groups of a single job."""
+    word = lambda i, k: hashlib.md5(f"{i}-{k}".encode()).hexdigest()[:7].translate(str.maketrans("0123456789", "ghijklmnop"))
+    docs = spark.createDataFrame([(n, " ".join(word(i, (k + n) % 5) for k in range(8)), f"x{i:03d}") for i in range(200) for n in range(4 * i, 4 * i + 4)], "doc_id long, text string, lang string")
+    context = spark.sparkContext
+    context.setJobGroup("fit", "fit")
+    model = language.fit(docs)
+    jobs = len(context.statusTracker().getJobIdsForGroup("fit"))
+    assert len(model.families[0]) == 200 and len(model.families[1]) == 200 * 199 // 2
+    assert jobs < 60
+    right = sum(model.predict(r.text.encode())[0] == r.lang for r in docs.limit(100).collect())
+    assert right >= 95
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_machine_separates(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(200, language.DIM)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 0] > 0, 1.0, -1.0)
+    w = language.machine(x, y)
+    assert (np.sign(x @ w[:-1] + w[-1]) == y).all()
+    assert language.machine(x[:1], np.array([1.0]))[-1] > 0
