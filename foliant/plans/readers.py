@@ -35,7 +35,7 @@ def r07_front_matter(spark, sf):
 
 def r26_verses(spark, sf):
     """Orders as books: a chapter for each line number, a verse for each part of it."""
-    li = table(spark, sf, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     chapters = li.groupBy("l_orderkey", "l_linenumber").agg(F.array_sort(F.collect_list("l_partkey")).alias("p"))
     verse = lambda x, i: F.concat(F.lit("\\v "), (i + 1).cast("string"), F.lit(" part \\nd "), x.cast("string"), F.lit("\\nd*\\f + \\ft a note\\f*"))
     body = F.concat(F.lit("\\c "), F.col("l_linenumber").cast("string"), F.lit("\n\\p\n"), F.array_join(F.transform("p", verse), "\n"))
@@ -109,7 +109,7 @@ ORACLE_SQL = {
     "r02_decoded": "SELECT doc_id, sha256(text) AS sha FROM documents",
     "r03_lossy": "SELECT p_partkey, p_name || chr(65533) || p_brand AS text FROM part",
     "r07_front_matter": "SELECT p_partkey, p_name AS title, p_brand AS author, CAST(NULL AS VARCHAR) AS date FROM part",
-    "r26_verses": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS chapter, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS verse, 'part ' || l_partkey AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 4 = 0)",
+    "r26_verses": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS chapter, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS verse, 'part ' || l_partkey AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)",
     "r30_notes": "SELECT 'Book ' || conv_id AS title, 'Me' AS author, role AS chapter, count(*) AS n, min(substr(text, 1, 40)) AS first FROM conversations GROUP BY conv_id, role",
     "r31_cards": """SELECT p_brand, 'small|' || lower(p_type) AS topics, CAST(p_size AS VARCHAR) AS tags, p_brand || ', the "book"' AS book, p_name || ' ' || p_partkey AS front, 'back' AS back FROM part""",
     "r32_typed_books": "SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_name AS title, p_type AS author FROM part",
