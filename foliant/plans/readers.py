@@ -53,8 +53,8 @@ def r30_notes(spark, sf):
 
 
 def r31_cards(spark, sf):
-    """Parts of each brand as a file of cards, some quoted."""
-    line = F.concat_ws(",", F.concat(F.lit("small;"), F.lower("p_type")), F.concat(F.lit("#"), F.col("p_size").cast("string")), F.concat(F.lit('"'), "p_brand", F.lit(', the ""book"""')), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")), F.lit(" back "))
+    """Parts of each brand as a file of cards, some cells quoted, with line ends within."""
+    line = F.concat_ws(",", F.concat(F.lit("small;"), F.lower("p_type")), F.concat(F.lit("#"), F.col("p_size").cast("string")), F.concat(F.lit('"'), "p_brand", F.lit(', the ""book"""')), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")), F.lit('" over\n\n# two ""lines"" "'))
     own = table(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
     cards = files.read_cards(own.withColumn("text", F.concat(F.lit("# a list\n"), "text")), "p_brand")
     return cards.select("p_brand", F.array_join("topics", "|").alias("topics"), F.array_join("tags", "|").alias("tags"), "book", "front", "back")
@@ -111,7 +111,7 @@ ORACLE_SQL = {
     "r07_front_matter": "SELECT p_partkey, p_name AS title, p_brand AS author, CAST(NULL AS VARCHAR) AS date FROM part",
     "r26_verses": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS chapter, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS verse, 'part ' || l_partkey AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)",
     "r30_notes": "SELECT 'Book ' || conv_id AS title, 'Me' AS author, role AS chapter, count(*) AS n, min(substr(text, 1, 40)) AS first FROM conversations GROUP BY conv_id, role",
-    "r31_cards": """SELECT p_brand, 'small|' || lower(p_type) AS topics, CAST(p_size AS VARCHAR) AS tags, p_brand || ', the "book"' AS book, p_name || ' ' || p_partkey AS front, 'back' AS back FROM part""",
+    "r31_cards": """SELECT p_brand, 'small|' || lower(p_type) AS topics, CAST(p_size AS VARCHAR) AS tags, p_brand || ', the "book"' AS book, p_name || ' ' || p_partkey AS front, 'over' || chr(10) || chr(10) || '# two "lines"' AS back FROM part""",
     "r32_typed_books": "SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_name AS title, p_type AS author FROM part",
     "r33_listing": "SELECT 'orders/' || o_orderkey AS key, CAST(floor(o_totalprice) AS BIGINT) AS size, strftime(o_orderdate, '%Y-%m-%d') AS modified FROM orders",
     "r21_languages": "SELECT doc_id, lang AS language FROM documents",

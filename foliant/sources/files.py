@@ -6,6 +6,7 @@ import io
 import re
 import unicodedata
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,35 +18,31 @@ from pyspark.sql import types as T
 from foliant.functions.text import csv_cell
 
 #: Names that columns of book lists have, a column a line, its own name first.
-COLUMN_NAMES = """
-title: title, book title, book, name, 书名, 書名, 标题, 標題, 名称, 书籍名称
-book_id: book id, bookid, id, 编号, 豆瓣id
-author: author, authors, author name, writer, 作者, 著者, 作者名
-status: exclusive shelf, shelf, status, read status, 状态, 狀態, 书架, 阅读状态
-stars: my rating, rating, stars, score, 评分, 評分, 我的评分, 星级, 星級
-review: my review, review, comment, comments, 评论, 評論, 短评, 书评, 我的评论
-read_at: date read, read date, read at, finished, 读完日期, 阅读日期, 读过日期, 日期
-added_at: date added, added, added at, 添加日期, 加入日期
-isbn13: isbn13, isbn-13, isbn 13
-isbn: isbn, isbn10, isbn-10
-notes: private notes, notes, note, 笔记, 筆記, 备注, 備註
-shelves: bookshelves, tags, labels, 标签, 標籤
-year: original publication year, year, published, 出版年, 出版年份
-"""
+COLUMN_NAMES = {
+    "title": ("title", "book title", "book", "name", "书名", "書名", "标题", "標題", "名称", "书籍名称"),
+    "book_id": ("book id", "bookid", "id", "编号", "豆瓣id"),
+    "author": ("author", "authors", "author name", "writer", "作者", "著者", "作者名"),
+    "status": ("exclusive shelf", "shelf", "status", "read status", "状态", "狀態", "书架", "阅读状态"),
+    "stars": ("my rating", "rating", "stars", "score", "评分", "評分", "我的评分", "星级", "星級"),
+    "review": ("my review", "review", "comment", "comments", "评论", "評論", "短评", "书评", "我的评论"),
+    "read_at": ("date read", "read date", "read at", "finished", "读完日期", "阅读日期", "读过日期", "日期"),
+    "added_at": ("date added", "added", "added at", "添加日期", "加入日期"),
+    "isbn13": ("isbn13", "isbn-13", "isbn 13"),
+    "isbn": ("isbn", "isbn10", "isbn-10"),
+    "notes": ("private notes", "notes", "note", "笔记", "筆記", "备注", "備註"),
+    "shelves": ("bookshelves", "tags", "labels", "标签", "標籤"),
+    "year": ("original publication year", "year", "published", "出版年", "出版年份"),
+}
 
 
 def plain_header(header: str) -> str:
     return re.sub(r"[\s_]+", " ", unicodedata.normalize("NFKC", header).strip().lower())
 
 
-def column_for(header: str, names: str = COLUMN_NAMES) -> str:
-    """The column that a header names, or the header itself; names has a line `column: name, name` for each."""
+def column_for(header: str, names: dict[str, tuple[str, ...]] = COLUMN_NAMES) -> str:
+    """The column that a header names, or the header itself; names has the names of each column."""
     plain = plain_header(header)
-    for line in names.strip().splitlines():
-        column, _, known = line.partition(": ")
-        if plain in map(plain_header, known.split(", ")):
-            return column
-    return header
+    return next((column for column, known in names.items() if plain in map(plain_header, known)), header)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -54,10 +51,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.na.fill("")
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
+def read_books(spark: SparkSession, path: str, names: dict[str, tuple[str, ...]] = COLUMN_NAMES) -> DataFrame:
     """A list of books from another tool, its columns under canonical names, stars 1 to 5 or null, dates parsed."""
     df = read_csv(spark, path)
-    df = df.toDF(*[column_for(c) for c in df.columns])
+    df = df.toDF(*[column_for(c, names) for c in df.columns])
     if "stars" in df.columns:
         n = F.try_to_number(F.trim("stars"), F.lit("9")).cast("int")
         df = df.withColumn("stars", F.when(n.between(1, 5), n))
@@ -75,35 +72,43 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 
 #: Names that columns of card files have; without such a header the order is that of the lines, without tags
 #: where no row has five cells.
-CARD_COLUMNS = """
-topics: topics, topic, deck
-tags: tags, tag
-book: book, book title, source
-front: front, question, term, word, q
-back: back, answer, definition, meaning, a
-"""
+CARD_COLUMNS = {
+    "topics": ("topics", "topic", "deck"),
+    "tags": ("tags", "tag"),
+    "book": ("book", "book title", "source"),
+    "front": ("front", "question", "term", "word", "q"),
+    "back": ("back", "answer", "definition", "meaning", "a"),
+}
+
+
+#: A line that may go on within the quotes of a cell, and a cell behind its comma.
+RECORD = r'''(?:[^"\n]++|(?<![^,\t\n])"(?:[^"]++|"")*+"|")*+\n'''
+CELL = r'''(?s),(?:"((?:[^"]|"")*)"|([^,]*))'''
 
 
 def read_cards(files: DataFrame, id_col: str = "path", text_col: str = "text") -> DataFrame:
     """(id, pos, topics, tags, book, front, back) of card files, a text a row: comma- or tab-separated, with a header or not.
 
-    Blank lines, lines that start with # and rows without a front are left out; topics and tags are parted by ; or |.
+    Blank lines, lines that start with # and rows without a front are left out; topics and tags are parted by ; or |. A
+    quoted cell may hold line ends, separators and doubled quotes.
     """
-    line = F.filter(F.split(F.regexp_replace(F.regexp_replace(text_col, "^\ufeff", ""), "\r\n?", "\n"), "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
+    whole = F.concat(F.regexp_replace(F.regexp_replace(text_col, "^\ufeff", ""), "\r\n?", "\n"), F.lit("\n"))
+    line = F.transform(F.regexp_extract_all(whole, F.lit(RECORD), 0), lambda x: F.left(x, F.length(x) - 1))
+    line = F.filter(line, lambda x: (F.trim(F.replace(x, F.lit("\n"), F.lit(" "))) != "") & ~F.startswith(x, F.lit("#")))
     tabbed = F.contains(F.get("lines", F.lit(0)), F.lit("\t"))
     rows = files.select(id_col, line.alias("lines")).withColumn("tabbed", F.coalesce(tabbed, F.lit(False)))
-    cut = lambda x: F.when(F.col("tabbed"), F.split(x, "\t")).otherwise(F.transform(F.regexp_extract_all(F.concat(F.lit(","), x), F.lit(r'(?s),(?:"((?:[^"]|"")*)"|([^,]*))'), 0), _cell))
+    cut = lambda x: F.transform(F.when(F.col("tabbed"), F.regexp_extract_all(F.concat(F.lit("\t"), x), F.lit(CELL.replace(",", "\t")), 0)).otherwise(F.regexp_extract_all(F.concat(F.lit(","), x), F.lit(CELL), 0)), _cell)
     rows = rows.select(id_col, F.transform("lines", lambda x: F.transform(cut(x), lambda c: F.trim(c))).alias("rows")).where(F.size("rows") > 0)
-    fields = [x.partition(": ") for x in CARD_COLUMNS.strip().splitlines()]
+    fields = list(CARD_COLUMNS.items())
     head = F.transform(F.get("rows", F.lit(0)), F.lower)
-    named = F.arrays_overlap("head", F.array(*map(F.lit, fields[3][2].split(", "))))
+    named = F.arrays_overlap("head", F.array(*map(F.lit, CARD_COLUMNS["front"])))
     wide = F.exists("rows", lambda r: F.size(r) >= len(fields))
     rows = rows.withColumn("head", head).withColumns({"named": named, "wide": wide})
     place = lambda names: F.array_max(F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position(F.col("head"), n).cast("int"))) - 1
     untagged = [x[0] for x in fields if x[0] != "tags"]
-    for k, (field, _, names) in enumerate(fields):
+    for k, (field, names) in enumerate(fields):
         narrow = F.lit(untagged.index(field) if field in untagged else -1)
-        rows = rows.withColumn(f"at_{field}", F.when(F.col("named"), place(names.split(", "))).when(F.col("wide"), F.lit(k)).otherwise(narrow))
+        rows = rows.withColumn(f"at_{field}", F.when(F.col("named"), place(names)).when(F.col("wide"), F.lit(k)).otherwise(narrow))
     body = F.when(F.col("named"), F.slice("rows", 2, F.size("rows"))).otherwise(F.col("rows"))
     out = rows.select("*", F.posexplode(body).alias("pos", "cells"))
     cell = lambda field: F.when(F.col(f"at_{field}") < 0, "").otherwise(F.coalesce(F.get("cells", F.col(f"at_{field}")), F.lit("")))
@@ -194,25 +199,25 @@ def _per_file(function, names: list[str], kinds: list[pa.DataType]):
         for batch in batches:
             for path, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content"))):
                 try:
-                    rows = [(path, i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(function(content))]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError):
-                    rows = []  # not such a file
-                cols = list(zip(*rows)) or [[]] * (2 + len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), *kinds])], ["path", "pos", *names])
+                    rows = [(path, i, *(r if isinstance(r, tuple) else (r,)), None) for i, r in enumerate(function(content))]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError, ValueError, EOFError, zlib.error) as e:
+                    rows = [(path, None, *[None] * len(names), f"{type(e).__name__}: {e}")]
+                cols = list(zip(*rows)) or [[]] * (3 + len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), *kinds, pa.string()])], ["path", "pos", *names, "error"])
 
     return run
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, level, text) of the paragraphs of word-processor files; what is none has no rows."""
+    """(path, pos, level, text, error) of the paragraphs of word-processor files; one that can't be read is a row with the error."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_per_file(_docx_blocks, ["level", "text"], [pa.int64(), pa.string()]), "path string, pos long, level long, text string")
+    return files.mapInArrow(_per_file(_docx_blocks, ["level", "text"], [pa.int64(), pa.string()]), "path string, pos long, level long, text string, error string")
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, html) of the pages of e-books, for html_blocks; what is none has no rows."""
+    """(path, pos, html, error) of the pages of e-books, for html_blocks; one that can't be read is a row with the error."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_per_file(_epub_pages, ["html"], [pa.string()]), "path string, pos long, html string")
+    return files.mapInArrow(_per_file(_epub_pages, ["html"], [pa.string()]), "path string, pos long, html string, error string")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -263,7 +268,7 @@ def epub_bytes(title: pd.Series, author: pd.Series, language: pd.Series, chapter
 
 
 def read_epub_origin(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, title, author, language) of e-books by their package alone; their pages are not unpacked."""
+    """(path, pos, title, author, language, error) of e-books by their package alone; their pages are not unpacked."""
 
     def origin(content: bytes) -> list[tuple]:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -272,7 +277,7 @@ def read_epub_origin(spark: SparkSession, path: str) -> DataFrame:
         return [(first("title"), first("creator"), first("language"))]
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_per_file(origin, ["title", "author", "language"], [pa.string()] * 3), "path string, pos long, title string, author string, language string")
+    return files.mapInArrow(_per_file(origin, ["title", "author", "language"], [pa.string()] * 3), "path string, pos long, title string, author string, language string, error string")
 
 
 #: The columns of a library's list, and the columns of ours that fill them.

@@ -58,7 +58,7 @@ def test_office_round_trip(spark, tmp_path):
     data = df.select(files.docx_bytes("text")).first()[0]
     (tmp_path / "a.docx").write_bytes(data)
     (tmp_path / "b.docx").write_bytes(b"no zip")
-    assert [(r.pos, r.text) for r in files.read_docx(spark, f"{tmp_path}/*.docx").orderBy("pos").collect()] == [(0, "One & two"), (1, "three <x>")]
+    assert [(r.pos, r.text) for r in files.read_docx(spark, f"{tmp_path}/*.docx").where("error IS NULL").orderBy("pos").collect()] == [(0, "One & two"), (1, "three <x>")]
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
@@ -93,6 +93,15 @@ def test_cards(spark):
     }
 
 
+def test_cards_over_lines(spark):
+    text = 'x,y,"a ""book"",\nin two lines",5" disk,"first\n# no comment\n\nlast"\n#c\nx,y,z,"q""",a\nx,y,z,open,"never closed\nq2'
+    tabbed = 'front\tback\n"a\tb\nc"\td\n'
+    df = spark.createDataFrame([(1, text), (2, tabbed)], "path long, text string")
+    got = [(r.path, r.book, r.front, r.back) for r in files.read_cards(df).orderBy("path", "pos").collect()]
+    assert got[:2] == [(1, 'a "book",\nin two lines', '5" disk', "first\n# no comment\n\nlast"), (1, "z", 'q"', "a")]
+    assert got[-1] == (2, "", "a\tb\nc", "d") and ("open" in {g[2] for g in got})
+
+
 def test_typed_books(spark):
     text = "Dune: Messiah\nby: Frank Herbert\nISBN: 123\nisbn: 456\n\nName: Emma\nwriter: Jane\nPersuasion\n\nauthor: nobody\n\nauthor: First\ntitle: Then"
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string")
@@ -112,7 +121,11 @@ def test_epub_round_trip(spark, tmp_path):
     pages = files.read_epub(spark, str(tmp_path)).withColumn("page_id", F.col("pos"))
     got = [(r.page_id, r.level, r.text) for r in markup.html_blocks(pages).orderBy("page_id", "pos").collect()]
     assert got == [(0, 1, "One"), (0, 0, "first <line>"), (0, 0, "second"), (1, 0, "no title")]
-    assert [tuple(r)[1:] for r in files.read_epub_origin(spark, str(tmp_path)).collect()] == [(0, "A & B", "Me", "en")]
+    assert [tuple(r)[1:] for r in files.read_epub_origin(spark, str(tmp_path)).where("error IS NULL").collect()] == [(0, "A & B", "Me", "en", None)]
+    bad = files.read_epub(spark, str(tmp_path)).where("error IS NOT NULL").collect()
+    assert [(r.path.rpartition("/")[2], r.pos, r.html) for r in bad] == [("b.epub", None, None)] and "BadZipFile" in bad[0].error
+    (tmp_path / "c.docx").write_bytes(data[: len(data) // 2])
+    assert [r.text for r in files.read_docx(spark, f"{tmp_path}/c.docx").where("error LIKE 'BadZipFile%'").collect()] == [None]
 
 
 def test_inline_markdown(spark):
