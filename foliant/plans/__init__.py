@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import cast, forms, library, readers, reports, resolve, scripture, sources, structure, text, versions
+from foliant.plans import cast, forms, inline, library, readers, reports, resolve, scripture, sources, structure, text, versions
 
-MODULES: list = [text, structure, cast, resolve, reports, sources, library, forms, readers, versions, scripture]
+MODULES: list = [text, structure, cast, resolve, reports, sources, library, forms, readers, versions, scripture, inline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
