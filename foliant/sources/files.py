@@ -169,17 +169,50 @@ def listing(xml: DataFrame, col: str = "xml") -> DataFrame:
 W_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+#: A style, by its id or its name, that is a heading's; deeper outline levels than this are no heading.
+HEADING_STYLE, DEEPEST = re.compile(r"(?i)(?:heading|标题|標題)\s*([1-6])"), 5
+
+
+def _outline(e) -> int | None:
+    """The heading level that the outline level of a style or paragraph gives it."""
+    found = next(e.iter(f"{W_NS}outlineLvl"), None)
+    said = found.get(f"{W_NS}val", "") if found is not None else ""
+    return int(said) + 1 if said.isdecimal() and int(said) <= DEEPEST else None
+
+
+def _style_levels(styles: bytes | None) -> dict[str, int]:
+    """The heading level of each style that has one: by its name, by its own outline level, or by the style it is based on."""
+    own, based = {}, {}
+    for style in ElementTree.fromstring(styles).iter(f"{W_NS}style") if styles else ():
+        name = style.get(f"{W_NS}styleId")
+        if name:
+            value = lambda tag: next((x.get(f"{W_NS}val", "") for x in style.iter(f"{W_NS}{tag}")), "")  # noqa: E731, B023
+            named = HEADING_STYLE.fullmatch(value("name"))
+            own[name], based[name] = int(named[1]) if named else _outline(style), value("basedOn")
+    out = {}
+    for name in own:
+        seen, at = set(), name
+        while at in own and own[at] is None and at not in seen:
+            seen.add(at)
+            at = based[at]
+        if own.get(at):
+            out[name] = own[at]
+    return out
+
+
 def _docx_blocks(content: bytes) -> list[tuple[int, str]]:
     """(heading level or 0, text) of the paragraphs of a word-processor file."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         root = ElementTree.fromstring(z.read("word/document.xml"))
+        levels = _style_levels(z.read("word/styles.xml") if "word/styles.xml" in z.namelist() else None)
     out = []
     for p in root.iter(f"{W_NS}p"):
         style = next((s.get(f"{W_NS}val", "") for s in p.iter(f"{W_NS}pStyle")), "")
-        m = re.fullmatch(r"(?i)heading\s*([1-6])", style)
+        named = HEADING_STYLE.fullmatch(style)
+        level = _outline(p) or (int(named[1]) if named else levels.get(style)) or (1 if style.lower() == "title" else 0)
         text = "".join((e.text or "") if e.tag == f"{W_NS}t" else "\n" if e.tag == f"{W_NS}br" else "\t" if e.tag == f"{W_NS}tab" else "" for e in p.iter())
         if text.strip():
-            out.append((int(m[1]) if m else 1 if style.lower() == "title" else 0, text))
+            out.append((level, text))
     return out
 
 
@@ -214,6 +247,20 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_per_file(_docx_blocks, ["level", "text"], [pa.int64(), pa.string()]), "path string, pos long, level long, text string, error string")
 
 
+def read_docx_origin(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, title, author, language, error) of word-processor files by their properties alone; null what they don't say."""
+
+    def origin(content: bytes) -> list[tuple]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            held = "docProps/core.xml" in z.namelist()
+            core = ElementTree.fromstring(z.read("docProps/core.xml")) if held else ElementTree.Element("none")
+        first = lambda tag: next((e.text.strip() for e in core.iter() if e.tag.endswith("}" + tag) and (e.text or "").strip()), None)
+        return [(first("title"), first("creator"), first("language"))]
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_per_file(origin, ["title", "author", "language"], [pa.string()] * 3), "path string, pos long, title string, author string, language string, error string")
+
+
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, html, error) of the pages of e-books, for html_blocks; one that can't be read is a row with the error."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -77,6 +77,24 @@ def test_bundle(spark, tmp_path):
     assert set(back) == {"a", "b"} and back["a"].count() == 3 and back["b"].first().d == 1.5
 
 
+def test_docx_styles(spark, tmp_path):
+    """Headings by a style's name, its outline level, the style it is based on, and a paragraph's own outline level."""
+    w = f'xmlns:w="{files.W_NS[1:-1]}"'
+    style = lambda i, inner: f'<w:style w:styleId="{i}">{inner}</w:style>'
+    styles = style("1", '<w:name w:val="标题 1"/>') + style("Sub", '<w:basedOn w:val="Base"/>') + style("Base", '<w:pPr><w:outlineLvl w:val="2"/></w:pPr>')
+    styles += style("Deep", '<w:pPr><w:outlineLvl w:val="8"/></w:pPr>') + style("A", '<w:basedOn w:val="B"/>') + style("B", '<w:basedOn w:val="A"/>') + style("Head", '<w:name w:val="heading 4"/>')
+    line = lambda s, t, more="": f'<w:p><w:pPr><w:pStyle w:val="{s}"/>{more}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    names = ["1", "Sub", "Base", "Deep", "A", "Head", "Heading2", "Title", "gone"]
+    body = "".join(line(n, n) for n in names) + line("Deep", "own", '<w:outlineLvl w:val="0"/>')
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {w}>{styles}</w:styles>")
+        z.writestr("docProps/core.xml", '<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title> T </dc:title><dc:creator>Me</dc:creator></c>')
+    got = {r.text: r.level for r in files.read_docx(spark, str(tmp_path)).collect()}
+    assert got == {"1": 1, "Sub": 3, "Base": 3, "Deep": 0, "A": 0, "Head": 4, "Heading2": 2, "Title": 1, "gone": 0, "own": 1}
+    assert [tuple(r)[1:] for r in files.read_docx_origin(spark, str(tmp_path)).collect()] == [(0, "T", "Me", None, None)]
+
+
 def test_headers(spark):
     assert [files.column_for(x) for x in ("Book_Title", "ＩＳＢＮ１３", " My  Rating ", "读完日期", "Other")] == ["title", "isbn13", "stars", "read_at", "Other"]
 
