@@ -176,6 +176,42 @@ def merged_with_next(chapters: DataFrame, at: Column, id_col: str = "doc_id") ->
     return out.select(id_col, (F.col("run") - 1).cast("long").alias("idx"), "start", "end")
 
 
+def with_edits(chapters: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Chapters (id, idx, start, end, title, by_hand) after edits (id, idx, action, title), one for each chapter, numbered anew.
+
+    action is rename, or above or below for a chapter whose break goes: its words join the chapter above or below it, the
+    first one's always that below and the last one's that above. What joins bears the title of its first chapter that was
+    not taken away, or of its first where all were. An empty title of a renamed chapter is one; edits of no chapter do nothing.
+    """
+    w = Window.partitionBy(id_col).orderBy("idx")
+    rows = chapters.join(edits.select(id_col, "idx", "action", trim(F.coalesce("title", F.lit(""))).alias("given")), [id_col, "idx"], "left")
+    gone = F.coalesce(F.col("action").isin("above", "below"), F.lit(False))
+    last = F.lead("idx").over(w).isNull()
+    rows = rows.withColumns({"gone": gone, "joins": F.when(gone, F.when((F.col("action") == "above") & F.lag("idx").over(w).isNotNull() | last, "above").otherwise("below"))})
+    broken = F.coalesce((F.col("joins") == "above") | (F.lag("joins").over(w) == "below"), F.lit(False))
+    rows = rows.withColumn("run", F.sum(F.when(broken & F.lag("idx").over(w).isNotNull(), 0).otherwise(1)).over(w))
+    title = F.when(F.col("action") == "rename", F.col("given")).otherwise(F.col("title"))
+    head = F.min(F.struct("gone", "idx", title.alias("title")))
+    out = rows.groupBy(id_col, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), head.alias("h"), F.bool_or(F.col("by_hand") | F.col("action").isNotNull()).alias("by_hand"))
+    return out.select(id_col, (F.col("run") - 1).cast("long").alias("idx"), "start", "end", F.col("h.title").alias("title"), "by_hand")
+
+
+def with_moves(chapters: DataFrame, moves: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Chapters (id, idx, …) of which some change places with the one before or after, as moves (id, idx, by) say, by -1 or 1.
+
+    Their offsets stay, so what points into the text does. A move beyond the ends does nothing; of moves that would touch
+    one chapter twice the first by number counts, then the next that touches none of its chapters.
+    """
+    sizes = chapters.groupBy(id_col).agg(F.max("idx").alias("last"))
+    low = moves.where("by IN (-1, 1)").select(id_col, F.least("idx", F.col("idx") + F.col("by")).alias("low")).distinct()
+    low = low.join(sizes, id_col).where("low >= 0 AND low < last")
+    w = Window.partitionBy(id_col).orderBy("low")
+    low = low.withColumn("island", F.col("low") - F.row_number().over(w))
+    low = low.withColumn("n", F.row_number().over(Window.partitionBy(id_col, "island").orderBy("low"))).where("n % 2 = 1")
+    swapped = low.select(id_col, F.explode(F.array(F.struct(F.col("low").alias("idx"), (F.col("low") + 1).alias("to")), F.struct((F.col("low") + 1).alias("idx"), F.col("low").alias("to")))).alias("x")).select(id_col, "x.idx", "x.to")
+    return chapters.join(swapped, [id_col, "idx"], "left").withColumn("idx", F.coalesce("to", "idx")).select(*chapters.columns)
+
+
 def with_kept_titles(detected: DataFrame, edited: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Detected chapters with the titles that were given by hand at the same starts."""
     own = edited.select(id_col, "start", F.col("title").alias("given"))

@@ -78,6 +78,21 @@ def d13_merge(spark, sf):
     return structure.merged_with_next(_chapters(spark, sf), F.col("idx") % 2 == 0)
 
 
+def d13_edited(spark, sf):
+    """Chapters of which some are renamed and some lose their break, to the one above or below."""
+    chapters = _chapters(spark, sf).select("doc_id", "idx", "start", "end", F.concat(F.lit("Chapter "), F.col("idx").cast("string")).alias("title"), F.lit(False).alias("by_hand"))
+    k = F.col("idx") % 7
+    action = F.when(k == 0, "above").when(k == 2, "rename").when((k == 4) | (k == 5), "below")
+    edits = chapters.select("doc_id", "idx", action.alias("action"), F.concat(F.lit(" New "), F.col("idx").cast("string")).alias("title")).where("action IS NOT NULL")
+    return structure.with_edits(chapters, edits)
+
+
+def d13_moved(spark, sf):
+    """Chapters of which each third and fourth of five go down by one place."""
+    chapters = _chapters(spark, sf).select("doc_id", "idx", "start")
+    return structure.with_moves(chapters, chapters.where("idx % 5 IN (3, 4)").select("doc_id", "idx", F.lit(1).alias("by")))
+
+
 def d15_kept_titles(spark, sf):
     chapters = _chapters(spark, sf).withColumn("title", F.concat(F.lit("Chapter "), F.col("idx").cast("string")))
     given = _lines(spark, sf).where("pos % 10 = 0").select("doc_id", "start", F.substring("text", 1, 20).alias("title"))
@@ -150,7 +165,7 @@ def d20_outline(spark, sf):
     return hit.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (d01_normalize, r05_plain_blocks, d02_heading_level, d03_chapters, d05_close, d07_scenes, d08_breaks, d11_parts, d12_pages, d13_split, d13_merge, d15_kept_titles, d16_candidates, d20_outline, j01_sentence_chapters, j06_overlaps, j08_mark_at, j09_pieces, j12_segments, j12_remap)}
+QUERIES = {f.__name__: f for f in (d01_normalize, r05_plain_blocks, d02_heading_level, d03_chapters, d05_close, d07_scenes, d08_breaks, d11_parts, d12_pages, d13_split, d13_merge, d13_edited, d13_moved, d15_kept_titles, d16_candidates, d20_outline, j01_sentence_chapters, j06_overlaps, j08_mark_at, j09_pieces, j12_segments, j12_remap)}
 
 _P = f"lines AS ({SQL_PARAGRAPHS})"
 _C = 'chapters AS (SELECT doc_id, pos // 5 AS idx, min(start) AS start, max(start + length(text)) AS "end" FROM lines GROUP BY ALL)'
@@ -202,6 +217,12 @@ ORACLE_SQL = {
       SELECT doc_id, number, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n_chars) AS "end" FROM k JOIN documents USING (doc_id) WHERE b IS NULL OR number > b""",
     "d13_split": f"""WITH {_P}, {_C}, s AS (SELECT doc_id, start FROM chapters UNION SELECT doc_id, (start + "end") // 2 FROM chapters WHERE (start + "end") // 2 > start), e AS (SELECT doc_id, max("end") AS last FROM chapters GROUP BY doc_id)
       SELECT doc_id, row_number() OVER w - 1 AS idx, start, coalesce(lead(start) OVER w, last) AS "end" FROM s JOIN e USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY start)""",
+    "d13_edited": f"""WITH {_P}, {_C}, n AS (SELECT *, max(idx) OVER (PARTITION BY doc_id) AS last, CASE WHEN idx % 7 = 0 THEN CASE WHEN idx = 0 AND idx < max(idx) OVER (PARTITION BY doc_id) THEN 'below' ELSE 'above' END
+        WHEN idx % 7 IN (4, 5) THEN CASE WHEN idx = max(idx) OVER (PARTITION BY doc_id) THEN 'above' ELSE 'below' END END AS goes FROM chapters),
+      b AS (SELECT *, idx > 0 AND (coalesce(goes, '') = 'above' OR coalesce(lag(goes) OVER (PARTITION BY doc_id ORDER BY idx), '') = 'below') AS joined FROM n),
+      r AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM b)
+      SELECT doc_id, CAST(run - 1 AS BIGINT) AS idx, min(start) AS start, max("end") AS "end", arg_min(CASE WHEN idx % 7 = 2 THEN 'New ' ELSE 'Chapter ' END || idx, (goes IS NOT NULL, idx)) AS title, bool_or(idx % 7 IN (0, 2, 4, 5)) AS by_hand FROM r GROUP BY doc_id, run""",
+    "d13_moved": f"""WITH {_P}, {_C}, l AS (SELECT doc_id, max(idx) AS last FROM chapters GROUP BY doc_id) SELECT doc_id, CASE WHEN idx % 5 = 3 AND idx < last THEN idx + 1 WHEN idx % 5 = 4 THEN idx - 1 ELSE idx END AS idx, start FROM chapters JOIN l USING (doc_id)""",
     "d13_merge": f"""WITH {_P}, {_C} SELECT doc_id, idx // 2 AS idx, min(start) AS start, max("end") AS "end" FROM chapters GROUP BY doc_id, idx // 2""",
     "d15_kept_titles": f"""WITH {_P}, {_C} SELECT c.doc_id, idx, coalesce(substr(l.text, 1, 20), 'Chapter ' || idx) AS title FROM chapters c LEFT JOIN lines l ON l.doc_id = c.doc_id AND l.start = c.start AND l.pos % 10 = 0""",
     "d16_candidates": f"""WITH {_P}, k AS (SELECT doc_id, start, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM lines WHERE length({sql_trim('text')}) BETWEEN 1 AND 60)
