@@ -224,6 +224,56 @@ def near_sets(sets: DataFrame, least: float = 0.8, id_col: str = "doc_id", set_c
     return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+#: Rounds in which the sets of a bucket are compared with one of them, before those that are still apart meet each other.
+ROUNDS = 3
+
+
+def near_classes(sets: DataFrame, least: float = 0.8, id_col: str = "doc_id", set_col: str = "s") -> DataFrame:
+    """(id, rep, class_id) of every row with a set: rep is the smallest id with an equal set, class_id the smallest one reachable.
+
+    Two sets are linked if their Jaccard similarity is at least so much. As in near_sets(), those that are have one of
+    their rarest items in common, but a bucket of such an item makes no pairs: its sets are compared with one of them, and
+    then with another, so that a group of near copies is soon one class. Then only sets of different classes meet, each
+    with those that aren't of the bucket's largest class; what is compared is compared exactly, so no link between
+    classes is lost. An empty set is a class of its own with the other empty ones; a null set has no row.
+    """
+    rows = sets.where(F.col(set_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_sort(F.transform(F.array_distinct(set_col), lambda x: F.xxhash64(x))).alias("h"))
+    rows = graph.written(rows.withColumn("key", F.sha2(F.array_join(F.transform("h", lambda x: x.cast("string")), ","), 256)), "hashed-sets")
+    one = graph.written(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("h").alias("h")), "distinct-sets")
+    items = one.select("id", F.size("h").alias("n"), F.explode("h").alias("x"))
+    rare = items.groupBy("x").agg(F.count(F.lit(1)).alias("f"))
+    ordered = items.join(rare, "x").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("o"))
+    first = F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    keys = ordered.select("id", "n", F.explode(F.transform(F.filter(first, lambda o: o["f"] > 1), lambda o: o["x"])).alias("x"))
+    keys = graph.written(keys, "rare-items")
+
+    def linked(met: DataFrame) -> DataFrame:
+        """(a, b) of the candidates that are near enough."""
+        both = met.distinct().join(one.select(F.col("id").alias("a"), F.col("h").alias("s")), "a").join(one.select(F.col("id").alias("b"), F.col("h").alias("t")), "b")
+        return both.where(jaccard(F.col("s"), F.col("t")) >= least).select("a", "b")
+
+    def classed(edges: DataFrame) -> DataFrame:
+        found = graph.components(edges)
+        return graph.written(keys.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "classed-items")
+
+    sized = F.expr(f"n >= m * {least} - 1e-9 AND m >= n * {least} - 1e-9")
+    edges, now = None, keys.withColumn("root", F.col("id"))
+    for k in range(ROUNDS):
+        pick = F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", F.lit(k)))
+        reps = now.groupBy("x").agg(pick.alias("r")).select("x", F.col("r.id").alias("rid"), F.col("r.n").alias("m"), F.col("r.root").alias("rroot"))
+        met = now.join(reps, "x").where((F.col("root") != F.col("rroot")) & sized).select(F.least("id", "rid").alias("a"), F.greatest("id", "rid").alias("b"))
+        more = linked(met)
+        edges = graph.written(more if edges is None else edges.union(more), "near-edges")
+        now = classed(edges)
+    held = now.groupBy("x", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("x").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    apart = now.join(held, "x")
+    others = apart.where("root <> main").select("x", F.col("id").alias("oid"), F.col("n").alias("m"), F.col("root").alias("oroot"))
+    met = apart.join(others, "x").where((F.col("root") != F.col("oroot")) & sized).select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b"))
+    comps = graph.components(edges.union(linked(met)))
+    named = one.select("key", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    return rows.join(named, "key").select(F.col("id").alias(id_col), "rep", F.coalesce("root", "rep").alias("class_id"))
+
+
 def set_representatives(sets: DataFrame, id_col: str = "doc_id", set_col: str = "s") -> DataFrame:
     """(id, rep): the smallest id that has the same set."""
     own = sets.select(id_col, F.xxhash64(F.array_sort(set_col)).alias("h1"), F.hash(F.array_sort(set_col)).alias("h2"))

@@ -122,6 +122,11 @@ def l05_near_documents(spark, sf):
     return resolve.set_representatives(sets).join(n, "rep", "left").select("doc_id", "rep", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
+def l05_near_classes(spark, sf):
+    """Documents by the pairs of words in them, as classes of near ones."""
+    return resolve.near_classes(table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", resolve.shingles(F.col("text")).alias("s")))
+
+
 def _merges(spark, sf):
     """Each supplier whose key ends in 5 is merged into the one before."""
     return table(spark, sf, "supplier").where("s_suppkey % 10 = 5").select((F.col("s_suppkey") - 1).alias("keep"), F.col("s_suppkey").alias("other"))
@@ -217,6 +222,11 @@ ORACLE_SQL = {
       b AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id),
       k AS (SELECT a, b FROM b WHERE CAST(c AS DOUBLE) / (na + nb - c) >= 0.8), l AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM k UNION ALL SELECT b FROM k) GROUP BY rep)
       SELECT doc_id, rep, coalesce(links, 0) AS links FROM r LEFT JOIN l USING (rep)""",
+    "l05_near_classes": f"""WITH RECURSIVE {_SH}, r AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM sh WHERE s IS NOT NULL), u AS (SELECT doc_id AS id, len(s) AS n, unnest(s) AS x FROM r WHERE doc_id = rep),
+      b AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id),
+      k AS (SELECT a, b FROM b WHERE CAST(c AS DOUBLE) / (na + nb - c) >= 0.8), e AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+      reach AS (SELECT a AS s, b AS t FROM e UNION SELECT reach.s, e.b FROM reach JOIN e ON reach.t = e.a), m AS (SELECT s AS rep, min(t) AS least FROM reach GROUP BY s)
+      SELECT doc_id, rep, least(rep, coalesce(least, rep)) AS class_id FROM r LEFT JOIN m USING (rep)""",
     "e08_merge": """WITH m AS (SELECT s_suppkey - 1 AS keep, s_suppkey AS other FROM supplier WHERE s_suppkey % 10 = 5), s AS (SELECT coalesce(keep, s_suppkey) AS k, keep IS NOT NULL AS off, CASE WHEN s_suppkey % 10 <> 4 THEN s_nationkey END AS nation, s_acctbal FROM supplier LEFT JOIN m ON other = s_suppkey),
       l AS (SELECT coalesce(keep, l_suppkey) AS k, l_suppkey, l_returnflag, l_linestatus, keep IS NOT NULL AS moved FROM lineitem LEFT JOIN m ON other = l_suppkey)
       SELECT b.*, marks, notes, moved, undone FROM (SELECT k AS s_suppkey, coalesce(max(nation) FILTER (WHERE NOT off), min(nation) FILTER (WHERE off)) AS nation, max(s_acctbal) AS s_acctbal, count(*) - 1 AS merged FROM s GROUP BY k) b
