@@ -67,6 +67,30 @@ def _segments(titles: DataFrame, own: bool) -> DataFrame:
     return rows.select("id", F.explode(F.transform("ends", lambda e: F.concat_ws("|", e, "vols", "k"))).alias("k")).distinct()
 
 
+def _asks_and_has() -> tuple[Column, Column]:
+    """Keys under which an author (name, han) looks for those whose names may hold it, and those under which it is found."""
+    short = F.length("name") < 3
+    asks = F.array_compact(F.array(F.when(short, "*").otherwise(F.left("name", F.lit(3))), F.when(F.col("han"), "han")))
+    held = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(3)))
+    return asks, F.array_compact(F.array_append(F.array_append(F.array_distinct(held), F.lit("*")), F.when(~F.col("han"), "han")))
+
+
+def author_pairs(left: DataFrame, right: DataFrame, on: str, a: str = "a", b: str = "b") -> DataFrame:
+    """Rows of left and right of one `on` whose authors a and b may be one: same_author(), by the letters of their names.
+
+    Apart from `on` the two have no column in common; equal pairs of rows come once. Authors that are missing or of another
+    script meet all of the others.
+    """
+    asks, has = _asks_and_has()
+    keyed = lambda df, c: df.withColumns({"name": author_key(F.coalesce(F.col(c), F.lit(""))), "han": F.coalesce(F.col(c).rlike(HAN), F.lit(False))})
+    x, y = keyed(left, a), keyed(right, b)
+    side = lambda df, keys, k: df.select(*(c for c in df.columns if c not in ("name", "han")), F.explode(keys).alias(k))
+    forth = side(x, asks, "k").join(side(y, has, "k"), [on, "k"])
+    back = side(x, has, "k").join(side(y, asks, "k"), [on, "k"])
+    cols = [on, *(c for c in left.columns if c != on), *(c for c in right.columns if c != on)]
+    return forth.select(*cols).union(back.select(*cols)).where(same_author(F.col(a), F.col(b))).distinct()
+
+
 def _meeting(places: DataFrame, heads: DataFrame) -> DataFrame:
     """(i, j) of heads that share a block and may be of one author, i below j; places has (block, id).
 
@@ -80,10 +104,7 @@ def _meeting(places: DataFrame, heads: DataFrame) -> DataFrame:
     rows = graph.written(places.join(sizes, "block").join(rows, "id"), "title-blocks")
     few, many = rows.where(F.col("n") <= CROWD), rows.where(F.col("n") > CROWD)
     met = few.alias("x").join(few.alias("y"), F.expr("x.block = y.block AND x.id < y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
-    short = F.length("name") < 3
-    asks = F.array_compact(F.array(F.when(short, "*").otherwise(F.left("name", F.lit(3))), F.when(F.col("han"), "han")))
-    held = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(3)))
-    has = F.array_compact(F.array_append(F.array_append(F.array_distinct(held), F.lit("*")), F.when(~F.col("han"), "han")))
+    asks, has = _asks_and_has()
     asking, having = many.select("block", "id", F.explode(asks).alias("k")), many.select("block", "id", F.explode(has).alias("k"))
     found = asking.alias("x").join(having.alias("y"), F.expr("x.block = y.block AND x.k = y.k AND x.id <> y.id"))
     return met.union(found.select(F.least("x.id", "y.id").alias("i"), F.greatest("x.id", "y.id").alias("j"))).distinct()

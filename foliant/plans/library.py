@@ -29,7 +29,7 @@ def t13_same_author(spark, sf):
     """Customers and suppliers of a nation whose names may be one author's."""
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.regexp_replace("c_name", "Customer#0+", "No ").alias("a"))
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.regexp_replace("s_name", "Supplier#0+", "no, ").alias("b"))
-    return c.join(s, "n").where(X.same_author(F.col("a"), F.col("b"))).select("c_custkey", "s_suppkey")
+    return resolve.author_pairs(c, s, "n").select("c_custkey", "s_suppkey")
 
 
 def t16_patterns(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
@@ -58,10 +59,10 @@ def t11_keys(spark, sf):
 
 
 def t15_distance(spark, sf):
-    """Bounded edit distances of the names of parts of one brand and size; -1 beyond two."""
-    a = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("p_name").alias("x"))
-    b = a.select(F.col("a").alias("b"), "p_brand", "p_size", F.col("x").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.levenshtein("x", "y", 2).alias("distance"))
+    """Bounded edit distances of the names of parts and the next ones of their brand and size; -1 beyond two."""
+    w = Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), F.lead("p_partkey").over(w).alias("b"), F.col("p_name").alias("x"), F.lead("p_name").over(w).alias("y"))
+    return rows.where("b IS NOT NULL").select("a", "b", F.levenshtein("x", "y", 2).alias("distance"))
 
 
 def t17_word_breaks(spark, sf):
@@ -158,8 +159,8 @@ ORACLE_SQL = {
       array_to_string(list_sort(list_filter(string_split_regex(lower(p_name), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')), ' ') AS author_key,
       regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '^\s*(the|a|an)\s+', ''), '\s+', ' ', 'g')), '([a-z]{{2}}[^s])s$', '\1') AS card_key,
       array_to_string(regexp_extract_all(lower(p_type), '[0-9]+|\b[ivx]+\b'), ',') AS volumes FROM part""",
-    "t15_distance": """SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(CASE WHEN levenshtein(a.p_name, b.p_name) > 2 THEN -1 ELSE levenshtein(a.p_name, b.p_name) END AS INTEGER) AS distance
-      FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""",
+    "t15_distance": """SELECT a, b, CAST(CASE WHEN levenshtein(x, y) > 2 THEN -1 ELSE levenshtein(x, y) END AS INTEGER) AS distance
+      FROM (SELECT p_partkey AS a, lead(p_partkey) OVER w AS b, p_name AS x, lead(p_name) OVER w AS y FROM part WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY p_partkey)) WHERE b IS NOT NULL""",
     "t17_word_breaks": f"""SELECT p_partkey, NOT regexp_matches(p_name, '{UNSPACED}') AS breaks, replace(replace(replace(p_name || '_%', '\\', '\\\\'), '%', '\\%'), '_', '\\_') AS escaped FROM part""",
     "t18_versions": f"SELECT sha256({sql_squeeze('text')}) AS version, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "t21_tokens": f"SELECT doc_id, {_TOKENS} AS tokens FROM documents",
