@@ -130,7 +130,7 @@ class Model:
 
 
 #: The solver's passes over its rows, at most, the weight of a row's loss, and the change that ends it.
-PASSES, COST, ENOUGH = 10, 10.0, 0.01
+PASSES, COST, ENOUGH = 10, 1.0, 0.01
 
 
 def machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
