@@ -256,7 +256,7 @@ def placed_again(text: Column, at: Column, new: Column) -> Column:
     Occurrences are taken from the left without overlaps. Where the probe is too short or gone it is the share itself.
     """
     probe = F.substring(text, at + 1, F.lit(PROBE))
-    guess = F.when(F.length(text) > 0, F.floor(at * F.length(new) / F.length(text) + 0.5)).otherwise(0).cast("long")
+    guess = F.when(F.length(text) > 0, F.floor(at.cast("double") * F.length(new) / F.length(text) + 0.5)).otherwise(0).cast("long")
     parts = F.split(new, F.concat(F.lit("\\Q"), probe, F.lit("\\E")))
     size = F.length(probe)
     places = F.transform(F.slice(spans.starts_of(parts, size), 2, F.size(parts)), lambda x: x - size)

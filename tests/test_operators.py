@@ -287,3 +287,9 @@ def test_links_and_places(spark):
     text = "".join(chr(97 + i * 7 % 26) for i in range(300))
     df = spark.createDataFrame([(text, 100, "new " * 20 + text), (text, 100, "gone"), ("", 0, ""), ("ab", 1, "abab")], "t string, at int, n string")
     assert [r[0] for r in df.select(structure.placed_again(F.col("t"), F.col("at"), F.col("n"))).collect()][1:] == [1, 0, 2]
+
+
+def test_places_in_long_texts(spark):
+    text = "".join(chr(97 + i * 7 % 26) for i in range(300)) + "x" * 120000
+    df = spark.createDataFrame([(text, 40000, "new " + text[41:])], "t string, at int, n string")
+    assert df.select(structure.placed_again(F.col("t"), F.col("at"), F.col("n"))).first()[0] >= 0
