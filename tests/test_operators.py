@@ -293,3 +293,8 @@ def test_places_in_long_texts(spark):
     text = "".join(chr(97 + i * 7 % 26) for i in range(300)) + "x" * 120000
     df = spark.createDataFrame([(text, 40000, "new " + text[41:])], "t string, at int, n string")
     assert df.select(structure.placed_again(F.col("t"), F.col("at"), F.col("n"))).first()[0] >= 0
+
+
+def test_clauses_hold_whole_words(spark):
+    df = spark.createDataFrame([(["cold gear", "old gear", "gear", "红色大衣", "大衣"],)], "v array<string>")
+    assert df.select(X.merged_clauses(F.col("v"))).first()[0] == "cold gear · old gear · 红色大衣"
