@@ -73,3 +73,9 @@ def test_drawn_places_lead_back(spark):
         elif r.at == len(r.d):
             assert (r.s, r.back) == (len(r.t), len(r.d))
     assert seen > 30
+
+
+def test_signs_that_open(spark):
+    said = ["Von.*** Keit", "a $5 b", "a $ b", "a_b", "_b", "2 * 3 ** 4", "`a", "`a`", "== b", "==b", "", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in said], "t string").select(F.col("t").rlike(inline.OPENING)).collect()]
+    assert got == [True, True, False, False, True, False, False, True, False, True, False, None]
