@@ -304,3 +304,9 @@ def test_reanchoring_in_repeats(spark):
     text = "Begin. " + "The " * 15 + "end of all that was said."
     df = spark.createDataFrame([("new new " + text, 27, text[27:67], text[7:27], text[67:87])], "t string, s long, q string, p string, x string")
     assert tuple(df.select(align.reanchored("t", "s", "q", "p", "x").alias("x")).first().x) == (35, 75)
+
+
+def test_counts_round_as_printf(spark):
+    n = [*range(10000, 400000, 500), 22499, 22501, 10**9 + 2500, 10**9 + 7500]
+    got = spark.createDataFrame([(x,) for x in n], "n long").select("n", X.format_count(F.col("n"), F.lit("zh"))).collect()
+    assert {r[0]: r[1] for r in got} == {x: f"{x / 10000:.1f}万字" for x in n}
