@@ -95,22 +95,22 @@ def read_cards(files: DataFrame, id_col: str = "path", text_col: str = "text") -
     whole = F.concat(F.regexp_replace(F.regexp_replace(text_col, "^\ufeff", ""), "\r\n?", "\n"), F.lit("\n"))
     line = F.transform(F.regexp_extract_all(whole, F.lit(RECORD), 0), lambda x: F.left(x, F.length(x) - 1))
     line = F.filter(line, lambda x: (F.trim(F.replace(x, F.lit("\n"), F.lit(" "))) != "") & ~F.startswith(x, F.lit("#")))
-    tabbed = F.contains(F.get("lines", F.lit(0)), F.lit("\t"))
-    rows = files.select(id_col, line.alias("lines")).withColumn("tabbed", F.coalesce(tabbed, F.lit(False)))
-    cut = lambda x: F.transform(F.when(F.col("tabbed"), F.regexp_extract_all(F.concat(F.lit("\t"), x), F.lit(CELL.replace(",", "\t")), 0)).otherwise(F.regexp_extract_all(F.concat(F.lit(","), x), F.lit(CELL), 0)), _cell)
-    rows = rows.select(id_col, F.transform("lines", lambda x: F.transform(cut(x), lambda c: F.trim(c))).alias("rows")).where(F.size("rows") > 0)
+    tabbed = F.coalesce(F.contains(F.get("lines", F.lit(0)), F.lit("\t")), F.lit(False))
+    rows = files.select(id_col, line.alias("lines")).where(F.size("lines") > 0).withColumn("tabbed", tabbed)
+    matches = lambda x: F.when(F.col("tabbed"), F.regexp_extract_all(F.concat(F.lit("\t"), x), F.lit(CELL.replace(",", "\t")), 0)).otherwise(F.regexp_extract_all(F.concat(F.lit(","), x), F.lit(CELL), 0))
+    cells = lambda x: F.transform(matches(x), lambda c: F.trim(_cell(c)))
     fields = list(CARD_COLUMNS.items())
-    head = F.transform(F.get("rows", F.lit(0)), F.lower)
-    named = F.arrays_overlap("head", F.array(*map(F.lit, CARD_COLUMNS["front"])))
-    wide = F.exists("rows", lambda r: F.size(r) >= len(fields))
-    rows = rows.withColumn("head", head).withColumns({"named": named, "wide": wide})
+    rows = rows.withColumns({"head": F.transform(cells(F.get("lines", F.lit(0))), F.lower), "wide": F.exists("lines", lambda x: F.size(matches(x)) >= len(fields))})
+    rows = rows.withColumn("named", F.arrays_overlap("head", F.array(*map(F.lit, CARD_COLUMNS["front"]))))
+    # a line is a row from here on, which has what holds for its file but no other line
+    rows = rows.select(id_col, "tabbed", "head", "wide", "named", F.posexplode("lines").alias("at", "line")).where("at > 0 OR NOT named")
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, id_col, "at")
     place = lambda names: F.array_max(F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position(F.col("head"), n).cast("int"))) - 1
     untagged = [x[0] for x in fields if x[0] != "tags"]
     for k, (field, names) in enumerate(fields):
         narrow = F.lit(untagged.index(field) if field in untagged else -1)
         rows = rows.withColumn(f"at_{field}", F.when(F.col("named"), place(names)).when(F.col("wide"), F.lit(k)).otherwise(narrow))
-    body = F.when(F.col("named"), F.slice("rows", 2, F.size("rows"))).otherwise(F.col("rows"))
-    out = rows.select("*", F.posexplode(body).alias("pos", "cells"))
+    out = rows.withColumns({"pos": F.col("at") - F.col("named").cast("int"), "cells": cells(F.col("line"))})
     cell = lambda field: F.when(F.col(f"at_{field}") < 0, "").otherwise(F.coalesce(F.get("cells", F.col(f"at_{field}")), F.lit("")))
     listed = lambda c: F.filter(F.transform(F.split(c, "[;|]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
     tags = F.filter(F.transform(listed(cell("tags")), lambda x: F.regexp_replace(x, "^#+", "")), lambda x: x != "")

@@ -153,3 +153,9 @@ def test_inline_markdown(spark):
     assert rows[0].p == "Bold and so on: the words, pic `*code* <b>` $a_1*b_2$ https://y.org tag snake_case 2 * 3 old"
     assert [tuple(x) for x in rows[0].l] == [("the *words*", "http://x.org/a_b"), ("https://y.org", "https://y.org")]
     assert [r.p for r in rows[1:]] == ["", None, "a * b * c"] and rows[1].l == []
+
+
+def test_cards_of_many_lines(spark):
+    text = "\n".join(f't{i},"#a",b,front {i},"back ""{i}"""' for i in range(5000))
+    got = files.read_cards(spark.createDataFrame([("a", text), ("b", "question,answer\n" + "q,a\n" * 3)], "path string, text string")).groupBy("path").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("back").alias("back")).collect()
+    assert {tuple(r) for r in got} == {("a", 5000, 0, 4999, 'back "999"'), ("b", 3, 0, 2, "a")}
