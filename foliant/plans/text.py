@@ -59,10 +59,16 @@ def t11_keys(spark, sf):
 
 
 def t15_distance(spark, sf):
-    """Bounded edit distances of the names of parts and the next ones of their brand and size; -1 beyond two."""
-    w = Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), F.lead("p_partkey").over(w).alias("b"), F.col("p_name").alias("x"), F.lead("p_name").over(w).alias("y"))
-    return rows.where("b IS NOT NULL").select("a", "b", F.levenshtein("x", "y", 2).alias("distance"))
+    """Bounded edit distances of the names of parts of one brand and size, -1 beyond two: all pairs of different names.
+
+    The first part of a name stands for it: each part is 0 from it, and the first ones are compared with each other.
+    """
+    own = ["p_brand", "p_size", "p_name"]
+    parts = table(spark, sf, "part").select("p_partkey", *own).withColumn("a", F.min("p_partkey").over(Window.partitionBy(*own)))
+    members = parts.select("a", F.col("p_partkey").alias("b"), F.lit(0).alias("distance"))
+    first = parts.where("p_partkey = a").select("p_brand", "p_size", "a", F.col("p_name").alias("x"))
+    pairs = first.join(first.select("p_brand", "p_size", F.col("a").alias("b"), F.col("x").alias("y")), ["p_brand", "p_size"]).where("a < b")
+    return members.union(pairs.select("a", "b", F.levenshtein("x", "y", 2).alias("distance")))
 
 
 def t17_word_breaks(spark, sf):
@@ -159,8 +165,9 @@ ORACLE_SQL = {
       array_to_string(list_sort(list_filter(string_split_regex(lower(p_name), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')), ' ') AS author_key,
       regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '^\s*(the|a|an)\s+', ''), '\s+', ' ', 'g')), '([a-z]{{2}}[^s])s$', '\1') AS card_key,
       array_to_string(regexp_extract_all(lower(p_type), '[0-9]+|\b[ivx]+\b'), ',') AS volumes FROM part""",
-    "t15_distance": """SELECT a, b, CAST(CASE WHEN levenshtein(x, y) > 2 THEN -1 ELSE levenshtein(x, y) END AS INTEGER) AS distance
-      FROM (SELECT p_partkey AS a, lead(p_partkey) OVER w AS b, p_name AS x, lead(p_name) OVER w AS y FROM part WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY p_partkey)) WHERE b IS NOT NULL""",
+    "t15_distance": """WITH p AS (SELECT p_partkey, p_brand, p_size, p_name, min(p_partkey) OVER (PARTITION BY p_brand, p_size, p_name) AS a FROM part), f AS (SELECT * FROM p WHERE p_partkey = a)
+      SELECT a, p_partkey AS b, CAST(0 AS INTEGER) AS distance FROM p UNION ALL SELECT x.a, y.a, CAST(CASE WHEN levenshtein(x.p_name, y.p_name) > 2 THEN -1 ELSE levenshtein(x.p_name, y.p_name) END AS INTEGER)
+      FROM f x JOIN f y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.a < y.a""",
     "t17_word_breaks": f"""SELECT p_partkey, NOT regexp_matches(p_name, '{UNSPACED}') AS breaks, replace(replace(replace(p_name || '_%', '\\', '\\\\'), '%', '\\%'), '_', '\\_') AS escaped FROM part""",
     "t18_versions": f"SELECT sha256({sql_squeeze('text')}) AS version, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "t21_tokens": f"SELECT doc_id, {_TOKENS} AS tokens FROM documents",
