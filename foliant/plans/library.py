@@ -375,7 +375,7 @@ def x07_bible(spark, sf):
 
 def x10_bilingual(spark, sf):
     """Each document's sentences with what was made of them, edited before machine text, or nothing."""
-    u = _units(spark, sf).withColumn("edited", F.when(F.col("stale"), F.concat(F.lit("*"), F.col("text"))))
+    u = _units(table(spark, sf, "documents")).withColumn("edited", F.when(F.col("stale"), F.concat(F.lit("*"), F.col("text"))))
     out = records.listed(u, ["doc_id"], F.col("start"), F.concat(F.col("text"), F.lit("\n"), F.coalesce("edited", "machine", F.lit(""))), "\n\n", "md")
     return out.select("doc_id", F.sha2("md", 256).alias("sha"))
 
