@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import WS, canonical_hash, slice_of
+from foliant.functions.text import BLANKS, WS, canonical_hash, slice_of
 from foliant.operators import align, spans
 from foliant.operators.spans import once, starts_of
 
@@ -41,7 +41,7 @@ def rewritten(docs: DataFrame, chapters: DataFrame, slots: DataFrame, id_col: st
     grouped = grouped.join(old.groupBy(id_col).agg(F.min("os").alias("first")), id_col, "left")
     rows = lengths.join(grouped, id_col)
     text, size = F.col("__t"), F.length("__t").cast("long")
-    body = lambda s: F.regexp_replace(F.coalesce(s["wording"], _cut(text, s["os"], F.coalesce(s["oe"], size))), f"{WS}+\\z", "")
+    body = lambda s: F.rtrim(F.coalesce(s["wording"], _cut(text, s["os"], F.coalesce(s["oe"], size))), F.lit(BLANKS))
     lead = F.substring(text, F.lit(1), F.coalesce("first", F.lit(0)).cast("int"))
     apart = F.when((lead == "") | F.endswith(lead, F.lit(GAP)), lead).when(F.endswith(lead, F.lit("\n")), F.concat(lead, F.lit("\n"))).otherwise(F.concat(lead, F.lit(GAP)))
     rows = rows.select(id_col, "s", "first", "__t", size.alias("old_len"), F.transform("s", body).alias("bodies"), apart.alias("lead"))
@@ -78,12 +78,14 @@ def moved(rows: DataFrame, cols: list[str], segs: DataFrame, lengths: DataFrame,
 
     lengths has (id, old_len, new_len). Rows of documents that are not rewritten stay as they are; null offsets stay null.
     """
-    kept = rows.withColumn("was", F.struct(*cols))
-    points = rows.select(id_col, F.explode(F.array(*(F.col(c).cast("long") for c in cols))).alias("at")).where("at IS NOT NULL").distinct()
-    to = spans.remapped(points, segs, lengths, "at", id_col)
-    for c in cols:
-        kept = kept.join(to.select(id_col, F.col("at").alias(c), F.col("new_at").alias("__n")), [id_col, c], "left").withColumn(c, F.coalesce("__n", c)).drop("__n")
-    return kept.select(*rows.columns, "was")
+    return _moved(rows.withColumn("was", F.struct(*cols)), cols, segs, lengths, spans.SEGMENT, id_col).select(*rows.columns, "was")
+
+
+def _moved(rows: DataFrame, cols: list[str], segs: DataFrame, lengths: DataFrame, carried: list[str], id_col: str) -> DataFrame:
+    """rows with their offsets where they lie now, and for each a struct of its segment."""
+    found = spans.held(rows.join(lengths.select(id_col, F.col("old_len").alias("__o"), F.col("new_len").alias("__m")), id_col, "left"), segs, cols, carried, id_col)
+    to = {c: F.coalesce(spans.led(F.col(c).cast("long"), F.col(f"__{c}"), F.col("__o"), F.col("__m")), c) for c in cols}
+    return found.withColumns(to).drop("__o", "__m")
 
 
 def undone(rows: DataFrame) -> DataFrame:
@@ -99,11 +101,11 @@ def renumbered(rows: DataFrame, col: str, chapters: DataFrame, id_col: str = "do
     return kept.withColumn(col, F.coalesce("__n", col)).select(*rows.columns, "was")
 
 
-def _words(made: DataFrame, id_col: str) -> DataFrame:
-    """(id, s_os, s_oe, ns, ne, words) of the chapters that are worded anew."""
-    found = F.filter("slots", lambda s: ~s["linear"] & s["os"].isNotNull())
-    rows = made.select(id_col, "text", F.explode(found).alias("s"))
-    return rows.select(id_col, F.col("s.os").alias("s_os"), F.col("s.oe").alias("s_oe"), "s.ns", "s.ne", _cut(F.col("text"), F.col("s.ns"), F.col("s.ne")).alias("words"))
+def _segments_with_words(made: DataFrame, id_col: str) -> DataFrame:
+    """segments() with words: the new ones of the chapters that are worded anew, else null."""
+    rows = made.select(id_col, "text", F.explode(F.filter("slots", lambda s: s["os"].isNotNull() & (~s["linear"] | (s["oe"] > s["os"])))).alias("s"))
+    words = F.when(~F.col("s.linear"), _cut(F.col("text"), F.col("s.ns"), F.col("s.ne")))
+    return rows.select(id_col, *(f"s.{c}" for c in spans.SEGMENT), words.alias("words"))
 
 
 def _nearest(words: Column, source: Column, guess: Column) -> Column:
@@ -122,26 +124,19 @@ def moved_units(units: DataFrame, made: DataFrame, id_col: str = "doc_id") -> Da
     they lie nearest to the expected place; one that is not there stays at that place and is stale. Of units of a target
     that would get the same span, the later ones move on by single signs until each has its own.
     """
-    segs, lengths = segments(made, id_col), made.select(id_col, "old_len", "new_len")
-    rows = moved(units, ["start", "end"], segs, lengths, id_col)
-    rows = rows.withColumn("was", F.struct("was.start", "was.end", "stale"))
-    words = _words(made, id_col)
-    fresh = spans.points_in(rows.withColumn("__at", F.col("was.start")), words.drop("words"), "__at", "s_os", "s_oe", id_col).drop("__at", "s_oe", "ne")
-    held = fresh.groupBy(id_col, "s_os", "ns").agg(F.collect_list(F.struct(*rows.columns)).alias("units"))
-    held = held.join(words.select(id_col, "s_os", "words"), [id_col, "s_os"])
-
-    def found(u: Column) -> Column:
-        return F.struct(u.alias("u"), _nearest(F.col("words"), u["source"], u["start"] - F.col("ns")).alias("at"))
-
-    sought = held.select(F.explode(F.transform("units", found)).alias("x"), "ns").select("x.u.*", F.col("x.at").alias("__at"), "ns")
+    before = F.struct("start", "end", "stale")
+    rows = _moved(units.withColumn("was", before), ["end", "start"], _segments_with_words(made, id_col), made, [*spans.SEGMENT, "words"], id_col)
+    fresh = F.coalesce(~F.col("__start.linear"), F.lit(False))
+    at = F.when(fresh, _nearest(F.col("__start.words"), F.col("source"), F.col("start") - F.col("__start.ns")))
+    rows = rows.select(*units.columns, "was", fresh.alias("__f"), F.col("__start.ns").alias("__ns"), at.alias("__at"))
     length = F.when(F.col("__at").isNotNull(), F.length("source")).otherwise(F.greatest(F.lit(1), F.col("was.end") - F.col("was.start"))).cast("long")
-    sought = sought.withColumn("__n", length).withColumn("__s", F.coalesce(F.col("ns") + F.col("__at"), "start"))
-    order = Window.partitionBy(id_col, "target", "__n").orderBy("__s", "was.start", "unit")
-    sought = sought.withColumn("__r", F.row_number().over(order).cast("long"))
-    sought = sought.withColumn("start", F.col("__r") + F.max(F.col("__s") - F.col("__r")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sought = sought.withColumn("end", F.col("start") + F.col("__n")).withColumn("stale", F.col("__at").isNull()).select(*rows.columns)
-    stay = rows.join(fresh.select(id_col, "unit").distinct(), [id_col, "unit"], "left_anti").select(*rows.columns)
-    return stay.union(sought)
+    rows = rows.withColumn("__n", F.when(F.col("__f"), length)).withColumn("__s", F.coalesce(F.col("__ns") + F.col("__at"), "start"))
+    order = Window.partitionBy(id_col, "target", "__n", "__f").orderBy("__s", "was.start", "unit")
+    rows = rows.withColumn("__r", F.row_number().over(order).cast("long"))
+    apart = F.col("__r") + F.max(F.col("__s") - F.col("__r")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("start", F.when(F.col("__f"), apart).otherwise(F.col("start")))
+    rows = rows.withColumns({"end": F.when(F.col("__f"), F.col("start") + F.col("__n")).otherwise(F.col("end")), "stale": F.when(F.col("__f"), F.col("__at").isNull()).otherwise(F.col("stale"))})
+    return rows.select(*units.columns, "was")
 
 
 def moved_notes(notes: DataFrame, made: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -150,13 +145,11 @@ def moved_notes(notes: DataFrame, made: DataFrame, id_col: str = "doc_id") -> Da
     A note in a chapter worded anew is looked for in the new words by its quote and what stood around it; one that is not
     found stays at the place its offsets lead to.
     """
-    rows = moved(notes, ["start", "end"], segments(made, id_col), made.select(id_col, "old_len", "new_len"), id_col)
-    words = _words(made, id_col)
-    fresh = spans.points_in(rows.withColumn("__at", F.col("was.start")), words.drop("words"), "__at", "s_os", "s_oe", id_col).drop("__at", "s_oe", "ne")
-    fresh = fresh.join(words.select(id_col, "s_os", "words"), [id_col, "s_os"])
-    seen = fresh.withColumn("__x", align.reanchored(F.col("words"), F.col("start") - F.col("ns"), F.col("quote"), F.col("prefix"), F.col("suffix")))
-    seen = seen.withColumn("start", F.coalesce(F.col("ns") + F.col("__x.start"), "start")).withColumn("end", F.coalesce(F.col("ns") + F.col("__x.end"), "end")).select(*rows.columns)
-    return rows.join(fresh.select(id_col, "note").distinct(), [id_col, "note"], "left_anti").select(*rows.columns).union(seen)
+    rows = _moved(notes.withColumn("was", F.struct("start", "end")), ["end", "start"], _segments_with_words(made, id_col), made, [*spans.SEGMENT, "words"], id_col)
+    seen = align.reanchored(F.col("__start.words"), F.col("start") - F.col("__start.ns"), F.col("quote"), F.col("prefix"), F.col("suffix"))
+    rows = rows.withColumn("__x", seen)
+    found = {c: F.coalesce(F.col("__start.ns") + F.col(f"__x.{c}"), c) for c in ("start", "end")}
+    return rows.withColumns(found).select(*notes.columns, "was")
 
 
 def kept_wordings(docs: DataFrame, chapters: DataFrame, slots: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ def _slots(chapters):
 
 def _made(spark, sf):
     docs = _docs(spark, sf)
-    chapters = _chapters(docs)
+    chapters = graph.written(_chapters(docs), "chapters")  # read four times
     return graph.written(versions.rewritten(docs, chapters.select("doc_id", "idx", "start"), _slots(chapters)), "rewritten")
 
 
