@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.text import decode_entities, strip_tags
+from foliant.operators.spans import once
 
 #: Tags whose content is not the page's text, and tags that end a block.
 FURNITURE = ("script", "style", "noscript", "nav", "aside", "footer", "form")
@@ -95,16 +96,34 @@ def front_matter(text: Column, name: str) -> Column:
 
 
 def usfm_verses(books: DataFrame, id_col: str = "book", text_col: str = "text") -> DataFrame:
-    """(id, chapter, verse, text) of USFM texts: lines belong to the last \\c and \\v before them, notes are left out."""
+    """(id, chapter, verse, text) of USFM texts, one a row: lines belong to the last \\c and \\v before them, notes are left out.
+
+    A text is cut at these marks, and a verse given twice joined, within its row.
+    """
     flat = F.regexp_replace(F.regexp_replace(text_col, r"(?s)\\(f|x)\s.*?\\\1\*", ""), r"\\v\s", "\n\\\\v ")
-    lines = books.select(id_col, F.posexplode(F.split(flat, "\n")).alias("pos", "line"))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    number = lambda m: F.nullif(F.regexp_extract("line", rf"^\s*\\{m}\s+(\d+)", 1), F.lit("")).cast("int")
-    lines = lines.withColumn("c", number("c")).withColumn("chapter", F.last("c", True).over(w))
-    lines = lines.withColumn("v", F.when(F.col("c").isNotNull(), 0).otherwise(number("v"))).withColumn("verse", F.last("v", True).over(w))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^\s*\\v\s+\d+\S*\s*", ""), r"\\[a-z]+\d*\*?\s?", ""), r"\s+", " "))
-    own = lines.where("verse > 0 AND chapter IS NOT NULL").groupBy(id_col, "chapter", "verse").agg(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))).alias("x"))
-    return own.select(id_col, "chapter", "verse", F.trim(F.array_join(F.filter(F.transform("x", lambda s: s["t"]), lambda t: t != ""), " ")).alias("text"))
+    blocks = lambda text, mark: F.split(text, rf"\n(?=[^\S\n]*\\{mark}[^\S\n]+\d)")
+    number = lambda block, mark: F.nullif(F.regexp_extract(block, rf"^[^\S\n]*\\{mark}[^\S\n]+(\d+)", 1), F.lit("")).cast("int")
+
+    def cleaned(block: Column) -> Column:
+        bare = F.regexp_replace(block, r"^[^\S\n]*\\v[^\S\n]+\d+\S*[^\S\n]*", "")
+        return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\\[a-z]+\d*\*?[^\S\n]?", ""), r"\s+", " "))
+
+    def chapter(block: Column) -> Column:
+        verses = lambda c: F.transform(blocks(block, "v"), lambda x: F.struct(c.alias("chapter"), number(x, "v").alias("verse"), cleaned(x).alias("text")))
+        return once(number(block, "c"), verses)
+
+    key = lambda x: F.shiftleft(x["chapter"].cast("long"), 32) + x["verse"]
+
+    def merged(all_: Column) -> Column:
+        def one(k: Column) -> Column:
+            own = F.filter(all_, lambda x: key(x) == k)
+            text = F.array_join(F.filter(F.transform(own, lambda x: x["text"]), lambda t: t != ""), " ")
+            return F.struct(F.get(own, F.lit(0))["chapter"].alias("chapter"), F.get(own, F.lit(0))["verse"].alias("verse"), text.alias("text"))
+
+        return once(F.array_distinct(F.transform(all_, key)), lambda keys: F.when(F.size(keys) == F.size(all_), all_).otherwise(F.transform(keys, one)))
+
+    found = F.filter(F.flatten(F.transform(blocks(flat, "c"), chapter)), lambda x: x["chapter"].isNotNull() & (x["verse"] > 0))
+    return books.select(id_col, F.explode(once(found, merged)).alias("x")).select(id_col, "x.chapter", "x.verse", "x.text")
 
 
 def decoded(content: Column) -> Column:
