@@ -3,6 +3,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliant.llm import language
@@ -126,3 +128,28 @@ def test_machine_separates(spark):
     w = language.machine(x, y)
     assert (np.sign(x @ w[:-1] + w[-1]) == y).all()
     assert language.machine(x[:1], np.array([1.0]))[-1] > 0
+
+
+def test_only_texts_go_to_python(spark, tmp_path):
+    """A text is sent once, other columns stay, and what comes back is a language and a score, not the rows."""
+    docs = spark.createDataFrame(rows(160), "doc_id long, text string, lang string").withColumns({"text": F.repeat(F.concat("text", F.lit(" ")), F.lit(20)), "other": F.repeat(F.lit("x"), F.lit(5000))})
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    frame, moved = language.keep_known(docs, language.fit(docs)), {}
+    assert {(r.doc_id, len(r.other)) for r in frame.collect()} == {(i, 5000) for i in range(160)}
+    nodes = [frame._jdf.queryExecution().executedPlan()]
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        for name in ("pythonDataSent", "pythonDataReceived"):
+            if node.metrics().contains(name):
+                moved[name] = moved.get(name, 0) + node.metrics().apply(name).value()
+    assert size < moved["pythonDataSent"] < 1.5 * size and moved["pythonDataReceived"] < 0.2 * size
+
+
+def test_vectors_of_chunks_and_slices():
+    x = np.random.default_rng(2).normal(size=(7, language.DIM)).astype(np.float32)
+    column = pa.array([row.tobytes() for row in x], pa.binary())
+    for chunks in ([column], [column.slice(2, 3)], [column.slice(0, 2), column.slice(5)]):
+        rows = [i for c in chunks for i in range(7) if x[i].tobytes() in c.to_pylist()]
+        assert np.array_equal(language.vectors_of(pa.chunked_array(chunks)), x[rows])

@@ -78,3 +78,15 @@ def test_rows(spark):
         assert [r.offset for r in rows] == list(np.cumsum([0] + [r.length for r in rows[:-1]])) and sum(r.length for r in rows) <= 2048
     assert set(by_doc) == set(ids)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_kept_ids_are_bounded(monkeypatch):
+    """Chunks and words share one table of at most CACHE entries, none of them long; ids are those of the tokenizer."""
+    monkeypatch.setattr(packing, "CACHE", 100)
+    tok = packing.ChunkTokenizer(PATH)
+    text = " ".join(f"Word{i}, word{i} won't {'y' * 70 if i % 50 == 0 else i}" for i in range(400))
+    ids = np.frombuffer(tok.ids(text.encode()), "<u4").tolist()
+    assert ids == tok.whole.encode(text, add_special_tokens=False).ids
+    others = [x for x in vars(tok).values() if isinstance(x, dict) and x is not tok.alphabet]
+    assert len(tok) + sum(map(len, others)) == 100
+    assert all(len(x) < 64 for x in tok)
