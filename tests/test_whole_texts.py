@@ -21,3 +21,8 @@ def test_likeness_of_long_texts(spark, long_texts):
     got = sorted(map(tuple, plans.queries()["l04_shingles"](spark, long_texts).collect()))
     both = N - 1
     assert got == [(1, 2 * N - 1, round(both / (2 * (2 * N - 1) - both), 9)), (2, 1, 0.0)]
+
+
+def test_classes_of_long_texts(spark, long_texts):
+    got = sorted(map(tuple, plans.queries()["l05_near_classes"](spark, long_texts).select("doc_id", "rep", "class_id").collect()))
+    assert got == [(0, 0, 0), (1, 1, 1), (2, 2, 2)]
