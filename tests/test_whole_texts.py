@@ -26,3 +26,11 @@ def test_likeness_of_long_texts(spark, long_texts):
 def test_classes_of_long_texts(spark, long_texts):
     got = sorted(map(tuple, plans.queries()["l05_near_classes"](spark, long_texts).select("doc_id", "rep", "class_id").collect()))
     assert got == [(0, 0, 0), (1, 1, 1), (2, 2, 2)]
+
+
+def test_links_of_long_texts(spark, tmp_path):
+    lead = [f"w{i}" for i in range(N)]
+    texts = [" ".join(lead + [f"{name}{i}" for i in range(N // 10)]) for name in "ab"] + [" ".join(lead[:2000])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, plans.queries()["l05_near_documents"](spark, str(tmp_path)).select("doc_id", "rep", "links").collect()))
+    assert got == [(0, 0, 1), (1, 1, 1), (2, 2, 0)]
